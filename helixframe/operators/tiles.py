@@ -205,3 +205,18 @@ def union_intervals(df: DataFrame, keys: list[str], start: str = "start_pos", en
 def covered_bases(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None) -> DataFrame:
     """keys, covered: bases under at least one interval of the key."""
     return union_intervals(df, keys, start, end, tile).groupBy(*keys).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("covered"))
+
+
+def overlap_pieces(left: DataFrame, right: DataFrame, keys: list[str], tile: int = 1 << 14) -> DataFrame:
+    """All columns of both sides and piece_start, piece_end: what each pair of overlapping intervals has in common.
+
+    Both sides have keys, start_pos, end_pos; the right side's other columns must have names of their own, its start and
+    end come out as right_start and right_end. Intervals are cut into tiles and joined by (keys, tile), so a pair that
+    overlaps in several tiles gives a piece for each; sums over pieces count each base once a pair. Rows with a null
+    key, start or end or an end not after the start match nothing.
+    """
+    cut = lambda df: df.where("end_pos > start_pos").withColumn("_t", F.explode(F.sequence(F.floor(F.col("start_pos") / tile), F.floor((F.col("end_pos") - 1) / tile))))
+    r = cut(right).withColumnsRenamed({"start_pos": "right_start", "end_pos": "right_end"})
+    start = F.greatest("start_pos", "right_start", F.col("_t") * tile)
+    end = F.least("end_pos", "right_end", (F.col("_t") + 1) * tile)
+    return cut(left).join(r, [*keys, "_t"]).withColumns({"piece_start": start, "piece_end": end}).where("piece_end > piece_start").drop("_t")
