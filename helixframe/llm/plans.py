@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import cutoffs, frequent, mixing, packing, samples, spans
+from helixframe.llm import cutoffs, frequent, mixing, packing, samples, sentences, spans
 from helixframe.llm.tokens import token_count
 from helixframe.operators.tiles import overlap_pieces, union_intervals
 from helixframe.runtime import checkpoint, table
@@ -107,6 +107,10 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).mix()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
 _P1 = "WITH d AS (SELECT DISTINCT ON (entry_id) entry_id, kmers, counts FROM kmer_index WHERE kmers IS NOT NULL AND counts IS NOT NULL), s AS (SELECT kmers, SUM(counts) AS t FROM d GROUP BY kmers)"
 
 _P4 = """WITH r AS (SELECT rec_id, UPPER(seq) AS seq FROM records WHERE rec_id IS NOT NULL AND seq IS NOT NULL), p AS (SELECT rec_id, UNNEST(range(0, LENGTH(seq) - 63)) AS pos, seq FROM r WHERE LENGTH(seq) >= 64),
@@ -120,7 +124,7 @@ _P2 = """WITH d AS (SELECT DISTINCT ON (cand_id) cand_id, cid, score FROM candid
  s AS (SELECT cid, score, SUM(COUNT(*)) OVER (PARTITION BY cid ORDER BY score DESC) AS kept FROM d GROUP BY cid, score),
  c AS (SELECT t.cid, MAX(s.score) AS cutoff, MIN(s.kept) AS kept FROM keep_targets t JOIN n ON n.cid = t.cid JOIN s ON s.cid = t.cid WHERE s.kept * 1000 >= t.keep_permille * n.n GROUP BY t.cid)"""
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p2_found": p2_found, "p2_kept": p2_kept, "p4_found": p4_found, "p4_share": p4_share, "p4_families": p4_families, "p6_sample": p6_sample, "p6_per_seed": p6_per_seed, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix}
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p2_found": p2_found, "p2_kept": p2_kept, "p4_found": p4_found, "p4_share": p4_share, "p4_families": p4_families, "p6_sample": p6_sample, "p6_per_seed": p6_per_seed, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p9_found": p9_found}
 
 SQL = {
     "p4_found": f"{_P4} SELECT rec_id, start_pos, end_pos FROM u",
