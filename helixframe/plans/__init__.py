@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.plans import problems
+from helixframe.plans import masking, problems, seeding
 
-MODULES = (problems,)
+MODULES = (problems, seeding, masking)
 
 
 def queries() -> dict:

@@ -38,7 +38,7 @@ def p5_region_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _union_sql(source: str, keys: str) -> str:
-    return f"""o AS (SELECT {keys}, start_pos, end_pos, MAX(end_pos) OVER (PARTITION BY {keys} ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {source}),
+    return f"""o AS (SELECT {keys}, start_pos, end_pos, MAX(end_pos) OVER (PARTITION BY {keys} ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT DISTINCT {keys}, start_pos, end_pos FROM {source})),
     i AS (SELECT *, SUM(CASE WHEN m IS NULL OR start_pos > m THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS isl FROM o),
     u AS (SELECT {keys}, isl, MIN(start_pos) AS start_pos, MAX(end_pos) AS end_pos FROM i GROUP BY {keys}, isl)"""
 
