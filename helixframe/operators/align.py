@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.functions.seq import SpacedSeed, complex_enough, kmer_text, revcomp
+from helixframe.functions.seq import SpacedSeed, complex_enough, revcomp
 from helixframe.operators.kmers import CODE, packed_seeds, seeds
 
 MAX_LIBRARY_BASES = 64_000_000
@@ -55,7 +55,7 @@ def library_seeds(consensi: DataFrame, pattern: str, name: str = "consensus", se
     both = both.unionByName(consensi.select(F.struct(F.col(name).alias("consensus"), F.lit(True).alias("reverse")).alias("rec_id"), revcomp(F.upper(seq)).alias("seq")))
     named = both.select(F.to_json("rec_id").alias("rec_id"), "seq")
     rows = seeds(named, seed, strand="forward").withColumn("_o", F.from_json("rec_id", "consensus string, reverse boolean"))
-    return rows.where(complex_enough(kmer_text(F.col("kmer"), seed.weight), seed.weight)).select("_o.consensus", "_o.reverse", "kmer", F.col("pos").alias("cpos"))
+    return rows.where(complex_enough(F.col("kmer"), seed.weight)).select("_o.consensus", "_o.reverse", "kmer", F.col("pos").alias("cpos"))
 
 
 def seed_hits(records: DataFrame, lib: DataFrame, pattern: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.seq import SpacedSeed, kmer_text, revcomp
 from helixframe.operators.align import GAP, LOW, MATCH, MISMATCH
 from helixframe.operators.kmers import CODE, packed_seeds, seeds
+from helixframe.runtime import checkpoint, shuffle_partitions
 
 #: Most seeds that are extended at once, and most families; both bound what the driver sees.
 MAX_POOL = 200_000
@@ -106,21 +107,25 @@ def _trimmed(seq: bytes, least: int = 8) -> bytes:
     return seq
 
 
-def extended(records: DataFrame, pool: DataFrame, k: int, max_occ: int, flank: int, band: int, lookahead: int, min_support: int) -> DataFrame:
-    """kmer, cnt, seq, support, occurrences, tandem of every seed of the pool with enough occurrences."""
-    occ = oriented_flanks(records, occurrences(records, pool, k, max_occ), k, flank).join(pool, "kmer")
+def extended(flanks: DataFrame, k: int, max_occ: int, flank: int, band: int, lookahead: int, min_support: int) -> DataFrame:
+    """kmer, cnt, seq, support, occurrences, tandem of every seed with enough occurrences, each in a group of its own.
+
+    flanks: oriented_flanks with cnt; a seed has max_occ rows at most.
+    """
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_support:
             return pd.DataFrame({"kmer": [], "cnt": [], "seq": [], "support": [], "occurrences": [], "tandem": []})
-        pdf = pdf.sort_values(["rec_id", "pos"])
+        pdf = pdf.sort_values(["rec_id", "pos"]).head(max_occ)
         right, r = extend([x.encode() for x in pdf["right"]], band, lookahead, flank)
         left, l = extend([x.encode() for x in pdf["left"]], band, lookahead, flank)
         seq = _trimmed(left[::-1] + pdf["seed_seq"].iloc[0].encode() + right)
         support = int((r + l + k >= 0.25 * len(seq)).sum())
         return pd.DataFrame({"kmer": [pdf["kmer"].iloc[0]], "cnt": [pdf["cnt"].iloc[0]], "seq": [seq.decode()], "support": [support], "occurrences": [len(pdf)], "tandem": [is_tandem(seq)]})
 
-    return occ.groupBy("kmer").applyInPandas(grow, "kmer long, cnt long, seq string, support int, occurrences int, tandem boolean")
+    # the number of partitions is set: a group costs far more than its few bytes suggest
+    spread = flanks.repartition(4 * shuffle_partitions(flanks.sparkSession), "kmer")
+    return spread.groupBy("kmer").applyInPandas(grow, "kmer long, cnt long, seq string, support int, occurrences int, tandem boolean")
 
 
 def _seed_set(seq: str, k: int) -> np.ndarray:
@@ -139,37 +144,58 @@ def _near_covered(kmer: int, covered: np.ndarray, k: int, distance: int = 2) ->
     return False
 
 
-def build_consensi(records: DataFrame, index: DataFrame, k: int = 18, min_seed_count: int = 20, max_families: int = 2000, seed_pool: int = 0, max_occ: int = 100, flank: int = 3000, band: int = 16, lookahead: int = 100, min_len: int = 50, min_support: int = 10, second_pass: bool = False, second_min_len: int = 80, second_min_support: int = 5, second_max_families: int = 500, second_max_occ: int = 20) -> DataFrame:
-    """id, consensus, seq, support, occurrences, seed_count of the families found, in the order they were accepted.
+def build_consensi(records: DataFrame, index: DataFrame, k: int = 18, min_seed_count: int = 20, max_families: int = 2000, seed_pool: int = 0, max_occ: int = 100, flank: int = 3000, band: int = 16, lookahead: int = 100, min_len: int = 50, min_support: int = 10, second_pass: bool = False, second_min_len: int = 80, second_min_support: int = 5, second_max_families: int = 500) -> DataFrame:
+    """id, consensus, seq, support, occurrences, seed_count, pass of the families found, in the order they were accepted.
 
     Seeds are taken by falling count. One within two substitutions of an accepted consensus is skipped; an extension is kept
     if it is long enough, has enough support, is no tandem repeat, and less than 60 % of its 12-mers are in the families so
-    far. A second pass goes over the seeds left with relaxed limits. Memory of the driver: the extensions of the pool.
+    far. A second pass goes over the seeds left with relaxed limits. Seeds are extended in rounds, a few for each partition
+    and only those not yet covered; within a round the choice is made in order, so rounds change nothing but the work. The
+    driver holds the pool's seeds, a round's extensions and the families.
     """
     pool_size = seed_pool or max(100, 20 * max_families)
     if pool_size > MAX_POOL:
         raise ValueError(f"seed pool above {MAX_POOL}")
-    pool = top_seeds(index, pool_size, min_seed_count)
-    grown = extended(records, pool, k, max(max_occ, second_max_occ if second_pass else 0), flank, band, lookahead, min(min_support, second_min_support) if second_pass else min_support)
-    rows = sorted(grown.collect(), key=lambda r: (-r.cnt, r.kmer))
-    covered, covered12, kept, used = np.empty(0, np.uint64), np.empty(0, np.uint64), [], set()
+    pool = checkpoint(top_seeds(index, pool_size, min_seed_count))
+    flanks = checkpoint(oriented_flanks(records, occurrences(records, pool, k, max_occ), k, flank).join(pool, "kmer"))
+    support = min(min_support, second_min_support) if second_pass else min_support
+    enough = flanks.groupBy("kmer", "cnt").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    seeds_left = sorted((-r.cnt, r.kmer, r.n) for r in enough.collect())
+    size = 8 * shuffle_partitions(records.sparkSession)
+    covered, covered12, kept, grown = np.empty(0, np.uint64), np.empty(0, np.uint64), [], {}
     for number, (most, least_len, least_support) in enumerate([(max_families, min_len, min_support), (second_max_families, second_min_len, second_min_support)][: 1 + second_pass]):
-        accepted = candidates = 0
-        for r in rows:
-            if accepted >= most or candidates >= max(100, 20 * most):
-                break
-            if r.kmer in used or r.occurrences < least_support or _near_covered(r.kmer, covered, k):
-                continue
-            candidates += 1
-            k12 = _seed_set(r.seq, 12)
-            redundant = len(k12) > 0 and int(np.isin(k12, covered12).sum()) * 10 >= len(k12) * 6
-            if len(r.seq) < least_len or r.support < least_support or r.tandem or redundant:
-                continue
-            used.add(r.kmer)
-            covered = np.union1d(covered, np.union1d(_seed_set(r.seq, k), np.array([r.kmer], np.uint64)))
-            covered12 = np.union1d(covered12, k12)
-            accepted += 1
-            kept.append((len(kept) + 1, f"fam_{len(kept) + 1:05d}", r.seq, r.support, r.occurrences, r.cnt, number + 1))
+        accepted = candidates = at = 0
+        queue = [x for x in seeds_left if x[2] >= least_support]
+        done: set[int] = set()
+        while at < len(queue) and accepted < most and candidates < max(100, 20 * most):
+            batch: list[int] = []
+            stop = at
+            while stop < len(queue) and len(batch) < size:
+                kmer = queue[stop][1]
+                if kmer not in grown and not _near_covered(kmer, covered, k):
+                    batch.append(kmer)
+                stop += 1
+            if batch:
+                wanted = flanks.where(F.col("kmer").isin(batch))
+                grown |= {r.kmer: r for r in extended(wanted, k, max_occ, flank, band, lookahead, support).collect()}
+            for _, kmer, _ in queue[at:stop]:
+                if accepted >= most or candidates >= max(100, 20 * most):
+                    break
+                if kmer not in grown or _near_covered(kmer, covered, k):
+                    continue
+                r = grown[kmer]
+                candidates += 1
+                k12 = _seed_set(r.seq, 12)
+                redundant = len(k12) > 0 and int(np.isin(k12, covered12).sum()) * 10 >= len(k12) * 6
+                if len(r.seq) < least_len or r.support < least_support or r.tandem or redundant:
+                    continue
+                done.add(kmer)
+                covered = np.union1d(covered, np.union1d(_seed_set(r.seq, k), np.array([kmer], np.uint64)))
+                covered12 = np.union1d(covered12, k12)
+                accepted += 1
+                kept.append((len(kept) + 1, f"fam_{len(kept) + 1:05d}", r.seq, r.support, r.occurrences, r.cnt, number + 1))
+            at = stop
+        seeds_left = [x for x in seeds_left if x[1] not in done]
     return records.sparkSession.createDataFrame(kept, "id int, consensus string, seq string, support int, occurrences int, seed_count long, pass int")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.plans import masking, problems, seeding
+from helixframe.plans import diagnostics, evaluation, learning, library, masking, problems, seeding
 
-MODULES = (problems, seeding, masking)
+MODULES = (problems, seeding, masking, evaluation, library, learning, diagnostics)
 
 
 def queries() -> dict:

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.runtime import table
+from helixframe.runtime import shuffle_partitions, table
 
 PLACED = "chrom IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL AND end_pos > start_pos"
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, asm_id, header, chrom, seq: one row for each record; of re-sent ones the first by seq and header."""
+    """rec_id, asm_id, header, chrom, seq: one row for each record; of re-sent ones the first by seq and header.
+
+    The number of partitions is set, since what follows costs far more than the few bytes of a record suggest.
+    """
     w = W.partitionBy("rec_id").orderBy("seq", "header")
-    return table(spark, sf_dir, "records").where("rec_id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    spread = table(spark, sf_dir, "records").where("rec_id IS NOT NULL").repartition(shuffle_partitions(spark), "rec_id")
+    return spread.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:

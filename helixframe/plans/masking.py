@@ -150,10 +150,11 @@ def _link_sql(gap: int, min_hits: int = 1, density: float = 0.0) -> str:
     return f"{chains_sql('ht', 'cc', gap, ', MAX(stop) AS stop, BOOL_OR(strong) AS strong, COUNT(*) AS hits')} SELECT rec_id, first AS start_pos, stop AS end_pos, hits FROM cc WHERE strong AND stop - first >= 30 AND hits >= {min_hits} AND hits >= (stop - first) * {density}"
 
 
-def graph_sql(k: int, t: int, gap: int = 100, scope: str = "record", name: str = "gr") -> str:
-    """CTEs of graph masking of the k-mers km{k}."""
+def graph_sql(k: int, t: int, gap: int = 100, scope: str = "record", name: str = "gr", first: bool = True) -> str:
+    """CTEs of graph masking of the k-mers km{k}, which the first use of k makes."""
     by = "rec_id, kmer" if scope == "record" else "kmer"
-    return f"{kmers(k, f'km{k}', f'w{k}')}, {name}_h AS (SELECT rec_id, pos FROM (SELECT *, COUNT(*) OVER (PARTITION BY {by}) AS cnt FROM km{k}) WHERE cnt >= {t}), {chains_sql(f'{name}_h', f'{name}_c', gap)}, {name} AS (SELECT rec_id, first AS start_pos, last + {k - 1} AS end_pos FROM {name}_c WHERE last + {k - 1} - first >= 30)"
+    made = kmers(k, f"km{k}", f"w{k}") + ", " if first else ""
+    return f"{made}{name}_h AS (SELECT rec_id, pos FROM (SELECT *, COUNT(*) OVER (PARTITION BY {by}) AS cnt FROM km{k}) WHERE cnt >= {t}), {chains_sql(f'{name}_h', f'{name}_c', gap)}, {name} AS (SELECT rec_id, first AS start_pos, last + {k - 1} AS end_pos FROM {name}_c WHERE last + {k - 1} - first >= 30)"
 
 
 _TANDEM = f"""{G}, {windows(5)}, lk AS (SELECT rec_id, pos, pos - LAG(pos) OVER (PARTITION BY rec_id, f ORDER BY pos) AS period FROM w), lp AS (SELECT * FROM lk WHERE period <= 500),
