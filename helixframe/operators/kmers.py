@@ -30,42 +30,81 @@ def codes_of(seq: pa.StringScalar) -> np.ndarray:
     return CODE[np.frombuffer(seq.as_buffer(), np.uint8)]
 
 
+def packed_runs(codes: np.ndarray, k: int) -> np.ndarray:
+    """Each k successive codes as a number, two bits a code, by doubling the length of what is packed already."""
+    power, have, done, out = codes.astype(np.uint64), 1, 0, None
+    total = len(codes) - k + 1
+    while True:
+        if k & have:
+            piece = power[done : done + total]
+            out = piece.copy() if out is None else (out << np.uint64(2 * have)) | piece
+            done += have
+        if 2 * have > k:
+            return out
+        power = (power[:-have] << np.uint64(2 * have)) | power[have:]
+        have *= 2
+
+
 def packed_seeds(codes: np.ndarray, seed: SpacedSeed, strand: str) -> tuple[np.ndarray, np.ndarray]:
     """Places and packed seeds of the windows without other letters. strand: canonical, forward or reverse."""
     n = len(codes) - seed.span + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    places = [i for i, c in enumerate(seed.pattern) if c == "1"]
     bad = np.concatenate(([0], np.cumsum(codes > 3)))
     at = np.flatnonzero(bad[seed.span :] == bad[:n])
-    low = (codes & 3).astype(np.uint64)
-    fwd, rev = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in places:
-        if strand != "reverse":
-            fwd = (fwd << np.uint64(2)) | low[i : i + n]
-        if strand != "forward":  # the last compared letter comes first, complemented
-            j = places[len(places) - 1 - places.index(i)]
-            rev = (rev << np.uint64(2)) | (np.uint64(3) - low[j : j + n])
-    out = fwd if strand == "forward" else rev if strand == "reverse" else np.minimum(fwd, rev)
+    low = codes & 3
+
+    def packed(x: np.ndarray) -> np.ndarray:
+        out = None
+        for off, length in seed.runs():
+            piece = packed_runs(x, length)[off : off + n]
+            out = piece if out is None else (out << np.uint64(2 * length)) | piece
+        return out
+
+    fwd = packed(low) if strand != "reverse" else None
+    # the reverse strand's windows come in the opposite order
+    rev = packed((3 - low)[::-1])[::-1] if strand != "forward" else None
+    out = rev if fwd is None else fwd if rev is None else np.minimum(fwd, rev)
     return at, out[at]
 
 
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Record batches of about `size` rows from (id, array, array, ...) for one sequence each: the id goes with every row."""
+    held: list[tuple] = []
+    n = 0
+
+    def batch() -> pa.RecordBatch:
+        lengths = [len(h[1]) for h in held]
+        ids = pa.array([h[0] for h in held], schema[0].type).take(pa.array(np.repeat(np.arange(len(held)), lengths)))
+        cols = [pa.array(np.concatenate([h[i] for h in held])).cast(schema[i].type) for i in range(1, len(schema))]
+        return pa.RecordBatch.from_arrays([ids, *cols], schema=schema)
+
+    for row in rows:
+        if len(row[1]):
+            held.append(row)
+            n += len(row[1])
+        if n >= size:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
 def _seed_rows(seed: SpacedSeed, strand: str, sample: int, id_type: pa.DataType):
     out = pa.schema([("rec_id", id_type), ("pos", pa.int64()), ("kmer", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for rec, seq in zip(b.column(0), b.column(1)):
+            for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
                 codes = codes_of(seq)
                 for off in range(0, max(1, len(codes) - seed.span + 1), PIECE):
                     pos, kmer = packed_seeds(codes[off : off + PIECE + seed.span - 1], seed, strand)
                     if sample > 1:
                         keep = seed_hash(kmer) & np.uint64(sample - 1) == 0
                         pos, kmer = pos[keep], kmer[keep]
-                    if len(pos):
-                        yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * 1, id_type).take(pa.array(np.zeros(len(pos), np.int32))), pa.array(pos + off), pa.array(kmer.view(np.int64))], schema=out)
+                    yield rec, pos + off, kmer.view(np.int64)
 
-    return run
+    return lambda batches: in_batches(each(batches), out)
 
 
 def seeds(records: DataFrame, seed: SpacedSeed | int, strand: str = "canonical", sample: int = 1, rec_id: str = "rec_id", seq: str = "seq") -> DataFrame:

@@ -15,14 +15,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.functions.seq import SpacedSeed
 from helixframe.operators.graph import connected_components
 from helixframe.operators.intervals import link_gaps, set_runs
-from helixframe.operators.kmers import CODE, codes_of, count_seeds, neighbours, seeds
+from helixframe.operators.kmers import CODE, codes_of, count_seeds, in_batches, neighbours, packed_seeds, seeds
 from helixframe.operators.tiles import union_intervals
 
 RUN_SCHEMA = "rec_id long, start_pos long, end_pos long"
 
 
+#: Records up to this length are counted, and their tandem runs found, where they are read; longer ones by shuffles.
+WHOLE = 1 << 22
+
+
+def _frequent_in_record(records: DataFrame, k: int, threshold: int) -> DataFrame:
+    """frequent_positions of records of bounded length, counted where they are: nothing is shuffled."""
+    out = pa.schema([("rec_id", pa.int64()), ("pos", pa.int64()), ("kmer", pa.int64()), ("cnt", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
+                pos, kmer = packed_seeds(codes_of(seq), SpacedSeed.contiguous(k), "canonical")
+                _, back, n = np.unique(kmer, return_inverse=True, return_counts=True)
+                keep = n[back] >= threshold
+                yield rec, pos[keep], kmer[keep].view(np.int64), n[back][keep]
+
+    return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, kmer long, cnt long")
+
+
+def by_length(records: DataFrame, short, long) -> DataFrame:
+    """short(records up to WHOLE) and long(longer records) in one table; rows with a null sequence are left out."""
+    return short(records.where(F.length("seq") <= WHOLE)).unionByName(long(records.where(F.length("seq") > WHOLE)))
+
+
 def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: bool = False, scope: str = "record") -> DataFrame:
     """rec_id, pos, kmer, cnt of the windows whose canonical k-mer occurs at least threshold times.
 
@@ -30,11 +55,16 @@ def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: boo
     count too (cnt is then null where the k-mer itself is rarer). The set of frequent k-mers is expanded once, not
     every window, since being near is mutual.
     """
-    by = ["rec_id"] if scope == "record" else []
+    if scope == "record" and not mismatch:
+        return by_length(records, lambda r: _frequent_in_record(r, k, threshold), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]))
+    return _frequent_by_join(records, k, threshold, mismatch, ["rec_id"] if scope == "record" else [])
+
+
+def _frequent_by_join(records: DataFrame, k: int, threshold: int, mismatch: bool, by: list[str]) -> DataFrame:
     rows = seeds(records, k)
     high = count_seeds(rows, by).where(F.col("cnt") >= threshold)
     if not mismatch:
-        return rows.join(high, [*by, "kmer"])
+        return rows.join(high, [*by, "kmer"]).select("rec_id", "pos", "kmer", "cnt")
     near = neighbours(high, k, 1, itself=True)
     wide = high.select(*by, "kmer").join(near, "kmer").select(*by, F.col("near").alias("kmer")).distinct()
     return rows.join(wide, [*by, "kmer"], "left_semi").join(high, [*by, "kmer"], "left")
@@ -112,32 +142,57 @@ def link_hits(hits: DataFrame, gap: int = 150, min_len: int = 30, min_hits: int
     return c.where(F.col("_strong") & (length >= min_len) & (F.col("hits") >= min_hits) & (F.col("hits") >= length * min_density)).select("rec_id", F.col("first").alias("start_pos"), "end_pos", "hits")
 
 
-def tandem_links(records: DataFrame, k: int = 5, max_period: int = 500) -> DataFrame:
-    """rec_id, pos, period, before: windows whose forward k-mer last stood `period` bases before, at most max_period.
+def _links(codes: np.ndarray, k: int, max_period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and periods of the windows whose k-mer last stood at most max_period before, in order of place."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pos, val = packed_seeds(codes, SpacedSeed.contiguous(k), "forward")
+    order = np.argsort(val, kind="stable")
+    back = np.zeros(len(pos), np.int64)
+    sorted_pos, same = pos[order], val[order][1:] == val[order][:-1]
+    back[order[1:][same]] = (sorted_pos[1:] - sorted_pos[:-1])[same]
+    keep = (back > 0) & (back <= max_period)
+    return pos[keep], back[keep]
 
-    One k-mer may hold much of a record, so links are found on the record's own positions, an array at a time.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tandem_links(records: DataFrame, k: int = 5, max_period: int = 500) -> DataFrame:
+    """rec_id, pos, period: windows whose forward k-mer last stood `period` bases before, at most max_period."""
+    out = pa.schema([("rec_id", pa.int64()), ("pos", pa.int64()), ("period", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
                 codes = codes_of(seq)
-                n = len(codes) - k + 1
-                if n <= 0:
+                for off in range(0, max(1, len(codes) - k + 1), WHOLE):
+                    lead = min(off, max_period)  # what a link may reach back to
+                    pos, period = _links(codes[off - lead : off + WHOLE + k - 1], k, max_period)
+                    own = pos >= lead
+                    yield rec, pos[own] + off - lead, period[own]
+
+    return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, period long")
+
+
+def _runs_in_record(records: DataFrame, k: int, max_period: int, min_len: int, density: float) -> DataFrame:
+    """tandem_runs of records of bounded length, linked where they are."""
+    out = pa.schema([(c, pa.int64()) for c in ("rec_id", "period", "start_pos", "end_pos", "matches")])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
+                pos, period = _links(codes_of(seq), k, max_period)
+                order = np.lexsort((pos, period))
+                pos, period = pos[order], period[order]
+                at = np.flatnonzero(np.concatenate(([True], (period[1:] != period[:-1]) | (pos[1:] > pos[:-1] + period[1:] + k)))[: len(pos)])
+                if not len(at):
                     continue
-                bad = np.concatenate(([0], np.cumsum(codes > 3)))
-                at = np.flatnonzero(bad[k:] == bad[:n])
-                kmer = np.zeros(n, np.int64)
-                for i in range(k):
-                    kmer = (kmer << 2) | (codes[i : i + n] & 3)
-                order = np.lexsort((at, kmer[at]))
-                at, val = at[order], kmer[at][order]
-                back = at[1:] - at[:-1]
-                keep = (val[1:] == val[:-1]) & (back <= max_period)
-                pos, period = at[1:][keep], back[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), rec)), pa.array(pos), pa.array(period)], names=["rec_id", "pos", "period"])
+                n = np.diff(np.concatenate((at, [len(pos)])))
+                d, start, end = period[at], pos[at] - period[at], pos[at + n - 1] + k
+                size = end - start
+                keep = (size >= min_len) & (size >= 2 * d) & (n >= density * np.maximum(1, size - d))
+                yield rec, d[keep], start[keep], end[keep], n[keep]
 
-    return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(run, "rec_id long, pos long, period long")
+    return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, period long, start_pos long, end_pos long, matches long")
 
 
 def tandem_runs(records: DataFrame, k: int = 5, max_period: int = 500, min_len: int = 20, density: float = 0.25) -> DataFrame:
@@ -146,12 +201,15 @@ def tandem_runs(records: DataFrame, k: int = 5, max_period: int = 500, min_len:
     A run goes on while the next link of its period is at most period + k further; it covers at least min_len bases and two
     periods, and links on a share `density` of its bases after the first period.
     """
-    w = W.partitionBy("rec_id", "period").orderBy("pos")
-    links = tandem_links(records, k, max_period)
-    far = F.coalesce(F.col("pos") > F.lag("pos").over(w) + F.col("period") + k, F.lit(True))
-    runs = links.withColumn("_r", F.sum(far.cast("long")).over(w)).groupBy("rec_id", "period", "_r").agg((F.min("pos") - F.first("period")).alias("start_pos"), (F.max("pos") + k).alias("end_pos"), F.count("*").alias("matches")).drop("_r")
-    length = F.col("end_pos") - F.col("start_pos")
-    return runs.where((length >= min_len) & (length >= 2 * F.col("period")) & (F.col("matches") >= density * F.greatest(F.lit(1), length - F.col("period"))))
+
+    def linked(long: DataFrame) -> DataFrame:
+        w = W.partitionBy("rec_id", "period").orderBy("pos")
+        far = F.coalesce(F.col("pos") > F.lag("pos").over(w) + F.col("period") + k, F.lit(True))
+        runs = tandem_links(long, k, max_period).withColumn("_r", F.sum(far.cast("long")).over(w)).groupBy("rec_id", "period", "_r").agg((F.min("pos") - F.first("period")).alias("start_pos"), (F.max("pos") + k).alias("end_pos"), F.count("*").alias("matches")).drop("_r")
+        length = F.col("end_pos") - F.col("start_pos")
+        return runs.where((length >= min_len) & (length >= 2 * F.col("period")) & (F.col("matches") >= density * F.greatest(F.lit(1), length - F.col("period"))))
+
+    return by_length(records, lambda r: _runs_in_record(r, k, max_period, min_len, density), linked)
 
 
 def periodic_identity(codes: np.ndarray, period: int) -> float:

@@ -30,6 +30,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster runs tasks at once, for work that costs far more than reading.
+
+    Large inputs come in more splits than that and are left as they are; only small ones are shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def distinct_rows(df: DataFrame, id_col: str) -> DataFrame:
     """One row for each id, for tables whose rows may be re-sent under the same id with equal columns.
 
