@@ -115,7 +115,7 @@ def extended(flanks: DataFrame, k: int, max_occ: int, flank: int, band: int, loo
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_support:
-            return pd.DataFrame({"kmer": [], "cnt": [], "seq": [], "support": [], "occurrences": [], "tandem": []})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("kmer", "int64"), ("cnt", "int64"), ("seq", object), ("support", "int32"), ("occurrences", "int32"), ("tandem", bool))})
         pdf = pdf.sort_values(["rec_id", "pos"]).head(max_occ)
         right, r = extend([x.encode() for x in pdf["right"]], band, lookahead, flank)
         left, l = extend([x.encode() for x in pdf["left"]], band, lookahead, flank)

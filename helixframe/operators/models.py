@@ -139,7 +139,7 @@ def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: i
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y, size = pdf["label"].to_numpy(float), pdf["size"].to_numpy(float)
         if len(pdf) < least or y.min() == y.max():
-            return pd.DataFrame({c: [] for c in ("grp", "w", "mu", "sd", "b0", "tau", "rows")})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("grp", object), ("w", object), ("mu", object), ("sd", object), ("b0", float), ("tau", float), ("rows", "int64"))})
         x = pdf[FEATURES].to_numpy(float)
         mu, sd = x.mean(0), x.std(0)
         sd[sd == 0] = 1
@@ -157,7 +157,9 @@ def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: i
 
 
 def train_trees(rows: DataFrame, row_id: str = "cand_id", depth: int = 4, rounds: int = 10):
-    """A gradient-boosted model of Spark's own, on all labelled rows; returns the fitted model."""
+    """A gradient-boosted model of Spark's own, on all labelled rows; the fitted model, None without rows of both labels."""
+    if rows.select("label").distinct().count() < 2:
+        return None
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

@@ -16,7 +16,7 @@ RC = str.maketrans("ACGT", "TGCA")
 
 
 def dna(salt: int, n: int) -> str:
-    x = hashing.splitmix64(np.arange(n, dtype=np.uint64) ^ np.uint64(salt))
+    x = hashing.splitmix64(np.arange(n, dtype=np.uint64) ^ np.uint64(salt << 32))
     return "".join("ACGT"[i] for i in (x % np.uint64(4)).tolist())
 
 
@@ -85,7 +85,8 @@ def test_components_mask(spark):
     s = dna(1, 300) + "".join(unit + dna(20 + i, 50) for i in range(6)) + dna(2, 300)
     got = masks.mask_components(records(spark, s), 12, 3, least=30).collect()
     want = [s.index(unit, p) for p in range(len(s)) if s.startswith(unit, p)]
-    assert {(r.start_pos, r.end_pos) for r in got} >= {(p, p + 40) for p in want}
+    # a base beside a copy may agree with others by chance
+    assert all(any(p - 4 <= r.start_pos <= p and p + 40 <= r.end_pos <= p + 44 for r in got) for p in want) and len(want) == 6
 
 
 def plain_xdrop(a, b, band, xdrop):
