@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.llm import cutoffs, frequent, mixing, packing, samples, sentences, spans
 from helixframe.llm.tokens import token_count
 from helixframe.operators.tiles import overlap_pieces, union_intervals
-from helixframe.runtime import checkpoint, table
+from helixframe.runtime import checkpoint, spread, table
 
 P1_PARTS = 500
 P7_CAPACITY = 2048
@@ -68,7 +68,7 @@ def p6_per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack_items(docs.select("doc_id", token_count(F.col("text")).alias("tokens")), "doc_id", "tokens", P7_CAPACITY, packing.shard_count(docs.count()))
+    return packing.pack_items(spread(docs.select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("tokens")), "doc_id", "tokens", P7_CAPACITY, packing.shard_count(docs.count()))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
-    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", mixing.source_name(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.Mixture(checkpoint(docs), targets.withColumn("source", mixing.source_name(F.col("source"))))
 

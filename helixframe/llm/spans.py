@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.tiles import union_intervals
-from helixframe.runtime import shuffle_partitions
+from helixframe.runtime import shuffle_partitions, spread
 
 SPAN = 64
 SEED = 24
@@ -32,6 +32,8 @@ PACKED = -(-LONGEST // 4)
 PIECE = 1 << 22
 #: An anchor with fewer stretches is never hot.
 HOT_ROWS = 10_000
+#: Stretches that leave a task at once.
+BATCH_ROWS = 20_000
 #: Stretches that are compared at once.
 BLOCK_ROWS = 50_000
 
@@ -88,6 +90,16 @@ def stretches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some ten thousand stretches, so that short records don't make a batch each."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def batch() -> pa.RecordBatch:
+        anchor, rec, start, windows, packed = (np.concatenate(x) for x in zip(*held))
+        ends = pa.py_buffer(np.arange(0, len(anchor) * PACKED + 1, PACKED, dtype=np.int32))
+        bases = pa.Array.from_buffers(pa.binary(), len(anchor), [None, ends, pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(rec), pa.array(start), pa.array(windows), bases], schema=_SCHEMA)
+
     for b in batches:
         for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
             data = np.frombuffer(seq.as_buffer(), np.uint8)
@@ -97,10 +109,14 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if not len(start):
                     continue
                 letters = np.concatenate((codes & 3, np.zeros(LONGEST + 4, np.uint8)))[start[:, None] + np.arange(4 * PACKED)].reshape(len(start), PACKED, 4)
-                packed = np.ascontiguousarray((letters[:, :, 0] << 6) | (letters[:, :, 1] << 4) | (letters[:, :, 2] << 2) | letters[:, :, 3])
-                ends = pa.py_buffer(np.arange(0, len(start) * PACKED + 1, PACKED, dtype=np.int32))
-                bases = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(start), rec)), pa.array(start + off), pa.array(windows.astype(np.int32)), bases], schema=_SCHEMA)
+                packed = (letters[:, :, 0] << 6) | (letters[:, :, 1] << 4) | (letters[:, :, 2] << 2) | letters[:, :, 3]
+                held.append((anchor, np.full(len(start), rec), start + off, windows.astype(np.int32), packed))
+                n += len(start)
+                if n >= BATCH_ROWS:
+                    yield batch()
+                    held, n = [], 0
+    if held:
+        yield batch()
 
 
 def _windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +215,7 @@ def shared_spans(records: DataFrame, rec_id: str = "rec_id", seq: str = "seq", h
     Letter case is ignored; other letters never match. Repeated rows of one rec_id count as one record, and bases are
     shared if they are in any of its rows. Rows with a null rec_id or seq, and sequences shorter than SPAN, give nothing.
     """
-    rows = records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(seq).alias("seq")).where(f"rec_id IS NOT NULL AND length(seq) >= {SPAN}")
+    rows = spread(records.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(seq).alias("seq"))).where(f"rec_id IS NOT NULL AND length(seq) >= {SPAN}")
     pieces = rows.mapInArrow(_stretch_rows, STRETCHES)
     hot = hot_anchors(pieces, hot_rows).persist()
     cold = pieces.join(F.broadcast(hot), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
