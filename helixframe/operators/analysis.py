@@ -87,3 +87,34 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
 def wrong_arity(lines: DataFrame, fields: int, sep: str = "\t", line: str = "value") -> DataFrame:
     """lines with n_fields, those with another number of fields."""
     return lines.withColumn("n_fields", F.size(F.split(F.col(line), sep))).where(F.col("n_fields") != fields)
+
+
+def random_rows(df: DataFrame, row_id: str, n: int, seed: int = 1) -> DataFrame:
+    """n rows chosen by a hash of their id, the same ones each time; all if there are fewer."""
+    return df.orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(n)
+
+
+def variants(seqs: DataFrame, name: str = "consensus", seq: str = "seq", rates: tuple[float, ...] = (0.05, 0.1, 0.2), each: int = 3, seed: int = 1) -> DataFrame:
+    """name, variant, rate, seq: `each` copies of every sequence at every substitution rate, seeded by name and number.
+
+    A mutated base becomes one of the other three; letters other than A, C, G, T stay.
+    """
+    import numpy as np
+    import pandas as pd
+
+    plan = F.explode(F.array(*[F.struct(F.lit(i * each + j).alias("variant"), F.lit(r).alias("rate")) for i, r in enumerate(rates) for j in range(each)]))
+    rows = seqs.where(F.col(seq).isNotNull()).select(F.col(name).alias(name), F.upper(seq).alias("_s"), plan.alias("_v")).select(name, "_s", "_v.*").withColumn("_h", F.xxhash64(F.lit(seed), name, "variant"))
+
+    @F.pandas_udf("string")
+    def mutate(s, rate, h):
+        out = []
+        for text, r, k in zip(s, rate, h):
+            rng, x = np.random.default_rng(int(k) & (2**63 - 1)), np.frombuffer(text.encode(), np.uint8).copy()
+            code = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), x)
+            known = np.isin(x, np.frombuffer(b"ACGT", np.uint8))
+            hit = known & (rng.random(len(x)) < r)
+            x[hit] = np.frombuffer(b"ACGT", np.uint8)[(code[hit] + rng.integers(1, 4, hit.sum())) % 4]
+            out.append(x.tobytes().decode())
+        return pd.Series(out)
+
+    return rows.select(name, "variant", "rate", mutate("_s", "rate", "_h").alias("seq"))

@@ -45,11 +45,3 @@ def distinct_rows(df: DataFrame, id_col: str) -> DataFrame:
     Rows with a null id can't be told from a re-sent row and are left out.
     """
     return df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-
-
-def fresh_name(base: str, taken: list[str]) -> str:
-    """A column name that doesn't clash with the ones taken (case-insensitive, as Spark compares them)."""
-    lower = {c.lower() for c in taken}
-    while base.lower() in lower:
-        base += "_"
-    return base

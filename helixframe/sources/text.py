@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import sequence_id, wrap80
@@ -189,5 +188,3 @@ def fetch_windows(places: DataFrame, chunks: DataFrame, chunk: int = 1 << 20) ->
     joined = parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "_p"))), lambda x: x["_p"]), "").alias("seq"))
     return places.join(joined, "id", "left")
 
-
-__all__ = ["W", "read_fasta", "read_bed", "write_fasta"]

@@ -235,3 +235,23 @@ def test_model_text(spark):
     lines = [x for r in text.model_lines(m, g, t).orderBy("place").collect() for x in r.value.split("\n")]
     groups, members, thresholds = text.read_models(lines)
     assert groups[0]["w"] == [0.5] * 8 and groups[0]["tau"] == 0.5 and members == {"c1": ("g", 0.1)} and thresholds == {"c2": 15}
+
+
+def test_tables_of_other_tools(spark):
+    lines = ["#c", *["a"] * 3, "1\t600\t2000\t2600\t600\t600\t95.5\tx\tx", "1\t600\t2000\t2600\t600\t600\t95.5\tx\ty", "1\t60\t2000\t2060\t60\t60\t99\tx\tx", "1\t600\tz\t2600\t600\t600\t80\tx\tx", "short"]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    assert [(r.s1, r.e2, r.identity) for r in text.parse_alignment_table(df).collect()] == [(1, 2600, 95.5)]
+    hit = "chr1 - MIR - 1 99 900 801 x x 1000 - 1e-5 40.5 0.1 -"
+    hits = spark.createDataFrame([("# " + hit,), (hit,), ("a b c",), (hit.replace("900", "nine"),), (hit.replace("40.5", "4"),)], "value string")
+    assert [tuple(r) for r in text.parse_hit_table(hits, min_score=20, max_evalue=1e-3).collect()] == [("chr1", 800, 900, "SINE/MIR", 40.5, 1e-5)]
+
+
+def test_chosen_rows_and_variants(spark):
+    from helixframe.operators.analysis import random_rows, upper_median, variants
+
+    df = spark.range(100)
+    one, two = ([r.id for r in random_rows(x, "id", 7).collect()] for x in (df, df.repartition(5)))
+    assert one == two and len(one) == 7
+    v = variants(spark.createDataFrame([("a", "ACGTN" * 100), ("b", None)], "consensus string, seq string"), rates=(0.0, 0.3)).collect()
+    assert len(v) == 6 and all(r.seq == "ACGTN" * 100 for r in v if r.rate == 0) and all(0.15 < np.mean([x != y for x, y in zip(r.seq, "ACGTN" * 100)]) < 0.33 and r.seq[4::5] == "N" * 100 for r in v if r.rate)
+    assert upper_median(spark.createDataFrame([(x,) for x in (5, 1, 3, 9)], "n long"), "n").first().median == 5
