@@ -10,15 +10,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import f1, ratio
-from helixframe.operators.tiles import overlap_pieces, union_intervals
+from helixframe.operators.tiles import GAP, interval_periods, overlap_pieces, union_intervals
 
 
-def link_gaps(df: DataFrame, keys: list[str], pos: str, gap: int, *aggs: Column) -> DataFrame:
-    """keys, first, last and aggs of each chain of positions of which none is further than gap from the one before."""
-    w = W.partitionBy(*keys).orderBy(pos)
-    far = F.col(pos) > F.lag(pos).over(w) + gap
-    chained = df.withColumn("_chain", F.sum(F.coalesce(far, F.lit(True)).cast("long")).over(w))
-    return chained.groupBy(*keys, "_chain").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), *aggs).drop("_chain")
+#: Positions of a key are worked on in tiles of about this width, so that no window holds a key.
+TILE = 1 << 18
+
+
+def link_gaps(df: DataFrame, keys: list[str], pos: str, gap: int, tile: int | None = None, **aggs: tuple[str, Column]) -> DataFrame:
+    """keys, first, last and aggs of each chain of positions of which none is further than gap from the one before.
+
+    aggs: name=(how, column) with how 'max', 'min' or 'sum', over the rows of a chain. Chains are made inside tiles of
+    (keys, position); only those that come within gap of their tile's edge, a few a tile, are linked over tiles. Rows
+    with a null position are left out.
+    """
+    how = {"max": F.max, "min": F.min, "sum": F.sum}
+    tile = tile or max(TILE, 16 * gap)
+    rows = df.where(F.col(pos).isNotNull()).select(*keys, F.col(pos).cast("long").alias("_p"), F.floor(F.col(pos) / tile).alias("_t"), *[c.alias(n) for n, (_, c) in aggs.items()])
+    w = W.partitionBy(*keys, "_t").orderBy("_p")
+    far = F.coalesce(F.col("_p") > F.lag("_p").over(w) + gap, F.lit(True)).cast("long")
+    merged = [how[h](n).alias(n) for n, (h, _) in aggs.items()]
+    local = rows.withColumn("_c", F.sum(far).over(w)).groupBy(*keys, "_t", "_c").agg(F.min("_p").alias("first"), F.max("_p").alias("last"), *merged)
+    edge = (F.col("first") - F.col("_t") * tile <= gap) | ((F.col("_t") + 1) * tile - F.col("last") <= gap)
+    across = W.partitionBy(*keys).orderBy("first") if keys else W.partitionBy(F.lit(0)).orderBy("first")
+    apart = F.coalesce(F.col("first") > F.lag("last").over(across) + gap, F.lit(True)).cast("long")
+    joined = local.where(edge).withColumn("_c", F.sum(apart).over(across)).groupBy(*keys, "_c").agg(F.min("first").alias("first"), F.max("last").alias("last"), *merged)
+    return local.where(~edge).drop("_t", "_c").unionByName(joined.drop("_c"))
 
 
 def set_runs(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -38,17 +55,36 @@ def union_named(df: DataFrame, keys: list[str], name: str = "name", order: str |
     return out.groupBy(*keys, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.coalesce(F.min("_named")[name], F.lit("")).alias(name)).drop("_i")
 
 
-def depth_segments(sides: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """keys, start_pos, end_pos and one depth column for each side: the stretches between successive borders."""
+def _tiled(df: DataFrame, tile: int) -> DataFrame:
+    """df with _t, and start_pos and end_pos cut to that tile: one row for each tile an interval lies in."""
+    rows = df.where("end_pos > start_pos").withColumn("_t", F.explode(F.sequence(F.floor(F.col("start_pos") / tile), F.floor((F.col("end_pos") - 1) / tile))))
+    return rows.withColumns({"start_pos": F.greatest(F.col("start_pos"), F.col("_t") * tile), "end_pos": F.least(F.col("end_pos"), (F.col("_t") + 1) * tile)})
+
+
+def depth_segments(sides: dict[str, DataFrame], keys: list[str], tile: int = TILE, gaps: bool = False) -> DataFrame:
+    """keys, start_pos, end_pos and one depth column for each side: the stretches between successive borders that lie under
+    an interval of any side; with gaps, also those between them.
+
+    Intervals are cut at the edges of tiles, so stretches end there too, and no window holds more than a tile of a key.
+    """
     events = None
     for side, df in sides.items():
+        cut = _tiled(df.select(*keys, "start_pos", "end_pos"), tile)
         for at, step in (("start_pos", 1), ("end_pos", -1)):
-            e = df.where("end_pos > start_pos").select(*keys, F.col(at).alias("at"), *[F.lit(step if s == side else 0).alias(s) for s in sides])
+            e = cut.select(*keys, "_t", F.col(at).alias("at"), *[F.lit(step if s == side else 0).alias(s) for s in sides])
             events = e if events is None else events.unionByName(e)
-    at_border = events.groupBy(*keys, "at").agg(*[F.sum(s).alias(s) for s in sides])
-    w = W.partitionBy(*keys).orderBy("at")
+    at_border = events.groupBy(*keys, "_t", "at").agg(*[F.sum(s).alias(s) for s in sides])
+    w = W.partitionBy(*keys, "_t").orderBy("at")
     out = at_border.select(*keys, F.col("at").alias("start_pos"), F.lead("at").over(w).alias("end_pos"), *[F.sum(s).over(w).alias(s) for s in sides])
-    return out.where("end_pos IS NOT NULL")
+    out = out.where(F.col("end_pos").isNotNull() & (sum(F.col(s) for s in sides) > 0))
+    if not gaps:
+        return out
+    whole = None
+    for df in sides.values():
+        rows = df.select(*keys, "start_pos", "end_pos")
+        whole = rows if whole is None else whole.unionByName(rows)
+    between = interval_periods(whole, keys, kinds=(GAP,)).select(*keys, "start_pos", "end_pos", *[F.lit(0).cast("long").alias(s) for s in sides])
+    return out.unionByName(between)
 
 
 def sweep_counts(truth: DataFrame, pred: DataFrame, keys: list[str], tile: int | None = None) -> DataFrame:
@@ -84,18 +120,20 @@ def family_recall(truth: DataFrame, pred: DataFrame, keys: list[str], family: st
 
 def subtract(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start_pos, end_pos: maximal stretches under the left but not the right intervals."""
-    only = depth_segments({"a": left, "b": right}, keys).where("a > 0 AND b = 0")
-    w = W.partitionBy(*keys).orderBy("start_pos")
-    new = F.coalesce(F.col("start_pos") > F.lag("end_pos").over(w), F.lit(True)).cast("long")
-    return only.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy(*keys, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_i")
+    return union_intervals(depth_segments({"a": left, "b": right}, keys).where("a > 0 AND b = 0"), keys, tile=1 << 17)
 
 
-def point_in_interval(points: DataFrame, spans: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """points and inside: whether the last span that starts at or before the point reaches beyond it (as-of lookup)."""
+def point_in_interval(points: DataFrame, spans: DataFrame, keys: list[str], pos: str = "pos", tile: int = TILE) -> DataFrame:
+    """points and inside: whether the last span that starts at or before the point reaches beyond it (as-of lookup).
+
+    Spans are cut into tiles, so a point meets those of its own tile only; of spans cut at an edge the one that started
+    last counts. Spans that overlap should be merged first, else one that ended in an earlier tile isn't seen. Points with a null place are inside nothing.
+    """
     cols = points.columns
-    p = points.withColumns({"_at": F.col(pos), "_end": F.lit(None).cast("long"), "_point": F.lit(1)})
-    s = spans.select(*keys, F.col("start_pos").alias("_at"), F.col("end_pos").alias("_end"), F.lit(0).alias("_point"))
-    w = W.partitionBy(*keys).orderBy("_at", "_point", F.asc_nulls_last("_end"))
+    p = points.withColumns({"_t": F.floor(F.col(pos) / tile), "_at": F.col(pos).cast("long"), "_from": F.lit(None).cast("long"), "_end": F.lit(None).cast("long"), "_point": F.lit(1)})
+    cut = _tiled(spans.select(*keys, "start_pos", "end_pos").withColumn("_from", F.col("start_pos")), tile)
+    s = cut.select(*keys, "_t", F.col("start_pos").alias("_at"), "_from", F.col("end_pos").alias("_end"), F.lit(0).alias("_point"))
+    w = W.partitionBy(*keys, "_t").orderBy("_at", "_point", "_from", "_end")
     both = p.unionByName(s, allowMissingColumns=True).withColumn("_reach", F.last("_end", ignorenulls=True).over(w))
     return both.where("_point = 1").select(*cols, F.coalesce(F.col("_reach") > F.col(pos), F.lit(False)).alias("inside"))
 

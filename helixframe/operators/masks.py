@@ -137,7 +137,7 @@ def index_hits(seed_rows: DataFrame, index: DataFrame, span: int, low: int, high
 def link_hits(hits: DataFrame, gap: int = 150, min_len: int = 30, min_hits: int = 1, min_density: float = 0.0) -> DataFrame:
     """Hysteresis: chains of hits whose starts are no further than gap apart, with at least one strong hit, min_hits hits
     and min_density hits a base. Chains aren't merged after, so they may overlap if the gap is below the span."""
-    c = link_gaps(hits, ["rec_id"], "pos", gap, F.max("stop").alias("end_pos"), F.max("strong").alias("_strong"), F.count("*").alias("hits"))
+    c = link_gaps(hits, ["rec_id"], "pos", gap, end_pos=("max", F.col("stop")), _strong=("max", F.col("strong")), hits=("sum", F.lit(1).cast("long")))
     length = F.col("end_pos") - F.col("first")
     return c.where(F.col("_strong") & (length >= min_len) & (F.col("hits") >= min_hits) & (F.col("hits") >= length * min_density)).select("rec_id", F.col("first").alias("start_pos"), "end_pos", "hits")
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import ratio
-from helixframe.operators.intervals import link_gaps
 from helixframe.operators.kmers import seeds
 from helixframe.operators.tiles import overlap_pieces, union_intervals
 
@@ -49,6 +48,3 @@ def tune_graph(records: DataFrame, truth: DataFrame, ks: list[int], thresholds:
     out = settings.join(p.groupBy(*key).agg(length.alias("pred_bases")), key, "left").join(both, key, "left").join(F.broadcast(t.agg(F.coalesce(length, F.lit(0)).alias("truth_bases")))).na.fill(0, ["pred_bases", "both_bases"])
     out = out.withColumn("f1", ratio(2 * F.col("both_bases"), F.col("pred_bases") + F.col("truth_bases")))
     return out.orderBy(F.desc("f1"), *key).limit(top)
-
-
-__all__ = ["graph_grid", "k_sets", "link_gaps", "tune_graph"]

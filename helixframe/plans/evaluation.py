@@ -30,7 +30,7 @@ def interval_intersection_bp(spark: SparkSession, d: str) -> DataFrame:
 def interval_depth(spark: SparkSession, d: str) -> DataFrame:
     """Bases of each assembly by how many annotations and masked regions cover them."""
     once = lambda n, i: placed(spark, d, n).dropDuplicates([i])
-    seg = I.depth_segments({"truth": once("ref_interval", "interval_id"), "pred": once("masked_region", "region_id")}, KEYS)
+    seg = I.depth_segments({"truth": once("ref_interval", "interval_id"), "pred": once("masked_region", "region_id")}, KEYS, gaps=True)
     return seg.groupBy("asm_id", F.least("truth", F.lit(3)).cast("int").alias("truth"), F.least("pred", F.lit(3)).cast("int").alias("pred")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("bases"))
 
 
@@ -69,7 +69,7 @@ def session_gap_link(spark: SparkSession, d: str) -> DataFrame:
     from helixframe.runtime import table
 
     e = table(spark, d, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("pos"))
-    return I.link_gaps(e, ["user_id"], "pos", 1800, F.count("*").alias("events"))
+    return I.link_gaps(e, ["user_id"], "pos", 1800, events=("sum", F.lit(1).cast("long")))
 
 
 _BOTH = f"t AS (SELECT * FROM ref_interval WHERE {PLACED}), p AS (SELECT * FROM masked_region WHERE {PLACED}), {union_sql('t', 'asm_id, chrom', 'tu')}, {union_sql('p', 'asm_id, chrom', 'pu')}"

@@ -33,7 +33,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as the cluster runs tasks at once, for work that costs far more than reading.
 
-    Large inputs come in more splits than that and are left as they are; only small ones are shuffled.
+    Large inputs come in more splits than that and are left as they are; only small ones are shuffled. df must be a scan
+    with narrow steps, so that its partitions are known without running anything.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)

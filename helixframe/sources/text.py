@@ -91,11 +91,12 @@ def parse_hit_table(lines: DataFrame, min_score: float | None = None, max_evalue
     rows = lines.where(~F.col(line).startswith("#")).select(f.alias("f")).where(F.size("f") >= 16)
     num = lambda i, t: F.expr(f"try_cast(f[{i}] AS {t})")
     a, b = num(6, "bigint"), num(7, "bigint")
+    rows = rows.where(a.isNotNull() & b.isNotNull())
     name = F.col("f")[2]
     # Query names and the families they stand for.
     family = F.when(name.startswith("CR1"), "LINE/CR1").when(name == "MIR", "SINE/MIR").when(name == "L2", "LINE/L2").otherwise(name)
     out = rows.select(F.col("f")[0].alias("chrom"), (F.least(a, b) - 1).alias("start_pos"), F.greatest(a, b).alias("end_pos"), family.alias("family"), num(13, "double").alias("score"), num(12, "double").alias("evalue"))
-    out = out.where("start_pos IS NOT NULL AND end_pos IS NOT NULL AND score IS NOT NULL AND evalue IS NOT NULL")
+    out = out.where("score IS NOT NULL AND evalue IS NOT NULL")
     out = out if min_score is None else out.where(F.col("score") >= min_score)
     return out if max_evalue is None else out.where(F.col("evalue") <= max_evalue)
 

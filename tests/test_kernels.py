@@ -255,3 +255,31 @@ def test_chosen_rows_and_variants(spark):
     v = variants(spark.createDataFrame([("a", "ACGTN" * 100), ("b", None)], "consensus string, seq string"), rates=(0.0, 0.3)).collect()
     assert len(v) == 6 and all(r.seq == "ACGTN" * 100 for r in v if r.rate == 0) and all(0.15 < np.mean([x != y for x, y in zip(r.seq, "ACGTN" * 100)]) < 0.33 and r.seq[4::5] == "N" * 100 for r in v if r.rate)
     assert upper_median(spark.createDataFrame([(x,) for x in (5, 1, 3, 9)], "n long"), "n").first().median == 5
+
+
+@pytest.mark.parametrize("tile", [7, 64, 10_000])
+def test_tiles_change_nothing(spark, tile):
+    rng = np.random.default_rng(tile)
+    pos = sorted(int(x) for x in rng.integers(0, 600, 70))
+    chains, want = [], []
+    for x in pos:
+        if chains and x <= chains[-1][-1] + 5:
+            chains[-1].append(x)
+        else:
+            chains.append([x])
+    df = spark.createDataFrame([("a", x) for x in pos] + [("b", 3), ("b", None)], "k string, pos long").repartition(3)
+    got = intervals.link_gaps(df, ["k"], "pos", 5, tile, n=("sum", F.lit(1)), top=("max", F.col("pos"))).collect()
+    want = {("a", c[0], c[-1], len(c), c[-1]) for c in chains} | {("b", 3, 3, 1, 3)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    iv = lambda n: [("a", int(s), int(s + rng.integers(1, 40))) for s in rng.integers(0, 500, n)]
+    left, right = iv(25), iv(25)
+    a, b = (spark.createDataFrame(x, "k string, start_pos long, end_pos long") for x in (left, right))
+    depth = lambda rows, p: sum(s <= p < e for _, s, e in rows)
+    seg = intervals.depth_segments({"a": a, "b": b}, ["k"], tile).collect()
+    assert all(r.a == depth(left, p) and r.b == depth(right, p) for r in seg for p in (r.start_pos, r.end_pos - 1))
+    assert sum(r.end_pos - r.start_pos for r in seg if r.a and not r.b) == sum(depth(left, p) > 0 and not depth(right, p) for p in range(600))
+    pts = spark.createDataFrame([("a", p) for p in range(0, 560, 3)] + [("a", None), ("z", 1)], "k string, pos long")
+    inside = {r.pos: r.inside for r in intervals.point_in_interval(pts, a, ["k"], tile=tile).where("k = 'a' AND pos IS NOT NULL").collect()}
+    for p, x in inside.items():
+        last = max(((s, e) for _, s, e in left if s <= p and e > (p // tile) * tile), default=None)
+        assert x == (last is not None and p < last[1])
