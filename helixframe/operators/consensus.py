@@ -50,7 +50,7 @@ def oriented_flanks(records: DataFrame, occ: DataFrame, span: int, flank: int) -
     cut = lambda at, n: F.substring(F.col("_s"), (at + 1).cast("int"), n.cast("int"))
     before, mid, after = cut(start, F.col("pos") - start), cut(F.col("pos"), F.lit(span)), cut(F.col("pos") + span, F.lit(flank))
     fwd = F.col("forward")
-    return rows.select("kmer", "rec_id", "pos", "forward", F.when(fwd, mid).otherwise(revcomp(mid)).alias("seed_seq"), F.when(fwd, F.reverse(before)).otherwise(F.reverse(revcomp(after))).alias("left"), F.when(fwd, after).otherwise(revcomp(before)).alias("right"))
+    return rows.select(*occ.columns, F.when(fwd, mid).otherwise(revcomp(mid)).alias("seed_seq"), F.when(fwd, F.reverse(before)).otherwise(F.reverse(revcomp(after))).alias("left"), F.when(fwd, after).otherwise(revcomp(before)).alias("right"))
 
 
 def extend(copies: list[bytes], band: int, lookahead: int, most: int) -> tuple[bytes, np.ndarray]:
@@ -150,16 +150,18 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int = 18, min_seed_c
     Seeds are taken by falling count. One within two substitutions of an accepted consensus is skipped; an extension is kept
     if it is long enough, has enough support, is no tandem repeat, and less than 60 % of its 12-mers are in the families so
     far. A second pass goes over the seeds left with relaxed limits. Seeds are extended in rounds, a few for each partition
-    and only those not yet covered; within a round the choice is made in order, so rounds change nothing but the work. The
-    driver holds the pool's seeds, a round's extensions and the families.
+    and only those not yet covered; within a round the choice is made in order, so rounds change nothing but the work. Flanks
+    are cut out for a round's seeds only, as those of a whole pool would be many times the records. The driver holds the
+    pool's seeds, a round's extensions and the families.
     """
     pool_size = seed_pool or max(100, 20 * max_families)
     if pool_size > MAX_POOL:
         raise ValueError(f"seed pool above {MAX_POOL}")
     pool = checkpoint(top_seeds(index, pool_size, min_seed_count))
-    flanks = checkpoint(oriented_flanks(records, occurrences(records, pool, k, max_occ), k, flank).join(pool, "kmer"))
+    records = checkpoint(records.select("rec_id", "seq"))
+    found = checkpoint(occurrences(records, pool, k, max_occ).join(pool, "kmer"))
     support = min(min_support, second_min_support) if second_pass else min_support
-    enough = flanks.groupBy("kmer", "cnt").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    enough = found.groupBy("kmer", "cnt").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     seeds_left = sorted((-r.cnt, r.kmer, r.n) for r in enough.collect())
     size = 8 * shuffle_partitions(records.sparkSession)
     covered, covered12, kept, grown = np.empty(0, np.uint64), np.empty(0, np.uint64), [], {}
@@ -176,7 +178,7 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int = 18, min_seed_c
                     batch.append(kmer)
                 stop += 1
             if batch:
-                wanted = flanks.where(F.col("kmer").isin(batch))
+                wanted = oriented_flanks(records, found.where(F.col("kmer").isin(batch)), k, flank)
                 grown |= {r.kmer: r for r in extended(wanted, k, max_occ, flank, band, lookahead, support).collect()}
             for _, kmer, _ in queue[at:stop]:
                 if accepted >= most or candidates >= max(100, 20 * most):

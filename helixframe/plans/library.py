@@ -72,12 +72,12 @@ def mask_library_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def consensus_build(spark: SparkSession, d: str) -> DataFrame:
     g = genome(spark, d)
-    return C.build_consensi(g, K.build_index(g, 18, 1, 6), 18, min_seed_count=6, max_families=50, seed_pool=1000, max_occ=60, flank=600, min_support=5)
+    return C.build_consensi(g, K.build_index(g, 18, 1, 6), 18, min_seed_count=6, min_support=5)
 
 
 def consensus_two_pass(spark: SparkSession, d: str) -> DataFrame:
     g = genome(spark, d)
-    return C.build_consensi(g, K.build_index(g, 18, 1, 4), 18, min_seed_count=4, max_families=50, seed_pool=1000, max_occ=60, flank=600, min_support=6, second_pass=True, second_min_support=3)
+    return C.build_consensi(g, K.build_index(g, 18, 1, 4), 18, min_seed_count=4, min_support=6, second_pass=True, second_min_support=3)
 
 
 def majority_vote_consensus(spark: SparkSession, d: str) -> DataFrame:
