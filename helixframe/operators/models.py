@@ -1,7 +1,7 @@
 """Learned filters of library hits: labels, thresholds per consensus, logistic models, cutoff sweeps.
 
-Counting, thresholds, scoring and sweeps are relational. A group's logistic fit works on a bounded, documented sample of its
-labelled rows; everything else uses all rows.
+Counting, thresholds, scoring and sweeps are relational. The weights of a group's logistic model are fitted on a bounded,
+documented sample of its labelled rows; everything else, also its means, deviations and cutoff, uses all rows.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.seq import f1, ratio, sigmoid
 from helixframe.operators.intervals import overlap_bases
+from helixframe.runtime import checkpoint
 
 FEATURES = ["f_score", "f_len", "f_per_base", "f_cover", "f_gc", "f_gate", "f_side", "f_cons"]
 NOTHING = 10**6
-#: Labelled rows of a group that a fit uses at most, chosen by a hash of their id.
+#: Labelled rows of a group that the fit of its weights uses at most, chosen by a hash of their id.
 FIT_ROWS = 50_000
 FEW = 20
 
@@ -66,13 +67,13 @@ def features(candidates: DataFrame) -> DataFrame:
     return rows.withColumns({"f_score": F.col("score").cast("double"), "f_len": F.log(size.cast("double")), "f_per_base": F.col("score") / size, "f_cover": (F.col("cons_fwd") + F.col("cons_bwd")) / F.col("cons_len"), "f_gc": F.col("gc"), "f_gate": gate.cast("double"), "f_side": F.least("gate_left", "gate_right").cast("double"), "f_cons": F.log(F.col("cons_len").cast("double"))})
 
 
-def standardisation(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, mu_*, sd_*: mean and population deviation of each feature, a deviation of 0 taken as 1."""
+def standardisation(rows: DataFrame, by: list[str] | None = None, *more: Column) -> DataFrame:
+    """by, mu_*, sd_*: mean and population deviation of each feature, a deviation of 0 taken as 1; and more aggregates."""
     sd = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(F.lit(1.0))
-    return rows.groupBy(*(by or [])).agg(*[F.avg(c).alias(f"mu_{c}") for c in FEATURES], *[sd(c).alias(f"sd_{c}") for c in FEATURES])
+    return rows.groupBy(*(by or [])).agg(*[F.avg(c).alias(f"mu_{c}") for c in FEATURES], *[sd(c).alias(f"sd_{c}") for c in FEATURES], *more)
 
 
-def probability(weights: list[float], bias: Column | float, mu: list[Column | float], sd: list[Column | float]) -> Column:
+def probability(weights: list[Column | float], bias: Column | float, mu: list[Column | float], sd: list[Column | float]) -> Column:
     z = F.lit(bias) if isinstance(bias, (int, float)) else bias
     for c, w, m, s in zip(FEATURES, weights, mu, sd):
         z = z + w * (F.col(c) - m) / s
@@ -129,31 +130,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int,
 def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: int = 200, rate: float = 0.5, decay: float = 1e-3, least: int = 50, most: int = FIT_ROWS) -> DataFrame:
     """grp, w, mu, sd, b0, tau, rows: one logistic model for each group, weighted by size.
 
-    Fits on at most `most` labelled rows of a group, those with the smallest hash of their id. Groups with fewer than
-    `least` rows, or with one label only, get no model. tau is the cutoff of 0.025, 0.05, ... 0.975 with the best weighted F1.
+    Only the weights and b0 are fitted on a sample: at most `most` labelled rows of a group, those with the smallest hash of
+    their id. Means, deviations and tau are of all rows. Groups with fewer than `least` rows, or with one label only, get no
+    model. tau is the cutoff of 0.025, 0.05, ... 0.975 with the best weighted F1, the lower one of equal ones.
     """
-    chosen = rows.withColumn("_h", F.xxhash64(F.col(row_id))).withColumn("_salt", F.pmod("_h", F.lit(16)))
-    inner, outer = W.partitionBy(group, "_salt").orderBy("_h", row_id), W.partitionBy(group).orderBy("_h", row_id)
+    # read three times, and made by joins
+    rows = checkpoint(rows.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(row_id).alias("_id"), "label", "size", *FEATURES))
+    stats = standardisation(rows, ["grp"], F.count("*").alias("rows"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where((F.col("rows") >= least) & (F.col("_lo") < F.col("_hi")))
+    stats = stats.select("grp", "rows", *[F.array(*[f"{x}_{c}" for c in FEATURES]).alias(x) for x in ("mu", "sd")])
+    # few of a large group's rows get to the windows: a fifth more than are wanted, by the same hash that orders them
+    below = (F.lit(1.2 * most) / F.col("rows") - 0.5) * 2.0**64
+    chosen = rows.join(stats, "grp").withColumn("_h", F.xxhash64("_id")).where((F.col("rows") <= 2 * most) | (F.col("_h").cast("double") < below)).withColumn("_salt", F.pmod("_h", F.lit(16)))
+    inner, outer = W.partitionBy("grp", "_salt").orderBy("_h", "_id"), W.partitionBy("grp").orderBy("_h", "_id")
     few = chosen.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= most).withColumn("_n", F.row_number().over(outer)).where(F.col("_n") <= most)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, size = pdf["label"].to_numpy(float), pdf["size"].to_numpy(float)
-        if len(pdf) < least or y.min() == y.max():
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("grp", object), ("w", object), ("mu", object), ("sd", object), ("b0", float), ("tau", float), ("rows", "int64"))})
-        x = pdf[FEATURES].to_numpy(float)
-        mu, sd = x.mean(0), x.std(0)
-        sd[sd == 0] = 1
-        w = fit_logistic((x - mu) / sd, y, size, epochs, rate, decay)
-        p = 1 / (1 + np.exp(-np.clip(((x - mu) / sd) @ w[:-1] + w[-1], -30, 30)))
-        best, tau = -1.0, 0.5
-        for t in np.arange(1, 40) / 40:
-            tp = size[(p >= t) & (y == 1)].sum()
-            score = 2 * tp / max(1.0, size[p >= t].sum() + size[y == 1].sum())
-            if score > best:
-                best, tau = score, float(t)
-        return pd.DataFrame({"grp": [pdf[group].iloc[0]], "w": [w[:-1].tolist()], "mu": [mu.tolist()], "sd": [sd.tolist()], "b0": [float(w[-1])], "tau": [tau], "rows": [len(pdf)]})
-
-    return few.select(F.col(group).cast("string").alias(group), "label", "size", *FEATURES).groupBy(group).applyInPandas(fit, "grp string, w array<double>, mu array<double>, sd array<double>, b0 double, tau double, rows long")
+        mu, sd = np.array(pdf["mu"].iloc[0]), np.array(pdf["sd"].iloc[0])
+        w = fit_logistic((pdf[FEATURES].to_numpy(float) - mu) / sd, pdf["label"].to_numpy(float), pdf["size"].to_numpy(float), epochs, rate, decay)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "w": [w[:-1].tolist()], "mu": [mu.tolist()], "sd": [sd.tolist()], "b0": [float(w[-1])], "rows": [pdf["rows"].iloc[0]]})
+
+    fitted = checkpoint(few.select("grp", "label", "size", *FEATURES, "mu", "sd", "rows").groupBy("grp").applyInPandas(fit, "grp string, w array<double>, mu array<double>, sd array<double>, b0 double, rows long"))
+    return fitted.join(_group_taus(rows, fitted), "grp").select("grp", "w", "mu", "sd", "b0", "tau", "rows")
+
+
+def _group_taus(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """grp, tau: the best cutoff of each fitted model, swept over all rows of its group, which are reduced to one a cutoff."""
+    taus = [t / 40 for t in range(1, 40)]
+    scored = rows.join(fitted.drop("rows"), "grp").withColumn("_p", probability([F.col("w")[i] for i in range(len(FEATURES))], F.col("b0"), [F.col("mu")[i] for i in range(len(FEATURES))], [F.col("sd")[i] for i in range(len(FEATURES))]))
+    got = scored.groupBy("grp", sum((F.col("_p") >= t).cast("int") for t in taus).alias("_n")).agg(F.sum("size").alias("_s"), F.sum(F.when(F.col("label") == 1, F.col("size")).otherwise(0)).alias("_t"))
+    # at most len(taus) + 1 rows a group
+    levels = got.join(fitted.select(F.col("grp"), F.explode(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(t).alias("tau")) for i, t in enumerate(taus)])).alias("l")).select("grp", "l.*"), "grp")
+    reached = F.col("_n") >= F.col("k")
+    sums = levels.groupBy("grp", "tau").agg(F.sum(F.when(reached, F.col("_t")).otherwise(0)).alias("_tp"), F.sum(F.when(reached, F.col("_s")).otherwise(0)).alias("_kept"), F.sum("_t").alias("_all"))
+    score = 2 * F.col("_tp") / F.greatest(F.lit(1), F.col("_kept") + F.col("_all"))
+    return sums.groupBy("grp").agg(F.max_by("tau", F.struct(score, -F.col("tau"))).alias("tau"))
 
 
 def train_trees(rows: DataFrame, row_id: str = "cand_id", depth: int = 4, rounds: int = 10):

@@ -81,7 +81,7 @@ def train_logistic(spark: SparkSession, d: str) -> DataFrame:
     """One model for all, trained on some chromosomes, and how it does on the others."""
     rows = L.features(_labelled(spark, d))
     model = L.train_groups(rows.where(TRAIN).withColumn("grp", F.lit("all")), "grp")
-    held_out = rows.where(NOT_TRAIN).select("consensus").distinct().select("consensus", F.lit("all").alias("grp"), F.lit(0.0).alias("shift"))
+    held_out = placed(spark, d, "candidate").where("consensus IS NOT NULL").select("consensus").distinct().select("consensus", F.lit("all").alias("grp"), F.lit(0.0).alias("shift"))
     scored = L.apply_models(rows.where(NOT_TRAIN), model, held_out)
     return L.sweep(scored.where("prob IS NOT NULL"), TAUS)
 

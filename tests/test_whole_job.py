@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from helixframe.operators import models
 from helixframe.plans import library
 
 
@@ -23,3 +25,22 @@ def test_family_below_a_hot_one_is_built(spark, tmp_path, query):
     rc = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
     for family in (hot, rare):
         assert any(family in x or rc(family) in x for x in built)
+
+
+def test_only_the_fit_uses_a_sample(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 8)) * np.arange(1, 9) + np.arange(8)
+    y = (x[:, 0] + rng.normal(size=1200) > 0.8).astype(int)
+    size = rng.integers(20, 400, 1200)
+    grp = np.where(np.arange(1200) < 1000, "hot", "small")
+    rows = [(i, str(grp[i]), int(y[i]), int(size[i]), *map(float, x[i])) for i in range(1200)] + [(2000 + i, "one label", 1, 50, *[1.0] * 8) for i in range(80)]
+    df = spark.createDataFrame(rows, "cand_id long, grp string, label int, size long, " + ", ".join(f"{c} double" for c in models.FEATURES))
+    got = {r.grp: r for r in models.train_groups(df, "grp", most=60).collect()}
+    assert set(got) == {"hot", "small"}
+    for g, r in got.items():
+        own = grp == g
+        assert r.rows == own.sum() and np.allclose(r.mu, x[own].mean(0)) and np.allclose(r.sd, x[own].std(0))
+        p = 1 / (1 + np.exp(-((x[own] - r.mu) / r.sd @ r.w + r.b0)))
+        weight, true = size[own], y[own] == 1
+        f1 = [2 * weight[(p >= t / 40) & true].sum() / (weight[p >= t / 40].sum() + weight[true].sum()) for t in range(1, 40)]
+        assert r.tau == (int(np.argmax(f1)) + 1) / 40
