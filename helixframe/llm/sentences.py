@@ -10,8 +10,9 @@ language code is wrong or rare.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,9 @@ _SCRIPTS = (("greek", _GREEK), ("cyrillic", re.compile("[Ѐ-ԯ]")), ("arabic", r
 LONGEST_TYPE = 16
 #: Least score of an abbreviation, after Kiss and Strunk (2006).
 ABBREVIATION = 0.3
-#: Share of a model's periods that a type must have to enter it: at most 1 / SUPPORT types a model.
-SUPPORT = 1e-5
-#: Share of all texts that a language code must have for a model of its own: at most 1 / RARE of them.
+#: Learned types that are broadcast, those seen most; the others are joined to the texts that need them.
+MAX_BROADCAST = 200_000
+#: Share of all texts that a language code must have for a model of its own: at most 1 / RARE of them. Scripts always have one.
 RARE = 0.002
 #: Rates at which a type's period ends a line, if it can end a sentence and if it can't.
 ENDS, NEVER_ENDS = 0.2, 0.01
@@ -162,15 +163,15 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     kept = counts.where("type = '' OR p > 0 OR s > 2 OR c > 4")
     per = counts.groupBy("model").agg(F.sum(F.when(F.col("type") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("type") == "", F.col("p"))).alias("all_p"), F.sum(F.when(F.col("type") == "", F.col("s"))).alias("all_s"), F.max("d").alias("texts"))
     scripts = F.sum(F.when(F.col("model").startswith("*"), F.col("texts"))).alias("docs")
-    per = per.join(F.broadcast(per.agg(scripts)), F.expr(f"texts >= {RARE} * docs"))
+    per = per.join(F.broadcast(per.agg(scripts)), F.expr(f"startswith(model, '*') OR texts >= {RARE} * docs"))
     k = kept.where("type <> ''").join(per, "model")
     inner = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
     alone = -2 * (_log_likelihood(F.col("p"), F.col("n"), F.col("all_p") / F.col("all_n")) - _log_likelihood(F.col("p"), F.col("n"), F.lit(0.99)))
     score = alone * F.exp(-(F.length("type") - inner).cast("double")) * (inner + 1)
     ends = _log_likelihood(F.col("e"), F.col("p"), F.lit(ENDS)) > _log_likelihood(F.col("e"), F.col("p"), F.lit(NEVER_ENDS))
-    short = k.where(F.col("p") >= F.greatest(F.lit(2.0), F.col("all_p") * SUPPORT)).where(score >= ABBREVIATION).select("model", F.when(ends, "ends").otherwise("never").alias("kind"), "type", F.col("p").alias("seen"))
-    starters = k.where(f"s > 2 AND s >= all_s * {SUPPORT} AND n > 0").where(F.col("s") / F.col("n") > 2 * F.col("all_s") / F.col("all_n")).where(_ratio(F.col("s"), F.col("n"), F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")) >= STARTER).select("model", F.lit("start").alias("kind"), "type", F.col("s").alias("seen"))
-    pair = k.where(F.col("c") >= F.greatest(F.lit(5.0), F.col("all_p") * SUPPORT)).select("model", "type", "c", "all_n", F.substring_index("type", " ", 1).alias("a"), F.substring_index("type", " ", -1).alias("b"))
+    short = k.where("p >= 2").where(score >= ABBREVIATION).select("model", F.when(ends, "ends").otherwise("never").alias("kind"), "type", F.col("p").alias("seen"))
+    starters = k.where("s > 2 AND n > 0").where(F.col("s") / F.col("n") > 2 * F.col("all_s") / F.col("all_n")).where(_ratio(F.col("s"), F.col("n"), F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")) >= STARTER).select("model", F.lit("start").alias("kind"), "type", F.col("s").alias("seen"))
+    pair = k.where("c >= 5").select("model", "type", "c", "all_n", F.substring_index("type", " ", 1).alias("a"), F.substring_index("type", " ", -1).alias("b"))
     single = counts.where("n > 0")
     a, b = single.select("model", F.col("type").alias("a"), F.col("p").alias("pa")), single.select("model", F.col("type").alias("b"), F.col("n").alias("nb"))
     tied = pair.join(a, ["model", "a"]).join(b, ["model", "b"]).where("c * 10 >= pa AND nb > c AND all_n > pa").where(_ratio(F.col("c"), F.col("pa"), F.greatest(F.col("nb") - F.col("c"), F.lit(0)), F.col("all_n") - F.col("pa")) >= COLLOCATION)
@@ -203,6 +204,31 @@ class Model:
             self.views[lang, script] = {w: k for w, (k, _) in kinds.items()}, self.others.get(lang or "", set()) | self.others.get(f"*{script}", set())
         return self.views[lang, script]
 
+    def view_with(self, lang: str | None, script: str, rows: list[tuple[str, str, str, int]]) -> tuple[ChainMap, _Either]:
+        """The view with further learned rows, as if the model had held them."""
+        kinds, others = self.view(lang, script)
+        more, own = Model(rows), {}
+        for word in {word for _, kind, word, _ in rows if kind in ("never", "ends")}:
+            best = None
+            for model in (*(["*latin"] if script in ("cjk", "thai") else []), f"*{script}"):
+                best = more.kinds.get(model, {}).get(word) or self.kinds.get(model, {}).get(word) or best
+            of_lang = more.kinds.get(lang or "", {}).get(word) or self.kinds.get(lang or "", {}).get(word)
+            if of_lang and (best is None or of_lang[1] >= self.OWN * best[1]):
+                best = of_lang
+            if best:
+                own[word] = best[0]
+        return ChainMap(own, kinds), _Either(others, more.others.get(lang or "", set()) | more.others.get(f"*{script}", set()))
+
+
+class _Either:
+    """What is in one of two sets, without copying them."""
+
+    def __init__(self, a: set, b: set) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, x: tuple[str, str]) -> bool:
+        return x in self.a or x in self.b
+
 
 def _period_ends(line: str, at: int, end: int, after: int, kinds: dict[str, str], others: set) -> bool:
     """Whether the single period at line[at:end], with its next letter or mark at line[after], ends the sentence."""
@@ -315,21 +341,49 @@ def _line_sentences(line: str, kinds: dict[str, str], others: set, out: list[tup
         begin = cut
 
 
-def split(text: str, lang: str | None, model: Model) -> list[tuple[int, int]]:
-    """Start and end of the sentences of a text, in code points."""
-    kinds, others = model.view(lang, script_of(text))
+def split(text: str, lang: str | None, model: Model, more: list[tuple[str, str, str, int]] | None = None) -> list[tuple[int, int]]:
+    """Start and end of the sentences of a text, in code points. more: learned rows that the model doesn't hold."""
+    kinds, others = model.view_with(lang, script_of(text), more) if more else model.view(lang, script_of(text))
     out: list[tuple[int, int]] = []
     for m in _LINE.finditer(text):
         _line_sentences(m.group(), kinds, others, out, m.start())
     return out
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, model, type of all types that splitting a text may look up: words before and after its marks, and pairs of them."""
+    for b in batches:
+        out: list[tuple[int, str, str]] = []
+        for key, text, lang in zip(*(c.to_pylist() for c in b.columns)):
+            types: set[str] = set()
+            for m in _LINE.finditer(text):
+                line = m.group()
+                for e in _EVENT.finditer(line):
+                    if e.lastgroup == "mark":
+                        word, nxt = _last_word(line, e.start()), _WORD.search(line, e.end())
+                        types |= {word, nxt.group(), f"{word} {nxt.group()}"} if nxt else {word}
+            script = script_of(text)
+            for model in {lang or "", f"*{script}", *(["*latin"] if script in ("cjk", "thai") else [])} - {""}:
+                out += [(key, model, t) for t in types]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], names=["key", "model", "type"])
+
+
+def _with_tail(rows: DataFrame, tail: DataFrame, text: str, lang: str) -> DataFrame:
+    """rows with more: the rows of tail that a text may look up. Texts are told apart by a hash: where two share one, either
+    gets the other's types too, which are learned ones all the same."""
+    keyed = rows.withColumn("_key", F.xxhash64(text, lang))
+    wanted = keyed.select("_key", text, lang).mapInArrow(_wanted, "key long, model string, type string").distinct()
+    found = wanted.join(tail, ["model", "type"]).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("model", "kind", "type", "seen")).alias("more"))
+    return keyed.join(found, "_key", "left").drop("_key")
+
+
 def _split_rows(model, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, start, end = [], [], []
-            for i, (text, lang) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                for s, e in split(text, lang, model.value):
+            tails = ([tuple(r.values()) for r in x or []] for x in b.column(3).to_pylist()) if b.num_columns > 3 else repeat(None)
+            for i, (text, lang, more) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), tails)):
+                for s, e in split(text, lang, model.value, more):
                     row.append(i)
                     start.append(s)
                     end.append(e)
@@ -343,13 +397,19 @@ def sentences(texts: DataFrame, text_id: str = "doc_id", text: str = "text", lan
 
     texts: other columns are ignored. A sentence has no blanks at its edges; each other character is in exactly one. Null,
     empty and blank texts give no row; a null lang uses the script's statistics; rows with repeated or null ids are split
-    each by itself. The learned types (SUPPORT and RARE bound them) are gathered by the driver and broadcast.
+    each by itself. The learned types are gathered by the driver and broadcast, up to MAX_BROADCAST of them, those seen
+    most; where there are more, the others are joined to the texts by model and type.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = texts.sparkSession
     texts = spread(texts.select(text_id, text, lang))
-    model = spark.sparkContext.broadcast(Model([tuple(r) for r in learn(texts, text, lang).collect()]))
+    learned = checkpoint(learn(texts, text, lang).select("model", "kind", "type", "seen"))
+    head = learned.orderBy(F.desc("seen"), "model", "kind", "type").limit(MAX_BROADCAST)
+    seen = [tuple(r) for r in head.collect()]
+    model = spark.sparkContext.broadcast(Model(seen))
     rows = texts.where(F.length(text) > 0).select(text_id, text, lang)
+    if len(seen) == MAX_BROADCAST:
+        rows = _with_tail(rows, learned.join(head, ["model", "kind", "type"], "left_anti"), text, lang)
     kind = texts.schema[text_id].dataType
     return rows.mapInArrow(_split_rows(model, to_arrow_type(kind)), f"id {kind.simpleString()}, sent_start int, sent_end int").withColumnRenamed("id", text_id)
