@@ -1,10 +1,10 @@
-"""Long exact spans shared between records, by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Long exact spans shared between records, by windows grouped by minimizer.
 
 A record is cut into stretches, each with the span-long windows that have the same anchor: the smallest hashed seed among
 those in the window, the leftmost of equal ones. Equal windows have equal anchors at equal places, so all stretches of
-one anchor, lined up at it, are the one reference block against which each of them must be parsed; no other block can
-hold any of their windows. A stretch is parsed greedily: a factor goes on as long as each further window stands in the
-block under another record, and since every window start is tested, nothing is lost where a factor ends. Windows are
+one anchor, lined up at it, are the one block that can hold any window equal to theirs. A window that stands in the block
+under another record is marked, and marked neighbours are joined; since every window start is tested, no shared base is
+lost. A run may change its source record at any base: it is no factor of a Lempel-Ziv parsing. Windows are
 compared by their letters, two bits each, not by a hash.
 
 A block is one anchor's share of one task unless its anchor is hot. The few hot anchors (bounded by the number of
@@ -138,7 +138,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parsed(b: pa.Table) -> pa.RecordBatch:
-    """The factors of whole blocks: runs of windows that stand under another record too."""
+    """The runs of whole blocks: neighbouring windows that stand under another record too."""
     anchor, rec = b.column(0).to_numpy(), b.column(1).to_numpy()
     at = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     n = np.diff(np.concatenate((at, [len(anchor)])))
