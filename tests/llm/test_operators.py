@@ -60,6 +60,18 @@ def test_cutoffs_against_sorting(spark, bins):
     assert cutoffs.share_cutoffs(doubles, spark.createDataFrame([(1, 500)], "s int, pm int"), "s", "v", "id", "pm").first().cutoff == 0.2
 
 
+def test_cutoffs_of_repeated_targets_and_wide_scores(spark):
+    ten = spark.createDataFrame([(i, 1, float(i)) for i in range(10)], "id long, s int, v double")
+    twice = spark.createDataFrame([(1, 300), (1, 300)], "s int, pm int")
+    assert [tuple(r) for r in cutoffs.share_cutoffs(ten, twice, "s", "v", "id", "pm").collect()] == [(1, 10, 7.0, 3)] * 2
+    wide = [float("inf"), float("inf"), 1.7e308, 5e-324, 0.0, -0.0, -5e-324, -1e-300, -1.7e308, float("-inf")]
+    df = spark.createDataFrame([(i, 1, x) for i, x in enumerate(wide)], "id long, s int, v double")
+    asked = spark.createDataFrame([(1, pm) for pm in range(0, 1001, 50)], "s int, pm int")
+    for bins in (2, 256):
+        got = {(r.cutoff, r.kept) for r in cutoffs.share_cutoffs(df, asked, "s", "v", "id", "pm", bins).collect()}
+        assert got == {(c, sum(v >= c for v in wide)) for c in set(wide)}
+
+
 PIECES = "piece long, key long, met long, got array<struct<rec:long,pos:int>>, piece_id int, u int"
 
 
