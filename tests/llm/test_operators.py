@@ -151,10 +151,20 @@ def test_spans_against_all_windows(spark, hot_rows, monkeypatch):
         rows += [(200 + i, "A" * int(rng.integers(64, 120))) for i in range(80)]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "rec_id long, seq string, start_pos int, anchor int").repartition(6)
     if hot_rows == 5:
-        stretch = df.select("rec_id", "seq").where("rec_id IS NOT NULL AND length(seq) >= 64").mapInArrow(spans._stretch_rows, spans.STRETCHES)
-        assert spans.hot_anchors(stretch, 5).count() >= 1
+        assert len(spans.hot_anchors(df.select("rec_id", "seq").where("rec_id IS NOT NULL AND length(seq) >= 64"), 5)) >= 1
+    else:
+        monkeypatch.setattr(spans, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(spans, "PIECE", 700)
     got = [(r.rec_id, r.start_pos, r.end_pos) for r in spans.shared_spans(df, hot_rows=hot_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_shared(rows)
+    texts = {}
+    for r, q in rows:
+        texts.setdefault(r, []).append((q or "").upper())
+    for f in spans.shared_factors(df, hot_rows=hot_rows).collect():
+        n = f.end_pos - f.start_pos
+        own = {q[f.start_pos : f.end_pos] for q in texts[f.rec_id] if len(q) >= f.end_pos}
+        there = {q[f.source_start : f.source_start + n] for q in texts[f.source_rec]}
+        assert n >= 64 and f.source_rec != f.rec_id and own & there
     share = {r.rec_id: (r.bases, r.shared, r.shared_permille) for r in spans.shared_share(df, spans.shared_spans(df)).collect()}
     assert share[101] == (63, 0, 0) and share[105] == (0, 0, None) and share[104] == (0, 0, None) and share[107] == (64, 64, 1000)
 
@@ -166,8 +176,27 @@ def test_long_records_are_parsed_in_pieces(spark, monkeypatch):
     whole = {tuple(r) for r in spans.shared_spans(spark.createDataFrame(rows, "rec_id long, seq string")).collect()}
     assert whole == brute_shared(rows)
     codes = spans._CODE[np.frombuffer(rows[0][1].encode(), np.uint8)]
-    full = {(int(s) + i) for s, n, _ in zip(*spans.stretches(codes)) for i in range(int(n))}
-    assert full == set(range(len(codes) - 63))
+    start, windows, _, _ = spans.stretches(codes, np.empty(0, np.int64))
+    assert {int(s) + i for s, n in zip(start, windows) for i in range(int(n))} == set(range(len(codes) - 63))
+
+
+def test_factors_are_the_longest_matches():
+    rng = np.random.default_rng(16)
+    shared = dna(rng, 100)
+    # the second record agrees with the first over 90 letters, the third over all 100
+    rows = [dna(rng, 30) + shared + dna(rng, 30), dna(rng, 10) + shared[:90] + dna(rng, 40), dna(rng, 20) + shared + dna(rng, 20)]
+    parts = []
+    for i, q in enumerate(rows):
+        start, windows, place, words = spans.stretches(spans._CODE[np.frombuffer(q.encode(), np.uint8)], np.empty(0, np.int64))
+        six = words[spans._FRONT + place[:, None] + np.array([0, 32, 64, 96, -64, -32])]
+        parts.append((np.full(len(start), i), start, windows, place - start, six))
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    by = np.argsort(cols[4][:, 0] >> np.uint64(24), kind="stable")
+    rec, start, end, source, _ = spans.parse(*(c[by] for c in cols))
+    assert all(s == 2 for r, e, s in zip(rec, end, source) if r == 0 and e > 120)
+    # factors hold each shared window once
+    windows = sorted(int(w) for r, s, e in zip(rec, start, end) if r == 0 for w in range(s, e - 63))
+    assert windows == list(range(windows[0], windows[-1] + 1)) and windows[0] <= 30 and windows[-1] >= 66
 
 
 def test_best_fit_and_segment_tree():
