@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.tiles import union_intervals
-from helixframe.runtime import shuffle_partitions, spread
+from helixframe.runtime import checkpoint, shuffle_partitions, spread
 
 SPAN = 64
 #: Letters of an anchor: five bytes.
@@ -325,7 +325,7 @@ def hot_anchors(rows: DataFrame, least: int = HOT_ROWS) -> list[int]:
     There are at most eight times as many as tasks, whatever the data.
     """
     tasks = shuffle_partitions(rows.sparkSession)
-    seen = rows.mapInArrow(_local_counts(tasks), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    seen = checkpoint(rows.mapInArrow(_local_counts(tasks), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))  # read twice
     total = seen.where("anchor IS NULL").select(F.col("n").alias("total"))
     return [r.anchor for r in seen.where("anchor IS NOT NULL").join(F.broadcast(total), F.expr(f"n >= {int(least)} AND n * {8 * tasks} >= total")).select("anchor").collect()]
 
