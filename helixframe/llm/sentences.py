@@ -14,6 +14,7 @@ from collections import ChainMap, Counter
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +41,19 @@ _WORD = re.compile(rf"[^{_APART}{_NO_BLANKS}]+(?:[.,٫·'’/-]+[^{_APART}{_NO_B
 _LAST_WORD = re.compile(_WORD.pattern + r"\Z")
 _PERIOD = re.compile(r"\.+")
 _START = re.compile(rf"(?:^|[{LINE_BREAKS}!?])\s*({_WORD.pattern})")
+_SKIPPED = re.compile("[\"”“»«’) \t\xa0\u3000\u202f]*")
+_RUNNING = re.compile("[^\"“„«»‘‚(\\[（［「『【《〈＂¿¡ \t\xa0\u3000]")
 _EVENT = re.compile("(?P<mark>[" + re.escape(DOTS + STRONG + GREEK_QUESTION) + "]+)|(?P<pair>[" + re.escape("".join(sorted({*CLOSES, *CLOSES.values()}))) + "])")
 _THAI_BLANK = re.compile(rf"(?<=[{THAI_LETTER}])\s+(?=[{THAI_LETTER}])")
 _LINE = re.compile(f"[^{LINE_BREAKS}]+")
 _CASELESS_NO_BLANKS = re.compile(f"[{_NO_BLANKS}]")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
-_SCRIPTS = (("greek", _GREEK), ("cyrillic", re.compile("[Ѐ-ԯ]")), ("arabic", re.compile("[؀-ۿ]")), ("devanagari", re.compile("[ऀ-ॿ]")), ("ethiopic", re.compile("[ሀ-፿]")), ("thai", re.compile("[฀-๿]")), ("cjk", re.compile("[぀-ヿ㐀-鿿]")))
+# First and last code points of the letters of each script.
+_SCRIPTS = {"latin": ("AZ", "az", "Àɏ"), "greek": ("ͰϿ", "ἀ῿"), "cyrillic": ("Ѐԯ",), "arabic": ("؀ۿ",), "devanagari": ("ऀॿ",), "ethiopic": ("ሀ፿",), "thai": ("฀๿",), "cjk": ("぀ヿ", "㐀鿿")}
+_SCRIPT_OF = np.zeros(1 << 16, np.uint8)
+for _i, _ranges in enumerate(_SCRIPTS.values()):
+    for _a, _b in _ranges:
+        _SCRIPT_OF[ord(_a) : ord(_b) + 1] = _i + 1
 
 # Parameters of the statistics.
 #: A type longer than this is no abbreviation.
@@ -64,20 +71,21 @@ COLLOCATION, STARTER = 30.0, 30.0
 
 
 def script_of(text: str) -> str:
-    """The script that most of a text's letters have, by up to 150 characters spread over it; latin if none of the others."""
-    sample = text if len(text) <= 150 else text[:: len(text) // 150 + 1]
-    if sample.isascii():
+    """The script that most of a text's letters have; the first of equal ones, latin if there are none."""
+    if text.isascii():
         return "latin"
-    best, most = "latin", len(_LATIN.sub("", sample)) - len(sample)
-    for name, pattern in _SCRIPTS:
-        if (n := len(pattern.sub("", sample)) - len(sample)) < most:
-            best, most = name, n
-    return best
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.bincount(_SCRIPT_OF[codes[codes < 1 << 16]], minlength=len(_SCRIPTS) + 1)[1:]
+    return list(_SCRIPTS)[int(n.argmax())]
+
+
+#: How far before a mark its word is read: a word as long as that is no type, and no rule asks more of it than its last letter.
+_BACK = 4 * LONGEST_TYPE
 
 
 def _last_word(line: str, at: int) -> str:
-    """The word that ends at a place."""
-    tail = line[max(0, at - 64) : at]
+    """The word that ends at a place, or the end of one longer than any type."""
+    tail = line[max(0, at - _BACK) : at]
     if not tail or tail[-1].isspace():
         return ""
     m = _LAST_WORD.search(tail.split()[-1])
@@ -89,7 +97,8 @@ def _is_type(word: str) -> bool:
 
 
 def _contexts(text: str, pieces: list[str], count: Counter) -> None:
-    """Adds a text's pieces between blanks, and counts of words: those with a period, with a period at a line's end, at a certain start."""
+    """Adds a text's pieces between blanks, and counts of words: those with a period (p), with a period at a line's end (e),
+    before another word (c), at a certain start in small letters (s) and in any letters (o, the word in small ones)."""
     pieces += text.split()
     for m in _PERIOD.finditer(text):
         at, end = m.span()
@@ -101,13 +110,15 @@ def _contexts(text: str, pieces: list[str], count: Counter) -> None:
         word = _last_word(text, at)
         if not word or not _is_type(word):
             continue
-        rest = text[end : end + 40].lstrip("\"”“»«’) \t\xa0\u3000\u202f")
+        rest = _SKIPPED.match(text, end).end()
         count[word, "p"] += 1
-        if not rest or rest[0] in LINE_BREAKS:
+        if rest == len(text) or text[rest] in LINE_BREAKS:
             count[word, "e"] += 1
-        elif len(word) <= 4 and (nxt := _WORD.match(rest)) and len(nxt.group()) <= LONGEST_TYPE:
+        elif (nxt := _WORD.match(text, rest)) and len(nxt.group()) <= LONGEST_TYPE:
             count[f"{word} {nxt.group()}", "c"] += 1
     for word in _START.findall(text):
+        if word[0].isalpha():
+            count[word.lower(), "o"] += 1
         if word[0].islower():
             count[word, "s"] += 1
 
@@ -128,9 +139,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count["", "n"] = all_types.total()
             count["", "p"] = sum(n for (_, what), n in count.items() if what == "p")
             count["", "s"] = sum(n for (_, what), n in count.items() if what == "s")
+            count["", "o"] = sum(n for (_, what), n in count.items() if what == "o")
             for word, n in all_types.items():
                 if _is_type(word):
                     count[word, "n"] = n
+                    if (small := word.lower()) != word:
+                        count[small, "f"] += n
             for model in (script, lang):
                 if model:
                     total.setdefault(model, Counter()).update(count)
@@ -151,17 +165,18 @@ def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 
 
 def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """model, kind, type, seen: the abbreviations (kind 'never' or 'ends' a sentence), collocations ('pair', 'a b') and lower-case
-    sentence starters ('start') of each language code and of each script (model '*latin' and so on).
+    """model, kind, type, seen: the abbreviations (kind 'never' or 'ends' a sentence), collocations ('pair', 'a b'), lower-case
+    sentence starters ('start') and starters in any case ('opens', in small letters) of each language code and of each script
+    (model '*latin' and so on).
 
     An abbreviation is a type whose periods are explained better by always having one than by the texts' rate of periods,
     short types and ones with inner periods being favoured (Kiss and Strunk 2006); it can end a sentence if its rate at line
     ends is nearer to ENDS than to NEVER_ENDS.
     """
     rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = checkpoint(rows.mapInArrow(_counted, "model string, type string, what string, n long").groupBy("model", "type").pivot("what", ["n", "p", "e", "s", "c", "d"]).agg(F.sum("n")).na.fill(0, ["n", "p", "e", "s", "c", "d"]))
-    kept = counts.where("type = '' OR p > 0 OR s > 2 OR c > 4")
-    per = counts.groupBy("model").agg(F.sum(F.when(F.col("type") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("type") == "", F.col("p"))).alias("all_p"), F.sum(F.when(F.col("type") == "", F.col("s"))).alias("all_s"), F.max("d").alias("texts"))
+    counts = checkpoint(rows.mapInArrow(_counted, "model string, type string, what string, n long").groupBy("model", "type").pivot("what", _COUNTS).agg(F.sum("n")).na.fill(0, _COUNTS))
+    kept = counts.where("type = '' OR p > 0 OR s > 2 OR o > 2 OR c > 4")
+    per = counts.groupBy("model").agg(F.sum(F.when(F.col("type") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("type") == "", F.col("p"))).alias("all_p"), F.sum(F.when(F.col("type") == "", F.col("s"))).alias("all_s"), F.sum(F.when(F.col("type") == "", F.col("o"))).alias("all_o"), F.max("d").alias("texts"))
     scripts = F.sum(F.when(F.col("model").startswith("*"), F.col("texts"))).alias("docs")
     per = per.join(F.broadcast(per.agg(scripts)), F.expr(f"startswith(model, '*') OR texts >= {RARE} * docs"))
     k = kept.where("type <> ''").join(per, "model")
@@ -171,11 +186,16 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     ends = _log_likelihood(F.col("e"), F.col("p"), F.lit(ENDS)) > _log_likelihood(F.col("e"), F.col("p"), F.lit(NEVER_ENDS))
     short = k.where("p >= 2").where(score >= ABBREVIATION).select("model", F.when(ends, "ends").otherwise("never").alias("kind"), "type", F.col("p").alias("seen"))
     starters = k.where("s > 2 AND n > 0").where(F.col("s") / F.col("n") > 2 * F.col("all_s") / F.col("all_n")).where(_ratio(F.col("s"), F.col("n"), F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")) >= STARTER).select("model", F.lit("start").alias("kind"), "type", F.col("s").alias("seen"))
+    whole = F.col("n") + F.col("f")
+    opening = k.where("o > 2 AND n + f >= o").where(F.col("o") / whole > 2 * F.col("all_o") / F.col("all_n")).where(_ratio(F.col("o"), whole, F.col("all_o") - F.col("o"), F.col("all_n") - whole) >= STARTER).select("model", F.lit("opens").alias("kind"), "type", F.col("o").alias("seen"))
     pair = k.where("c >= 5").select("model", "type", "c", "all_n", F.substring_index("type", " ", 1).alias("a"), F.substring_index("type", " ", -1).alias("b"))
     single = counts.where("n > 0")
     a, b = single.select("model", F.col("type").alias("a"), F.col("p").alias("pa")), single.select("model", F.col("type").alias("b"), F.col("n").alias("nb"))
     tied = pair.join(a, ["model", "a"]).join(b, ["model", "b"]).where("c * 10 >= pa AND nb > c AND all_n > pa").where(_ratio(F.col("c"), F.col("pa"), F.greatest(F.col("nb") - F.col("c"), F.lit(0)), F.col("all_n") - F.col("pa")) >= COLLOCATION)
-    return short.unionByName(starters).unionByName(tied.select("model", F.lit("pair").alias("kind"), "type", F.col("c").alias("seen")))
+    return short.unionByName(starters).unionByName(opening).unionByName(tied.select("model", F.lit("pair").alias("kind"), "type", F.col("c").alias("seen")))
+
+
+_COUNTS = ["n", "f", "p", "e", "s", "o", "c", "d"]
 
 
 class Model:
@@ -243,7 +263,8 @@ def _period_ends(line: str, at: int, end: int, after: int, kinds: dict[str, str]
     nxt = _WORD.match(line, after)
     follower = nxt.group() if nxt else ""
     if kind == "never" or kind is None and len(word) == 1 and word.isalpha() and not _CASELESS_NO_BLANKS.match(word):
-        return False
+        # only a word that opens sentences, and doesn't go with this one, begins another after an abbreviation or initial
+        return not joined and not c.islower() and ("opens", follower.lower()) in others and ("pair", f"{word} {follower}") not in others
     if joined and c.isalnum() and (len(follower) < 2 or not (word[-1:].isdigit() or len(word) > 1 or kind == "ends") or not c.isupper()):
         return False
     if kind == "ends" and ("pair", f"{word} {follower}") in others:
@@ -253,48 +274,90 @@ def _period_ends(line: str, at: int, end: int, after: int, kinds: dict[str, str]
     return True
 
 
-def _lone_close(line: str, at: int) -> bool:
+class _Last:
+    """The last place of each character that is asked for in a line."""
+
+    def __init__(self, line: str) -> None:
+        self.line, self.at = line, {}
+
+    def after(self, c: str, at: int) -> bool:
+        """Whether c stands at or after a place."""
+        if c not in self.at:
+            self.at[c] = self.line.rfind(c)
+        return self.at[c] >= at
+
+
+def _lone_close(line: str, at: int, last: _Last) -> bool:
     """Whether the character right after a mark closes something that wasn't opened in the line."""
-    c, rest = line[at], line[at + 1 :]
+    c = line[at]
     if c in CLOSING_ONLY:
         return True
     if c == "»":
-        return "«" not in rest
-    return c in '"＂' and (not rest or rest[0].isspace()) and c not in rest
+        return not last.after("«", at + 1)
+    return c in '"＂' and (at + 1 == len(line) or line[at + 1].isspace()) and not last.after(c, at + 1)
+
+
+class _Open:
+    """What is open at a place of a line: closing marks, and whether each was opened inside a running sentence."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []
+        self.waiting: Counter = Counter()
+        self.running = 0
+
+    def push(self, close: str, running: bool) -> None:
+        self.stack.append((close, running))
+        self.waiting[close] += 1
+        self.running += running
+
+    def pop(self) -> str:
+        close, running = self.stack.pop()
+        self.waiting[close] -= 1
+        self.running -= running
+        return close
 
 
 def _line_sentences(line: str, kinds: dict[str, str], others: set, out: list[tuple[int, int]], base: int) -> None:
-    n, start = len(line), 0
-    stack: list[tuple[str, bool, int]] = []  # closing mark, whether opened inside a running sentence, place
+    """Adds the sentences of a line. Each character is looked at a bounded number of times, however long the line is."""
+    n, start, last, held = len(line), 0, _Last(line), _Open()
     cuts: list[int] = []
-    pos = 0
+    pos = body = greek = 0
+    body_of = greek_of = -1  # the sentence start that body and greek are of
+    is_greek = False
     while (e := _EVENT.search(line, pos)) is not None:
         at, pos = e.start(), e.end()
         if e.lastgroup == "pair":
             c = e.group()
-            if stack and any(c == s[0] for s in stack):
-                while stack.pop()[0] != c:
+            if held.waiting[c]:
+                while held.pop() != c:
                     pass
-            elif c in CLOSES and line.find(CLOSES[c], pos) >= 0:
-                running = bool(line[start:at].strip("\"“„«»‘‚([（［「『【《〈＂¿¡ \t\xa0　 "))
-                stack.append((CLOSES[c], running, at))
+            elif c in CLOSES and last.after(CLOSES[c], pos):
+                if body_of != start:
+                    m = _RUNNING.search(line, start)
+                    body, body_of = m.start() if m else n, start
+                held.push(CLOSES[c], body < at)
             continue
         mark = e.group()
-        if mark[0] in GREEK_QUESTION:
-            if not mark.strip(GREEK_QUESTION) and not _GREEK.search(line, max(0, at - 40), at):
+        if mark[0] in GREEK_QUESTION and not mark.strip(GREEK_QUESTION):
+            # a question in Greek: a Greek letter in the sentence so far
+            if greek_of != start:
+                greek, greek_of, is_greek = start, start, False
+            is_greek = is_greek or _GREEK.search(line, greek, at) is not None
+            greek = at
+            if not is_greek:
                 continue
         if mark == "．" and line[at - 1 : at].isdigit() and line[pos : pos + 1].isdigit():
             continue
         # closing marks, also behind a blank if they close what is open
-        close, closed, inner = pos, False, any(s[1] for s in stack)
+        close, closed, inner = pos, False, held.running > 0
         while close < n:
             look = close
             while look < n and line[look].isspace():
                 look += 1
-            if look < n and stack and line[look] == stack[-1][0] and (look == close or line[look] not in "\"'"):
-                stack.pop()
+            if look < n and held.stack and line[look] == held.stack[-1][0] and (look == close or line[look] not in "\"'"):
+                held.pop()
                 close, closed = look + 1, True
-            elif look < n and look == close and (closed and line[look] in STRONG + DOTS or _lone_close(line, look)):
+            elif look < n and look == close and (closed and line[look] in STRONG + DOTS or _lone_close(line, look, last)):
                 # also a closing mark whose opening one is in another line or missing
                 close, closed = look + 1, True
             else:
@@ -314,7 +377,7 @@ def _line_sentences(line: str, kinds: dict[str, str], others: set, out: list[tup
             period = mark == "."
             if closed:
                 if inner:
-                    ends = not (small or starter) and not (c in LINKS and after == close) and (c.isupper() or bool(_CASELESS_NO_BLANKS.match(c)) or not c.isalpha()) and not any(s[1] for s in stack)
+                    ends = not (small or starter) and not (c in LINKS and after == close) and (c.isupper() or bool(_CASELESS_NO_BLANKS.match(c)) or not c.isalpha()) and not held.running
                 else:
                     ends = not small and not (c in LINKS and after == close)
             elif inner:
@@ -335,9 +398,9 @@ def _line_sentences(line: str, kinds: dict[str, str], others: set, out: list[tup
     begin = 0
     for cut in sorted(set(cuts)):
         piece = line[begin:cut]
-        if body := piece.strip():
+        if body_text := piece.strip():
             left = begin + len(piece) - len(piece.lstrip())
-            out.append((base + left, base + left + len(body)))
+            out.append((base + left, base + left + len(body_text)))
         begin = cut
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import cutoffs, frequent, mixing, packing, samples, spans
-from helixframe.llm.tokens import stretches, token_count
+from helixframe.llm.tokens import RANK_FILE, TOKENIZER_DIR, _encoding, stretches, token_count
 
 EXTRA = "value int, total int, kind int, _s int"
 
@@ -242,6 +242,18 @@ def test_tokens(spark):
     assert got[0] == 0 and got[5] is None and got[1] == 1 and all(n > 0 for n in got[2:5])
 
 
+def test_tokens_of_stretches_are_those_of_the_text():
+    rng = np.random.default_rng(9)
+    mixed = "".join(rng.choice(list("ab1ก่漢。 \n'é٣"), 3000))
+    whole = _encoding(f"{TOKENIZER_DIR}/{RANK_FILE}")
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 8000, 200_000))
+    for text, size in ((mixed, 7), (mixed, 100), (han, 50_000), (han[:1000] + "。" + han[1000:], 50_000), ("ส" * 100_000 + "ี" + "ว" * 100_000, 50_000), (" \n" * 500 + "x", 10), ("it's 5 o'clock\n\n  now " * 50, 9)):
+        parts = list(stretches(text, size))
+        assert "".join(parts) == text and sum(len(whole.encode_ordinary(x)) for x in parts) == len(whole.encode_ordinary(text))
+    with pytest.raises(FileNotFoundError):
+        _encoding("/no/such/file")
+
+
 def test_permutations():
     for size in (1, 2, 3, 5, 64, 1000):
         a = mixing.permuted(np.arange(size), np.full(size, size), np.full(size, 12345))

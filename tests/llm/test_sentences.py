@@ -45,6 +45,32 @@ def test_lines_and_missing_blanks():
     assert S.split("", "en", MODEL) == [] and S.split(" \n　", "en", MODEL) == []
 
 
+def test_what_is_far_from_a_mark_counts():
+    greek = "Πες μου αν το βιβλίο " + "A" * 300 + "; Ναι το έχω."
+    assert len(S.split(greek, "el", MODEL)) == 2 and len(S.split("See here; not there. Done", "el", MODEL)) == 2
+    assert S.script_of("a" + "b" * 500 + "漢" * 502) == "cjk" and S.script_of("漢" * 501 + "b" * 502) == "latin" and S.script_of("12 !") == "latin"
+    count, pieces = S.Counter(), []
+    S._contexts("He met Prof." + " " * 500 + "Velmo. End", pieces, count)
+    assert count["Prof", "p"] == 1 and count["Prof", "e"] == 0 and count["Prof Velmo", "c"] == 1
+
+
+def test_starters_after_abbreviations():
+    learned = S.Model([("*latin", "never", "Jr", 50), ("*latin", "opens", "then", 40), ("*latin", "opens", "velmo", 40), ("*latin", "pair", "Jr Velmo", 30)])
+    cut = lambda text: [text[a:b] for a, b in S.split(text, "en", learned)]
+    assert cut("It was Smith Jr. Then he left.") == ["It was Smith Jr.", "Then he left."]
+    assert cut("It was plan B. Then he left.") == ["It was plan B.", "Then he left."]
+    assert len(cut("It was Jr. Velmo who left.")) == 1 and len(cut("It was Jr. then. Some")) == 2 and len(cut("It was Jr. Somebody.")) == 1
+
+
+def test_marks_of_a_long_line_are_linear():
+    import time
+
+    for text in ("(" * 200_000 + "a.", "( a." * 60_000, '" a ' * 60_001, "«a. " * 60_000, "a; " * 80_000):
+        at = time.time()
+        S.split(text, "en", MODEL)
+        assert time.time() - at < 20
+
+
 def test_long_text_is_split_whole():
     text = "Word and word. " * 40_000
     got = S.split(text, "en", MODEL)
