@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.seq import kmer_text
 from helixframe.operators.intervals import point_in_interval
 from helixframe.operators.kmers import SpacedSeed, seeds
-from helixframe.operators.tiles import union_intervals
+from helixframe.operators.tiles import SEQUENCE, union_intervals
 
 # Borders of the distance bands of pairs.
 BANDS = [0, 1_000, 10_000, 100_000, 1_000_000, 10_000_000, 250_000_000]
@@ -60,7 +60,7 @@ def pair_regions(pairs: DataFrame, expand: int = 50, length: int = 64, least: in
     """key, start_pos, end_pos: merged surroundings of the ends of pairs at a distance of least to below most."""
     d = F.abs(F.col("pos2") - F.col("pos1"))
     ends = pairs.where((d >= least) & (d < most)).select(key, F.explode(F.array("pos1", "pos2")).alias("p"))
-    return union_intervals(ends.select(key, F.greatest(F.lit(0), F.col("p") - expand).alias("start_pos"), (F.col("p") + length + expand).alias("end_pos")), [key], tile=1 << 17)
+    return union_intervals(ends.select(key, F.greatest(F.lit(0), F.col("p") - expand).alias("start_pos"), (F.col("p") + length + expand).alias("end_pos")), [key], limit=SEQUENCE)
 
 
 def top_labels(hits: DataFrame, by: str, family: str, n: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ from helixframe.functions.seq import SpacedSeed
 from helixframe.operators.graph import connected_components
 from helixframe.operators.intervals import link_gaps, set_runs
 from helixframe.operators.kmers import CODE, codes_of, count_seeds, in_batches, neighbours, packed_seeds, seeds
-from helixframe.operators.tiles import union_intervals
+from helixframe.operators.tiles import SEQUENCE, union_intervals
 
 RUN_SCHEMA = "rec_id long, start_pos long, end_pos long"
 
@@ -94,7 +94,7 @@ def mask_windows(records: DataFrame, k: int = 21, threshold: int = 3, window: in
     far = high.withColumn("_to", F.lead("pos", least - 1).over(w)).where(F.col("_to") - F.col("pos") < starts)
     size = records.select("rec_id", (F.length("seq") - window).alias("_most"))
     spans = far.join(size, "rec_id").where("_most >= 0").select("rec_id", F.greatest(F.lit(0), F.col("_to") - starts + 1).alias("start_pos"), F.least(F.col("pos"), F.col("_most")).alias("_last")).where("_last >= start_pos")
-    regions = union_intervals(spans.withColumn("end_pos", F.col("_last") + window), ["rec_id"], tile=1 << 17)
+    regions = union_intervals(spans.withColumn("end_pos", F.col("_last") + window), ["rec_id"], limit=SEQUENCE)
     return regions.where(F.col("end_pos") - F.col("start_pos") >= min_len)
 
 
@@ -104,7 +104,7 @@ def mask_multi_k(records: DataFrame, ks: list[int], threshold: int = 3, gap: int
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return union_intervals(whole, ["rec_id"], tile=1 << 17).where(F.col("end_pos") - F.col("start_pos") >= min_len)
+    return union_intervals(whole, ["rec_id"], limit=SEQUENCE).where(F.col("end_pos") - F.col("start_pos") >= min_len)
 
 
 def mask_components(records: DataFrame, k: int = 21, threshold: int = 3, least: int = 0, min_len: int = 30) -> DataFrame:
@@ -120,7 +120,7 @@ def mask_components(records: DataFrame, k: int = 21, threshold: int = 3, least:
     comp = connected_components(edges)
     size = high.select("node", "cnt").distinct().join(comp, "node").groupBy("component").agg(F.sum("cnt").alias("total")).where(F.col("total") >= least)
     kept = high.join(comp.join(size, "component", "left_semi"), "node").select("rec_id", F.col("pos").alias("start_pos"), (F.col("pos") + k).alias("end_pos"))
-    return union_intervals(kept, ["rec_id"], tile=1 << 17).where(F.col("end_pos") - F.col("start_pos") >= min_len)
+    return union_intervals(kept, ["rec_id"], limit=SEQUENCE).where(F.col("end_pos") - F.col("start_pos") >= min_len)
 
 
 def index_hits(seed_rows: DataFrame, index: DataFrame, span: int, low: int, high: int) -> DataFrame:
@@ -277,7 +277,7 @@ def dust_windows(records: DataFrame, window: int = 64, threshold: float = 5.0) -
 def mask_dust(records: DataFrame, window: int = 64, threshold: float = 5.0) -> DataFrame:
     """Union of the low-complexity windows."""
     w = dust_windows(records, window, threshold).withColumn("end_pos", F.col("start_pos") + window)
-    return union_intervals(w, ["rec_id"], tile=1 << 17)
+    return union_intervals(w, ["rec_id"], limit=SEQUENCE)
 
 
 def case_runs(records: DataFrame, kind: str = "lower") -> DataFrame:
@@ -303,7 +303,7 @@ def apply_mask(records: DataFrame, regions: DataFrame, how: str = "soft") -> Dat
 
     Regions are merged first, so a record's list is short and sorted; parts beyond the sequence are cut off.
     """
-    merged = union_intervals(regions, ["rec_id"], tile=1 << 17)
+    merged = union_intervals(regions, ["rec_id"], limit=SEQUENCE)
     lists = merged.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("_m"))
     piece = "lower(substring(seq, CAST(m.start_pos + 1 AS INT), CAST(m.end_pos - m.start_pos AS INT)))" if how == "soft" else "repeat('N', CAST(least(m.end_pos, length(seq)) - m.start_pos AS INT))"
     folded = F.expr(f"aggregate(_m, struct('' AS s, 0L AS p), (a, m) -> struct(concat(a.s, substring(seq, CAST(a.p + 1 AS INT), CAST(m.start_pos - a.p AS INT)), {piece}) AS s, m.end_pos AS p), a -> concat(a.s, substring(seq, CAST(a.p + 1 AS INT))))")

@@ -1,9 +1,14 @@
 """Union and complement of intervals by a reduction tree over tiles of the coordinate axis.
 
-The state of the aggregate is a sorted list of disjoint intervals inside one tile of one key. Map tasks build such
-lists from the rows they hold, the lists of a tile are merged linearly after one shuffle, and only the pieces that
-touch a tile's edge (two a tile at most) go on to a last, small stage that joins them across tiles. No task holds more of
-a key than one tile, however many rows the key has, and no list is longer than half the tile's width.
+The state of the aggregate is a sorted list of disjoint intervals inside one tile of one key. Map tasks build such lists
+from the rows they hold; a tile's lists are merged linearly after one shuffle. What lies inside a tile for good, its
+periods and gaps but for the first and the last, leaves the tree there; the first and the last go up to a tile FAN times as
+wide, and so on until one tile holds all. No task holds more of a key than one tile's list, which is no longer than half
+the tile's width, or FAN children's first and last.
+
+An interval over many tiles is cut to its two ends and, for the whole tiles between, a few blocks of tiles (powers of RADIX
+of them), which join the tree at the level they fit in; tiles and blocks inside a block have nothing to add and are
+dropped. So a single interval of any length makes a few rows and changes no width.
 """
 
 from __future__ import annotations
@@ -14,27 +19,36 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a map task gathers before it merges them into lists.
 BUFFER_ROWS = 200_000
-#: An interval is cut into this many pieces at most (and one more): the tile is widened until that holds.
-MAX_PIECES = 64
-MIN_TILE = 1 << 17
-
-PERIOD, GAP, OPEN, EDGE = 0, 1, 2, 3
-
-
-def merge_runs(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint, sorted intervals of each group; touching ones are joined. Empty ones must be left out before."""
-    if not len(start):
-        return group, start, end
-    order = np.lexsort((start, group))
-    group, start, end = group[order], start[order], end[order]
-    low = start.min()
-    span = int(end.max()) - int(low) + 2
+TILE = 1 << 17
+#: Binary logarithm of how many tiles one of the next level holds, and of how many blocks a block of the next size.
+FAN, RADIX = 14, 7
+#: An interval over more whole tiles than this is cut into blocks.
+MOST_TILES = 64
+#: Coordinates in a sequence are below this, as a text is no longer.
+SEQUENCE = 1 << 31
+
+PERIOD, GAP, UP = 0, 1, 2
+
+
+def _order(group: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows by group, then start. Rows that are sorted lists one after another are merged linearly: the stable sort is a
+    natural merge sort."""
+    low, high = int(start.min()), int(start.max())
+    span = high - low + 1
+    if span * (int(group.max()) + 1) < 2**62:
+        return np.argsort(group * span + (start - low), kind="stable")
+    return np.lexsort((start, group))
+
+
+def _runs(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and end of the maximal covered stretches of sorted intervals."""
+    low = int(start.min())
+    span = int(end.max()) - low + 2
     rank = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
     if span * (int(rank[-1]) + 1) < 2**62:
         base = rank * span - low
@@ -45,8 +59,17 @@ def merge_runs(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
         reach = pd.Series(end).groupby(rank).cummax().to_numpy()
         new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (start[1:] > reach[:-1])))
     at = np.flatnonzero(new)
-    last = np.concatenate((at[1:], [len(start)])) - 1
-    return group[at], start[at], reach[last]
+    return at, reach[np.concatenate((at[1:], [len(start)])) - 1]
+
+
+def merge_runs(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint, sorted intervals of each group; touching ones are joined. Empty ones must be left out before."""
+    if not len(start):
+        return group, start, end
+    order = _order(group, start)
+    group, start, end = group[order], start[order], end[order]
+    at, reach = _runs(group, start, end)
+    return group[at], start[at], reach
 
 
 def _codes(columns: list[pa.Array]) -> np.ndarray:
@@ -56,7 +79,9 @@ def _codes(columns: list[pa.Array]) -> np.ndarray:
         d = col.dictionary_encode(null_encoding="encode")
         d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
         part = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        code = np.unique(code * (len(d.dictionary) + 1) + part, return_inverse=True)[1].astype(np.int64)
+        code = code * (len(d.dictionary) + 1) + part
+        if len(columns) > 1:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
     return code
 
 
@@ -69,25 +94,64 @@ def _cut(start: np.ndarray, end: np.ndarray, tile: int) -> tuple[np.ndarray, np.
     return row, t, np.maximum(start[row], t * tile), np.minimum(end[row], (t + 1) * tile)
 
 
-def _lists(table: pa.Table, keys: list[str], tile: int, out: pa.Schema) -> pa.RecordBatch | None:
-    s, e = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_s", "_e"))
-    if not len(s):
+def blocks(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, level and number of the blocks that make up each range of tiles: level l holds RADIX**l tiles."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    row, level = np.arange(len(low)), 0
+    low, high = low.copy(), high.copy()
+    while len(row):
+        up_low, up_high = -(-low >> RADIX), high >> RADIX
+        whole = up_low >= up_high  # no larger block fits
+        for a, b in ((low, np.where(whole, high, np.minimum(up_low << RADIX, high))), (np.where(whole, high, up_high << RADIX), high)):
+            n = b - a
+            which = np.repeat(np.arange(len(row)), n)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            out.append((row[which], np.full(len(which), level), a[which] + at))
+        row, low, high = row[~whole], up_low[~whole], up_high[~whole]
+        level += 1
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+
+def _lists(table: pa.Table, keys: list[str], tile: int, cut_long: bool, out: pa.Schema) -> pa.RecordBatch | None:
+    start, end = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_s", "_e"))
+    if not len(start):
         return None
+    low, high = -(-start // tile), end // tile
+    long = np.flatnonzero(high - low > MOST_TILES) if cut_long else np.empty(0, np.int64)
+    short = np.ones(len(start), bool)
+    short[long] = False
+    whole = np.flatnonzero(short)
+    # the ends of long ones are pieces like any other
+    source = np.concatenate((whole, long, long))
+    s = np.concatenate((start[whole], start[long], high[long] * tile))
+    e = np.concatenate((end[whole], low[long] * tile, end[long]))
+    keep = s < e
+    source, s, e = source[keep], s[keep], e[keep]
     row, t, s, e = _cut(s, e, tile)
-    code = _codes([table.column(k).combine_chunks() for k in keys] + [pa.array(np.zeros(table.num_rows, np.int8))])[row]
-    group = np.unique(np.stack((code, t), 1), axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
-    holder = np.zeros(int(group.max()) + 1, np.int64)
-    holder[group] = np.arange(len(group))
-    g, s, e = merge_runs(group, s, e)
-    at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    offsets = pa.array(np.concatenate((at, [len(g)])).astype(np.int32))
-    who = holder[g[at]]
-    cols = [table.column(k).combine_chunks().take(pa.array(row[who])) for k in keys]
-    cols += [pa.array(t[who]), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.ListArray.from_arrays(offsets, pa.array(e))]
+    source = source[row]
+    code = _codes([table.column(k).combine_chunks() for k in keys])[source] if keys else np.zeros(len(source), np.int64)
+    if len(code):
+        wide = int(t.max()) - int(t.min()) + 1
+        by = code * wide + (t - t.min()) if wide * (int(code.max()) + 1) < 2**44 else np.unique(np.stack((code, t), 1), axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        order = _order(by, s - t * tile)
+        by, s, e, t, source = (x[order] for x in (by, s, e, t, source))
+        at, reach = _runs(by, s, e)
+        g, s, e, t, source = by[at], s[at], reach, t[at], source[at]
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    else:
+        head = np.empty(0, np.int64)
+    of, level, number = blocks(low[long], high[long])
+    width = (1 << (RADIX * level)) * tile
+    ends = np.concatenate((head, len(s) + np.arange(len(of) + 1)))
+    ends = pa.array(ends.astype(np.int32))
+    cols = [table.column(k).combine_chunks().take(pa.array(np.concatenate((source[head], long[of])))) for k in keys]
+    cols += [pa.array(np.concatenate((np.full(len(head), -1), level))), pa.array(np.concatenate((t[head], number)))]
+    cols += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in ((s, number * width), (e, (number + 1) * width))]
+    cols += [pa.array(np.zeros(len(head) + len(of), bool))]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out)], schema=out)
 
 
-def _partial(keys: list[str], tile: int, out: pa.Schema):
+def _partial(keys: list[str], tile: int, cut_long: bool, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -95,38 +159,50 @@ def _partial(keys: list[str], tile: int, out: pa.Schema):
             held.append(b)
             rows += b.num_rows
             if rows >= BUFFER_ROWS:
-                if (x := _lists(pa.Table.from_batches(held), keys, tile, out)) is not None:
+                if (x := _lists(pa.Table.from_batches(held), keys, tile, cut_long, out)) is not None:
                     yield x
                 held, rows = [], 0
-        if held and (x := _lists(pa.Table.from_batches(held), keys, tile, out)) is not None:
+        if held and (x := _lists(pa.Table.from_batches(held), keys, tile, cut_long, out)) is not None:
             yield x
 
     return run
 
 
-def _merged(table: pa.Table, keys: list[str], tile: int, out: pa.Schema) -> pa.RecordBatch:
-    """Merges the lists of whole tiles and tells periods and gaps inside them from pieces at their edges."""
-    t = table.column("_tile").combine_chunks().to_numpy()
+def _merged(table: pa.Table, keys: list[str], top: bool, out: pa.Schema) -> pa.RecordBatch:
+    """Merges the lists of whole tiles, which are together: periods and gaps that are settled, and for each tile one row UP of its
+    first and last period (start_pos, end_pos, and _s2, _e2 if there are two). Gaps inside a list that came up are settled."""
     lists_s, lists_e = table.column("_ss").combine_chunks(), table.column("_es").combine_chunks()
     n = lists_s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    code = _codes([table.column(k).combine_chunks() for k in keys] + [table.column("_tile").combine_chunks()])
-    holder = np.zeros(int(code.max()) + 1, np.int64)
-    holder[code] = np.arange(len(code))
-    g, s, e = merge_runs(np.repeat(code, n), lists_s.flatten().to_numpy(), lists_e.flatten().to_numpy())
-    who = holder[g]
-    at_edge = (s == t[who] * tile) | (e == (t[who] + 1) * tile)
-    same = np.concatenate((g[1:] == g[:-1], [False]))
-    head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    tail = np.concatenate((head[1:], [len(g)])) - 1
-    nxt = np.flatnonzero(same)
-    row = np.concatenate((who, who[nxt], who[head]))
-    kind = np.concatenate((np.where(at_edge, OPEN, PERIOD), np.full(len(nxt), GAP), np.full(len(head), EDGE)))
-    cols = [table.column(k).combine_chunks().take(pa.array(row)) for k in keys]
-    cols += [pa.array(kind.astype(np.int32)), pa.array(np.concatenate((s, e[nxt], s[head]))), pa.array(np.concatenate((e, s[nxt + 1], e[tail])))]
+    row = np.repeat(np.arange(table.num_rows), n)
+    code = np.zeros(table.num_rows, np.int64)
+    for k in [*keys, "_tile"]:
+        c = _codes([table.column(k).combine_chunks()])
+        code[1:] |= c[1:] != c[:-1]
+    code = np.cumsum(code)
+    inner = np.concatenate(([False], row[1:] == row[:-1])) & table.column("_settled").combine_chunks().to_numpy(zero_copy_only=False)[row]
+    group, s, e = code[row], lists_s.flatten().to_numpy(), lists_e.flatten().to_numpy()
+    order = _order(group, s)
+    group, s, e, row, inner = (x[order] for x in (group, s, e, row, inner))
+    at, e = _runs(group, s, e)
+    group, s, row, inner = group[at], s[at], row[at], inner[at]
+    nxt = np.flatnonzero((group[1:] == group[:-1]) & ~inner[1:])
+    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    tail = np.concatenate((head[1:], [len(group)])) - 1
+    ends = np.zeros(len(group), bool)
+    ends[head] = ends[tail] = not top
+    done = np.flatnonzero(~ends)
+    up = np.empty(0, np.int64) if top else np.arange(len(head))
+    which = np.concatenate((row[done], row[nxt], row[head[up]]))
+    none = np.zeros(len(done) + len(nxt), np.int64)
+    two = np.concatenate((none > 0, tail[up] > head[up]))
+    cols = [table.column(k).combine_chunks().take(pa.array(which)) for k in [*keys, "_tile"]]
+    cols += [pa.array(np.concatenate((np.full(len(done), PERIOD), np.full(len(nxt), GAP), np.full(len(up), UP))))]
+    cols += [pa.array(np.concatenate((s[done], e[nxt], s[head[up]]))), pa.array(np.concatenate((e[done], s[nxt + 1], e[head[up]])))]
+    cols += [pa.array(np.concatenate((none, x[tail[up]])), mask=~two) for x in (s, e)]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out)], schema=out)
 
 
-def _final(keys: list[str], tile: int, out: pa.Schema):
+def _merging(keys: list[str], top: bool, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -136,70 +212,94 @@ def _final(keys: list[str], tile: int, out: pa.Schema):
             held = new if held is None else pa.concat_tables([held, new])
             if held.num_rows < 1000:
                 continue
-            code = _codes([held.column(k).combine_chunks() for k in keys] + [held.column("_tile").combine_chunks()])
+            code = _codes([held.column(k).combine_chunks() for k in [*keys, "_tile"]])
             # rows are sorted by key and tile: all but the last tile are whole
             split = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
             if split:
-                yield _merged(held.slice(0, split), keys, tile, out)
+                yield _merged(held.slice(0, split), keys, top, out)
                 held = held.slice(split)
         if held is not None and held.num_rows:
-            yield _merged(held, keys, tile, out)
+            yield _merged(held, keys, top, out)
 
     return run
 
 
-def _tile_width(df: DataFrame) -> int:
-    """The narrowest power of two of which an interval spans MAX_PIECES at most; one row comes to the driver."""
-    longest = df.agg(F.max(F.col("_e") - F.col("_s"))).first()[0] or 0
-    tile = MIN_TILE
-    while tile * MAX_PIECES < longest:
-        tile *= 2
-    return tile
+def _without_covered(lists: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """lists but for tiles and blocks inside a (larger) block, which are few and told apart from tiles by _level."""
+    found = lists.where("_level >= 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_level").alias("_in"), F.col("_tile").alias("_block")).distinct()
+    for level in range(levels):
+        here = found.where(F.col("_in") == level).drop("_in")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        inside = F.expr(f"shiftright(_tile, CAST({RADIX} * ({level} - greatest(_level, 0)) AS INT))") == F.col("_block")
+        lists = lists.join(here, same & (F.col("_level") < level) & inside, "left_anti")
+    return lists
 
 
-def interval_periods(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None, kinds: tuple[int, ...] = (PERIOD, GAP)) -> DataFrame:
+def interval_periods(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None, kinds: tuple[int, ...] = (PERIOD, GAP), limit: int | None = None) -> DataFrame:
     """Continuous periods and the gaps between them, for each key.
 
-    df: rows with the columns keys, start, end (0-based, half-open, integral); other columns are ignored. Repeated rows
-    change nothing, so re-sent rows need no removal. Returns keys, start_pos, end_pos, kind (0: period, 1: gap).
+    df: rows with the columns keys, start, end (0-based, half-open, integral, between -2^61 and 2^61); other columns are
+    ignored. Repeated rows change nothing, so re-sent rows need no removal. Returns keys, start_pos, end_pos, kind (0:
+    period, 1: gap).
 
     Periods are the maximal stretches covered by intervals of a key, touching intervals being joined; a gap lies between
     two successive periods. Rows with a null start or end or with end <= start are left out; a null key is a key of its
-    own; an empty table gives no row. tile: the tile's width, else taken from the longest interval (one aggregate job).
+    own; an empty table gives no row.
+
+    The range of the coordinates and the longest interval are taken from the rows by one aggregate job, unless a limit is
+    given (coordinates are in 0 to limit, parts outside are cut off) or a tile's width (intervals are then cut at the
+    edges of tiles, so they should be short).
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    width = tile or TILE
     base = df.select(*keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")).where("_s IS NOT NULL AND _e IS NOT NULL AND _e > _s")
-    tile = tile or _tile_width(base)
+    longest, origin = 0, 0
+    if limit:
+        base = base.select(*keys, F.greatest("_s", F.lit(0)).alias("_s"), F.least("_e", F.lit(limit)).cast("long").alias("_e")).where("_e > _s")
+        most = limit
+    elif tile:
+        origin = -(1 << 61)
+        most = 1 << 62
+    else:
+        low, most, longest = (x or 0 for x in base.agg(F.min("_s"), F.max("_e"), F.max(F.col("_e") - F.col("_s"))).first())
+        origin = low // width * width
+        most -= origin
+    base = base.select(*keys, (F.col("_s") - origin).alias("_s"), (F.col("_e") - origin).alias("_e"))
+    cut_long = longest > width * MOST_TILES
+    top = 0  # levels above the tiles, until one tile holds all
+    while (most - 1) // width >> (FAN * top) > 0:
+        top += 1
     key_fields = [base.schema[k] for k in keys]
     longs = T.ArrayType(T.LongType(), True)
-    partial = T.StructType([*key_fields, T.StructField("_tile", T.LongType()), T.StructField("_ss", longs), T.StructField("_es", longs)])
-    final = T.StructType([*key_fields, T.StructField("kind", T.IntegerType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    lists = base.mapInArrow(_partial(keys, tile, to_arrow_schema(partial)), partial)
-    placed = lists.repartition(*keys, "_tile").sortWithinPartitions(*keys, "_tile")
-    pieces = placed.mapInArrow(_final(keys, tile, to_arrow_schema(final)), final)
-    inner = pieces.where(F.col("kind").isin([k for k in kinds if k in (PERIOD, GAP)]))
-    out = inner
-    if PERIOD in kinds:
-        out = out.unionByName(stitch(pieces.where(F.col("kind") == OPEN), keys).withColumn("kind", F.lit(PERIOD)))
-    if GAP in kinds:
-        after = W.partitionBy(*keys).orderBy("start_pos") if keys else W.partitionBy(F.lit(0)).orderBy("start_pos")
-        edges = pieces.where(F.col("kind") == EDGE).withColumn("_next", F.lead("start_pos").over(after)).where(F.col("_next") > F.col("end_pos"))
-        out = out.unionByName(edges.select(*keys, F.lit(GAP).alias("kind"), F.col("end_pos").alias("start_pos"), F.col("_next").alias("end_pos")))
-    return out
-
-
-def stitch(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins touching or overlapping (start_pos, end_pos) of a key by a window over start order."""
-    w = W.partitionBy(*keys).orderBy("start_pos", "end_pos") if keys else W.partitionBy(F.lit(0)).orderBy("start_pos", "end_pos")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    flagged = df.withColumn("_new", (F.col("start_pos") > F.coalesce(F.max("end_pos").over(before), F.col("start_pos") - 1)).cast("long"))
-    return flagged.withColumn("_island", F.sum("_new").over(w)).groupBy(*keys, "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_island")
-
-
-def union_intervals(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None) -> DataFrame:
+    partial = T.StructType([*key_fields, T.StructField("_level", T.IntegerType()), T.StructField("_tile", T.LongType()), T.StructField("_ss", longs), T.StructField("_es", longs), T.StructField("_settled", T.BooleanType())])
+    final = T.StructType([*key_fields, T.StructField("_tile", T.LongType()), T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start_pos", "end_pos", "_s2", "_e2")]])
+    lists = base.mapInArrow(_partial(keys, width, cut_long, to_arrow_schema(partial)), partial)
+    if cut_long:
+        lists = _without_covered(lists, keys, -(-(longest // width).bit_length() // RADIX))
+    joining = lists.where("_level >= 0").dropDuplicates([*keys, "_level", "_tile"])
+    out, rows = None, lists.where("_level < 0").drop("_level") if cut_long else lists.drop("_level")
+    for step in range(top + 1):
+        placed = rows.repartition(*keys, "_tile").sortWithinPartitions(*keys, "_tile")
+        pieces = placed.mapInArrow(_merging(keys, step == top, to_arrow_schema(final)), final)
+        settled = pieces.where(F.col("kind").isin(list(kinds))).select(*keys, (F.col("start_pos") + origin).alias("start_pos"), (F.col("end_pos") + origin).alias("end_pos"), "kind")
+        out = settled if out is None else out.unionByName(settled)
+        if step == top:
+            return out
+        two = F.col("_s2").isNotNull()
+        pair = lambda a, b: F.when(two, F.array(a, b)).otherwise(F.array(a))
+        rows = pieces.where(F.col("kind") == UP).select(*keys, F.shiftright("_tile", FAN).alias("_tile"), pair("start_pos", "_s2").alias("_ss"), pair("end_pos", "_e2").alias("_es"), F.lit(True).alias("_settled"))
+        if cut_long:
+            # a block joins at the first level whose tiles are wider; one as wide as the axis at the last
+            at = F.least(F.lit(top), F.floor(F.col("_level") * RADIX / FAN) + 1)
+            rows = rows.unionByName(joining.where(at == step + 1).select(*keys, F.expr(f"shiftright(_tile, CAST({FAN * (step + 1)} - {RADIX} * _level AS INT))").alias("_tile"), "_ss", "_es", "_settled"))
+
+
+def union_intervals(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None, limit: int | None = None) -> DataFrame:
     """keys, start_pos, end_pos of the continuous periods; see interval_periods."""
-    return interval_periods(df, keys, start, end, tile, kinds=(PERIOD,)).drop("kind")
+    return interval_periods(df, keys, start, end, tile, (PERIOD,), limit).drop("kind")
 
 
 def covered_bases(df: DataFrame, keys: list[str], start: str = "start_pos", end: str = "end_pos", tile: int | None = None) -> DataFrame:

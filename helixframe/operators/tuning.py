@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.seq import ratio
 from helixframe.operators.kmers import seeds
-from helixframe.operators.tiles import overlap_pieces, union_intervals
+from helixframe.operators.tiles import SEQUENCE, overlap_pieces, union_intervals
 
 
 def k_sets(ks: list[int]) -> list[tuple[int, ...]]:
@@ -41,8 +41,8 @@ def tune_graph(records: DataFrame, truth: DataFrame, ks: list[int], thresholds:
     """The `top` settings by F1 against the true intervals (rec_id, start_pos, end_pos); equal ones by smaller settings."""
     key = ["k", "threshold", "gap"]
     length = F.sum(F.col("end_pos") - F.col("start_pos"))
-    t = union_intervals(truth, ["rec_id"], tile=1 << 17)
-    p = union_intervals(graph_grid(records, ks, thresholds, gaps), [*key, "rec_id"], tile=1 << 17)
+    t = union_intervals(truth, ["rec_id"], limit=SEQUENCE)
+    p = union_intervals(graph_grid(records, ks, thresholds, gaps), [*key, "rec_id"], limit=SEQUENCE)
     both = overlap_pieces(p, t, ["rec_id"]).groupBy(*key).agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("both_bases"))
     settings = records.sparkSession.createDataFrame([(k, th, g) for k in ks for th in thresholds for g in gaps], "k int, threshold int, gap int")
     out = settings.join(p.groupBy(*key).agg(length.alias("pred_bases")), key, "left").join(both, key, "left").join(F.broadcast(t.agg(F.coalesce(length, F.lit(0)).alias("truth_bases")))).na.fill(0, ["pred_bases", "both_bases"])

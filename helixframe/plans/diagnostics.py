@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import analysis as D
 from helixframe.operators import kmers as K
-from helixframe.operators.tiles import union_intervals
+from helixframe.operators.tiles import SEQUENCE, union_intervals
 from helixframe.plans.common import COPIES, G, PLACED, copies, genome, placed, union_sql, windows
 from helixframe.runtime import ensure_checkpoint_dir, table
 from helixframe.sources import text
@@ -28,7 +28,7 @@ def pair_distance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    return D.pairs_in_spans(_pairs(spark, d), union_intervals(copies(spark, d), ["rec_id"], tile=1 << 17))
+    return D.pairs_in_spans(_pairs(spark, d), union_intervals(copies(spark, d), ["rec_id"], limit=SEQUENCE))
 
 
 def pair_sd_crosstab(spark: SparkSession, d: str) -> DataFrame:

@@ -52,10 +52,41 @@ def test_empty_and_clashing_columns(spark):
     assert [tuple(r) for r in tiles.interval_periods(df, ["k"]).select("k", "kind", "start_pos", "end_pos").collect()] == [("x", 0, 0, 5)]
 
 
-def test_width_follows_longest(spark):
+def test_one_long_interval_changes_no_width(spark):
     df = spark.createDataFrame([("x", 0, 10**12), ("x", 10**12 + 5, 10**12 + 9)], "k string, start_pos long, end_pos long")
     got = {(r.kind, r.start_pos, r.end_pos) for r in tiles.interval_periods(df, ["k"]).collect()}
     assert got == {(0, 0, 10**12), (1, 10**12, 10**12 + 5), (0, 10**12 + 5, 10**12 + 9)}
+    far = spark.createDataFrame([("x", -(2**60), 2**60), ("x", 7, 9), ("y", 7, 9), (None, -5, 2**50)], "k string, start_pos long, end_pos long")
+    assert {(r.k, r.kind, r.start_pos, r.end_pos) for r in tiles.interval_periods(far, ["k"]).collect()} == {("x", 0, -(2**60), 2**60), ("y", 0, 7, 9), (None, 0, -5, 2**50)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**7), st.integers(0, 10**7)), min_size=1, max_size=5))
+def test_blocks_are_the_range(ranges):
+    low, high = (np.array(x) for x in zip(*[(min(a, b), max(a, b)) for a, b in ranges]))
+    row, level, number = tiles.blocks(low, high)
+    for i in range(len(low)):
+        mine = sorted((int(n) << (tiles.RADIX * int(l)), int(n + 1) << (tiles.RADIX * int(l))) for r, l, n in zip(row, level, number) if r == i)
+        assert len(mine) <= 2 * 128 * 4 and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+        assert (mine[0][0], mine[-1][1]) == (low[i], high[i]) if mine else low[i] == high[i]
+
+
+@pytest.mark.parametrize("radix,fan", [(1, 2), (2, 2), (2, 5)])
+def test_long_intervals_against_bases(spark, monkeypatch, radix, fan):
+    monkeypatch.setattr(tiles, "TILE", 4)
+    monkeypatch.setattr(tiles, "MOST_TILES", 2)
+    monkeypatch.setattr(tiles, "RADIX", radix)
+    monkeypatch.setattr(tiles, "FAN", fan)
+    rng = np.random.default_rng(radix * 10 + fan)
+    rows = []
+    for k, n, most in (("a", 60, 40), ("b", 10, 300), (None, 25, 120)):
+        for _ in range(n):
+            s = int(rng.integers(-300, 900))
+            rows.append((k, s, s + int(rng.integers(1, most))))
+    assert run(spark, rows, None) == brute(rows)
+    df = spark.createDataFrame([r for r in rows if r[0]], "k string, start_pos long, end_pos long")
+    got = {(r.k, r.kind, r.start_pos, r.end_pos) for r in tiles.interval_periods(df, ["k"], limit=700).collect()}
+    assert got == brute([(k, max(0, s), min(700, e)) for k, s, e in rows if k])
 
 
 @settings(max_examples=200, deadline=None)
