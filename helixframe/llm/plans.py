@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import cutoffs, frequent, mixing, packing, samples, sentences, spans
 from helixframe.llm.tokens import token_count
-from helixframe.operators.tiles import overlap_pieces, union_intervals
+from helixframe.operators.tiles import SEQUENCE, overlap_pieces, union_intervals
 from helixframe.runtime import checkpoint, spread, table
 
 P1_PARTS = 500
@@ -49,7 +49,7 @@ def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared bases of each record under the annotated copies of each family (null: copies without one)."""
     found = spans.shared_spans(table(spark, sf_dir, "records"))
-    copies = union_intervals(table(spark, sf_dir, "repeats").where("rec_id IS NOT NULL"), ["rec_id", "family"], tile=1 << 17)
+    copies = union_intervals(table(spark, sf_dir, "repeats").where("rec_id IS NOT NULL"), ["rec_id", "family"], limit=SEQUENCE)
     pieces = overlap_pieces(found, copies, ["rec_id"])
     return pieces.groupBy("rec_id", "family").agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("shared"))
 
@@ -93,6 +93,7 @@ def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose blocks the mixture used up before their share was reached."""
     targets = table(spark, sf_dir, "mix_targets").select(F.col("source").alias("given"), mixing.source_name(F.col("source")).alias("source"))
     return _mixture(spark, sf_dir).shares().where("short").join(targets, "source").select(F.col("given").alias("source"))
 
@@ -102,6 +103,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each source stand how often in the mixture, by the most used of their parts."""
+    parts = _mixture(spark, sf_dir).mix().groupBy("source", "doc_id", "token_start").agg(F.count("*").alias("n"))
+    return parts.groupBy("source", "doc_id").agg(F.max("n").alias("uses")).groupBy("source", "uses").agg(F.count("*").alias("documents"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: every slot's block with the document parts in it."""
     return _mixture(spark, sf_dir).mix()
@@ -124,7 +131,7 @@ _P2 = """WITH d AS (SELECT DISTINCT ON (cand_id) cand_id, cid, score FROM candid
  s AS (SELECT cid, score, SUM(COUNT(*)) OVER (PARTITION BY cid ORDER BY score DESC) AS kept FROM d GROUP BY cid, score),
  c AS (SELECT t.cid, MAX(s.score) AS cutoff, MIN(s.kept) AS kept FROM keep_targets t JOIN n ON n.cid = t.cid JOIN s ON s.cid = t.cid WHERE s.kept * 1000 >= t.keep_permille * n.n GROUP BY t.cid)"""
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p2_found": p2_found, "p2_kept": p2_kept, "p4_found": p4_found, "p4_share": p4_share, "p4_families": p4_families, "p6_sample": p6_sample, "p6_per_seed": p6_per_seed, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p2_found": p2_found, "p2_kept": p2_kept, "p4_found": p4_found, "p4_share": p4_share, "p4_families": p4_families, "p6_sample": p6_sample, "p6_per_seed": p6_per_seed, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_uses": p8_uses, "p8_mix": p8_mix, "p9_found": p9_found}
 
 SQL = {
     "p4_found": f"{_P4} SELECT rec_id, start_pos, end_pos FROM u",

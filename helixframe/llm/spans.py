@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.tiles import union_intervals
+from helixframe.operators.tiles import SEQUENCE, union_intervals
 from helixframe.runtime import checkpoint, shuffle_partitions, spread
 
 SPAN = 64
@@ -358,7 +358,7 @@ def shared_spans(records: DataFrame, rec_id: str = "rec_id", seq: str = "seq", h
 
     Bases of a record given several times are shared if they are in any of its rows.
     """
-    return union_intervals(shared_factors(records, rec_id, seq, hot_rows), ["rec_id"], tile=1 << 17)
+    return union_intervals(shared_factors(records, rec_id, seq, hot_rows), ["rec_id"], limit=SEQUENCE)
 
 
 def shared_share(records: DataFrame, spans: DataFrame, rec_id: str = "rec_id", seq: str = "seq") -> DataFrame:

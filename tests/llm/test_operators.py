@@ -262,11 +262,20 @@ def test_permutations():
     assert (a != b).mean() > 0.9
 
 
+def test_fair_shares():
+    got = mixing.fair_shares(100, np.array([50.0, 30, 20, 0]), np.array([10.0, 1000, 1000, 1000]))
+    assert got.tolist() == [10, 54, 36, 0]
+    assert mixing.fair_shares(100, np.array([1.0, 1.0]), np.array([10.0, 20.0])).tolist() == [10, 20]
+    assert mixing.fair_shares(0, np.array([1.0]), np.array([5.0])).tolist() == [0]
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(8)
     docs = [(i, "big", int(rng.integers(0, 4000))) for i in range(900)] + [(2000 + i, "small", 100) for i in range(30)] + [(3000 + i, None, 50) for i in range(20)] + [(4000, "none", 70)] + [(5000, "tiny", 40)]
     targets = [("big", 500, 1), ("small", 300, 3), ("tiny", 1, 10_000), ("absent", 199, 4), (None, 5, 5)]
-    m = mixing.Mixture(spark.createDataFrame(docs, "doc_id long, source string, tokens long").repartition(4), spark.createDataFrame(targets, "source string, target_permille int, max_repeat int"))
+    made = lambda fill: mixing.Mixture(spark.createDataFrame(docs, "doc_id long, source string, tokens long").repartition(4), spark.createDataFrame(targets, "source string, target_permille int, max_repeat int"), fill=fill)
+    m = made(False)
+    filled = made(True)
     total = sum(t for _, _, t in docs)
     sizes = Counter()
     for _, s, t in docs:
@@ -288,5 +297,12 @@ def test_mixture(spark):
     for k in uses:
         blocks[k[0], k[1]] += next(r.tokens for r in rows if (r.source, r.block, r.doc_id, r.token_start) == k)
     assert max(blocks.values()) <= mixing.BLOCK_TOKENS
+    # what the short sources leave goes to those with room, until all of them are used up
+    more = {r.source: r for r in filled.shares().collect()}
+    assert {s for s, r in more.items() if r.short} == {"small", "absent"} and more["small"].mixed_tokens == 3 * sizes["small"]
+    slots = filled.slots.groupBy("source").count().rdd.collectAsMap()
+    caps = {"big": -(-sizes["big"] // mixing.BLOCK_TOKENS), "tiny": 10_000, "small": 3 * -(-sizes["small"] // mixing.BLOCK_TOKENS)}
+    assert sum(slots.values()) == filled.planned and all(n <= caps[s] for s, n in slots.items()) and slots["small"] == caps["small"]
+    assert filled.slots.groupBy("shard").count().where(f"count > {mixing.SHARD_SLOTS}").count() == 0
     empty = mixing.Mixture(spark.createDataFrame([], "doc_id long, source string, tokens long"), spark.createDataFrame(targets, "source string, target_permille int, max_repeat int"))
     assert empty.mix().count() == 0 and {r.source: r.short for r in empty.shares().collect()} == dict.fromkeys(["big", "small", "tiny", "absent"], False)
