@@ -55,15 +55,15 @@ def p4_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1,000 occurrences of all that the pieces met."""
+    """1,000 occurrences of all that the pieces met; again: how often it stands in already."""
     s = samples.sample_occurrences(table(spark, sf_dir, "reservoir"), 1000)
-    return s.select("piece_id", "occ.rec", "occ.pos", "occ.is_forward")
+    return s.select("piece_id", "occ.rec", "occ.pos", "occ.is_forward", "again")
 
 
 def p6_per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 50 occurrences of every seed."""
     s = samples.sample_occurrences(table(spark, sf_dir, "reservoir"), 50, key="seed_kmer")
-    return s.select("seed_kmer", "piece_id", "occ.rec", "occ.pos", "occ.is_forward")
+    return s.select("seed_kmer", "piece_id", "occ.rec", "occ.pos", "occ.is_forward", "again")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

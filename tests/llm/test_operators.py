@@ -102,10 +102,35 @@ def test_samples_have_their_size_and_fair_shares(spark):
 
 
 def test_draws_are_order_statistics():
-    u = np.array([samples.piece_draws(i, 1000, 10, 3, 1)[0] for i in range(3000)])
-    assert abs(u[:, 0].mean() - 1 / 1001) < 1e-4 and abs(u[:, 2].mean() - 3 / 1001) < 2e-4
-    u, which = samples.piece_draws(5, 8, 3, 100, 1)
-    assert len(u) == 8 and (np.diff(u) > 0).all() and Counter(which.tolist()).most_common(1)[0][1] <= 3
+    n = 3000
+    row, rank, u, _, _ = samples.piece_draws(np.arange(n), np.full(n, 1000), np.full(n, 10), 3, 1)
+    by = np.zeros((n, 3))
+    by[row, rank] = u
+    assert abs(by[:, 0].mean() - 1 / 1001) < 1e-4 and abs(by[:, 2].mean() - 3 / 1001) < 2e-4
+    row, rank, u, which, again = samples.piece_draws(np.array([5]), np.array([8]), np.array([3]), 100, 1)
+    assert len(u) == 8 and (np.diff(u) > 0).all() and sorted(Counter(which.tolist()).values()) == [2, 3, 3] and again.tolist() == [0, 0, 0, 1, 1, 1, 2, 2]
+    # a bound lets the same numbers pass that are under it
+    piece, seen, kept = np.arange(50), np.full(50, 5000), np.full(50, 5000)
+    whole = samples.piece_draws(piece, seen, kept, 4000, 3)
+    part = samples.piece_draws(piece, seen, kept, 4000, 3, np.full(50, 0.01))
+    pick = whole[2] < 0.01
+    rows = lambda d, keep: sorted(zip(*(x[keep].tolist() for x in d)))
+    assert rows(whole, pick) == rows(part, np.ones(len(part[0]), bool))
+
+
+def test_buffers_stay_small_in_a_task_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(samples, "FRESH", 500)
+    import pyarrow as pa
+
+    out = pa.schema([("_key", pa.int64()), ("_piece", pa.int64()), ("_at", pa.int64()), ("_u", pa.float64()), ("_level", pa.int32()), ("again", pa.int64()), ("occ", pa.int64())])
+    batch = lambda i: pa.RecordBatch.from_arrays([pa.array([None] * 40, pa.int64()), pa.array(range(40 * i, 40 * i + 40)), pa.array([20] * 40), pa.array([list(range(20))] * 40)], names=["k", "p", "s", "o"])
+    got = list(samples._drawn(50, 1, out)(batch(i) for i in range(60)))
+    assert 20 <= sum(b.num_rows for b in got) <= 50 and len(set(got[0].column("_level").to_pylist())) == 1
+    # more tasks than are merged at once
+    data = [(i, i % 3, 30, 30) for i in range(400)]
+    df = pieces(spark, data + data[:50]).repartition(9)
+    got = samples.sample_occurrences(df, 40, "key", "piece", "met", "got", fan_in=2).collect()
+    assert Counter(r.key for r in got) == {0: 40, 1: 40, 2: 40} and len({(r.piece_id, r.occ.pos) for r in got}) == 120 and {r.again for r in got} == {0}
 
 
 def brute_shared(rows):
