@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import SpacedSeed, complex_enough, revcomp
+from helixframe.operators.chunks import chunk_records, with_window
 from helixframe.operators.kmers import CODE, packed_seeds, seeds
 
 MAX_LIBRARY_BASES = 64_000_000
@@ -74,13 +75,15 @@ def diagonal_pairs(hits: DataFrame) -> DataFrame:
 
 def gate_flanks(hits: DataFrame, records: DataFrame, consensi: DataFrame, span: int) -> DataFrame:
     """hits with genome and consensus letters up to FLANK bases left and right of the seed (g_left, c_left, ...), upper case."""
-    g = records.select("rec_id", F.upper("seq").alias("_g"))
     c = consensi.select("consensus", F.upper("seq").alias("_f"), revcomp(F.upper("seq")).alias("_r"))
-    both = hits.join(g, "rec_id").join(c, "consensus").withColumn("_c", F.when(F.col("reverse"), F.col("_r")).otherwise(F.col("_f")))
-    left = F.least(F.lit(FLANK), F.col("pos"), F.col("cpos")).cast("int")
-    right = F.greatest(F.lit(0), F.least(F.lit(FLANK), F.length("_g") - F.col("pos") - span, F.length("_c") - F.col("cpos") - span)).cast("int")
+    # of the record only the window around the seed goes with a hit
+    ahead = F.least(F.lit(FLANK).cast("long"), F.col("pos"))
+    near = with_window(hits, records, F.col("pos") - ahead, F.col("pos") + span + FLANK, 2 * FLANK + span, "_g").withColumn("_g", F.upper("_g"))
+    both = near.join(c, "consensus").withColumn("_c", F.when(F.col("reverse"), F.col("_r")).otherwise(F.col("_f")))
+    left = F.least(ahead, F.col("cpos")).cast("int")
+    right = F.greatest(F.lit(0), F.least(F.lit(FLANK), F.length("_g") - ahead - span, F.length("_c") - F.col("cpos") - span)).cast("int")
     cut = lambda s, at, n: F.substring(F.col(s), at.cast("int"), n)
-    out = both.withColumns({"g_left": cut("_g", F.col("pos") - left + 1, left), "c_left": cut("_c", F.col("cpos") - left + 1, left), "g_right": cut("_g", F.col("pos") + span + 1, right), "c_right": cut("_c", F.col("cpos") + span + 1, right)})
+    out = both.withColumns({"g_left": cut("_g", ahead - left + 1, left), "c_left": cut("_c", F.col("cpos") - left + 1, left), "g_right": cut("_g", ahead + span + 1, right), "c_right": cut("_c", F.col("cpos") + span + 1, right)})
     return out.drop("_g", "_f", "_r", "_c")
 
 
@@ -229,29 +232,35 @@ def scan(lib: Library, s: Settings, seq: np.ndarray, start: int, stop: int) -> I
                 break
 
 
-def library_candidates(records: DataFrame, consensi: DataFrame, settings: Settings | None = None) -> DataFrame:
+def library_candidates(records: DataFrame, consensi: DataFrame, settings: Settings | None = None, block: int = BLOCK) -> DataFrame:
     """Accepted library hits of every record, with the columns of CANDIDATES.
 
-    consensi: consensus, seq. Rows with a null sequence give nothing. Letter case is ignored.
+    consensi: consensus, seq. Rows with a null sequence give nothing. Letter case is ignored. Records longer than a block are
+    handed out block by block, with as many letters around as an extension may reach.
     """
     s = settings or Settings()
-    lib = records.sparkSession.sparkContext.broadcast(Library.of(consensi, s.pattern))
+    made = Library.of(consensi, s.pattern)
+    reach = max(map(len, made.seqs), default=0) + s.band + NEAR + FLANK + made.seed.span
+    lib = records.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = lib.value
         for b in batches:
             out: list[list] = [[] for _ in range(14)]
-            for rec, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for rec, number, off, text in zip(*(c.to_pylist() for c in b.columns)):
                 seq = np.frombuffer(text.encode(), np.uint8)
-                for start in range(0, len(seq), BLOCK):
-                    for g, oi, _, left, right, f, r, cf, cb, gf, gb in scan(library, s, seq, start, min(start + BLOCK, len(seq))):
+                for start in range(number * block - off, min(len(seq), (number + 1) * block - off), block):
+                    for g, oi, _, left, right, f, r, cf, cb, gf, gb in scan(library, s, seq, start, min(start + block, len(seq))):
                         w = seq[g - gb : g + gf]
-                        row = (rec, g - gb, g + gf, library.names[oi // 2], "-" if oi % 2 else "+", f + r, f, r, cf, cb, len(library.seqs[oi]), left, right, round(float(((w == 71) | (w == 67)).mean()), 3))
+                        row = (rec, off + g - gb, off + g + gf, library.names[oi // 2], "-" if oi % 2 else "+", f + r, f, r, cf, cb, len(library.seqs[oi]), left, right, round(float(((w == 71) | (w == 67)).mean()), 3))
                         for col, v in zip(out, row):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32()] * 8 + [pa.float64()])], names=[x.split()[0] for x in CANDIDATES.split(", ")])
 
-    return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), F.upper("seq").alias("seq")).mapInArrow(run, CANDIDATES)
+    rows = records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long").alias("rec_id"), F.upper("seq").alias("seq"))
+    short = rows.where(F.length("seq") <= block).select("rec_id", F.lit(0).cast("long").alias("chunk_no"), F.lit(0).cast("long").alias("off"), F.col("seq").alias("s"))
+    long = chunk_records(rows.where(F.length("seq") > block), block, overlap=reach, before=reach).repartition("rec_id", "chunk_no")
+    return short.unionByName(long).mapInArrow(run, CANDIDATES)
 
 
 def candidate_regions(candidates: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.seq import SpacedSeed, kmer_text, revcomp
 from helixframe.operators.align import GAP, LOW, MATCH, MISMATCH
+from helixframe.operators.chunks import with_window
 from helixframe.operators.kmers import CODE, packed_seeds, seeds
 from helixframe.runtime import checkpoint, shuffle_partitions
 
@@ -45,10 +46,10 @@ def occurrences(records: DataFrame, chosen: DataFrame, k: int, per_seed: int, sa
 
 def oriented_flanks(records: DataFrame, occ: DataFrame, span: int, flank: int) -> DataFrame:
     """occ with seed_seq, left (read away from the seed) and right, in the seed's orientation, upper case."""
-    rows = occ.join(records.select("rec_id", F.upper("seq").alias("_s")), "rec_id")
-    start = F.greatest(F.lit(0), F.col("pos") - flank)
+    ahead = F.least(F.lit(flank).cast("long"), F.col("pos"))
+    rows = with_window(occ, records, F.col("pos") - ahead, F.col("pos") + span + flank, 2 * flank + span, "_s").withColumn("_s", F.upper("_s"))
     cut = lambda at, n: F.substring(F.col("_s"), (at + 1).cast("int"), n.cast("int"))
-    before, mid, after = cut(start, F.col("pos") - start), cut(F.col("pos"), F.lit(span)), cut(F.col("pos") + span, F.lit(flank))
+    before, mid, after = cut(F.lit(0), ahead), cut(ahead, F.lit(span)), cut(ahead + span, F.lit(flank))
     fwd = F.col("forward")
     return rows.select(*occ.columns, F.when(fwd, mid).otherwise(revcomp(mid)).alias("seed_seq"), F.when(fwd, F.reverse(before)).otherwise(F.reverse(revcomp(after))).alias("left"), F.when(fwd, after).otherwise(revcomp(before)).alias("right"))
 

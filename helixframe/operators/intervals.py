@@ -40,9 +40,19 @@ def link_gaps(df: DataFrame, keys: list[str], pos: str, gap: int, tile: int | No
 
 def set_runs(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """keys, start_pos, end_pos: runs of successive positions; repeated positions count once."""
-    w = W.partitionBy(*keys).orderBy(pos)
-    runs = df.select(*keys, pos).distinct().withColumn("_run", F.col(pos) - F.row_number().over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min(pos).alias("start_pos"), (F.max(pos) + 1).alias("end_pos")).drop("_run")
+    runs = link_gaps(df.select(*keys, pos), keys, pos, 1)
+    return runs.select(*keys, F.col("first").alias("start_pos"), (F.col("last") + 1).alias("end_pos"))
+
+
+def with_halo(df: DataFrame, pos: str, reach: int, tile: int = TILE) -> DataFrame:
+    """df with _tile and _own: each row in its position's tile, and (not _own) in the tile before if it is within `reach` of it.
+
+    So a window over a tile's rows in order shows each own row all that follow within the reach.
+    """
+    own = F.floor(F.col(pos) / tile)
+    near = F.col(pos) - own * tile < reach
+    both = F.when(near, F.array(own, own - 1)).otherwise(F.array(own))
+    return df.withColumn("_tile", F.explode(both)).withColumn("_own", F.col("_tile") == own)
 
 
 def union_named(df: DataFrame, keys: list[str], name: str = "name", order: str | None = None) -> DataFrame:

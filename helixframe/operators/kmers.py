@@ -125,6 +125,69 @@ def seeds(records: DataFrame, seed: SpacedSeed | int, strand: str = "canonical",
     return rows.mapInArrow(_seed_rows(seed, strand, sample, to_arrow_type(kind)), f"rec_id {kind.simpleString()}, pos long, kmer long")
 
 
+#: Entries of an index that are broadcast to be looked up where records are read; larger ones are joined.
+MOST_LOOKED_UP = 2_000_000
+
+
+def seed_counts(records: DataFrame, seed: SpacedSeed | int, sample: int = 1, seq: str = "seq") -> DataFrame:
+    """kmer, cnt over all records: counted where the records are read, a piece at a time, then summed."""
+    seed = SpacedSeed.contiguous(seed) if isinstance(seed, int) else seed
+    inner = _seed_rows(seed, "canonical", sample, pa.int64())
+    out = pa.schema([("kmer", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def counted() -> pa.RecordBatch:
+            v, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(c.astype(np.int64))], schema=out)
+
+        for b in inner(batches):
+            held.append(b.column(2).to_numpy())
+            n += b.num_rows
+            if n >= PIECE:
+                yield counted()
+                held, n = [], 0
+        if held:
+            yield counted()
+
+    if seed.weight > MOST_BASES or sample < 1 or sample & (sample - 1):
+        raise ValueError(f"at most {MOST_BASES} compared places, a sample that is a power of two")
+    rows = records.where(F.col(seq).isNotNull()).select(F.lit(0).cast("long").alias("rec_id"), F.col(seq))
+    return rows.mapInArrow(run, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("cnt"))
+
+
+def look_up(records: DataFrame, seed: SpacedSeed | int, index: DataFrame, sample: int = 1, most: int = MOST_LOOKED_UP) -> DataFrame:
+    """rec_id, pos, kmer, cnt: the records' canonical seeds that are in an index (kmer, cnt).
+
+    The index should be a checkpoint. If it has at most `most` entries, which is counted first, it is broadcast and only
+    found seeds leave the tasks that read the records; else both sides are joined. sample: see seeds; that of the index.
+    """
+    spark = records.sparkSession
+    if index.limit(most + 1).count() > most:
+        return seeds(records, seed, sample=sample).join(index, "kmer").select("rec_id", "pos", "kmer", "cnt")
+    table = index.select("kmer", "cnt").toPandas().sort_values("kmer")
+    seed = SpacedSeed.contiguous(seed) if isinstance(seed, int) else seed
+    known = spark.sparkContext.broadcast((table["kmer"].to_numpy(np.int64), table["cnt"].to_numpy(np.int64)))
+    kind = records.schema["rec_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    inner = _seed_rows(seed, "canonical", sample, to_arrow_type(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = known.value
+        for b in inner(batches):
+            kmer = b.column(2).to_numpy()
+            at = np.searchsorted(keys, kmer)
+            at[at == len(keys)] = 0
+            hit = np.flatnonzero(keys[at] == kmer) if len(keys) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(hit)) for c in b.columns), pa.array(counts[at[hit]])], names=["rec_id", "pos", "kmer", "cnt"])
+
+    rows = records.where(F.col("seq").isNotNull()).select("rec_id", "seq")
+    return rows.mapInArrow(run, f"rec_id {kind.simpleString()}, pos long, kmer long, cnt long")
+
+
 def count_seeds(seed_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """kmer (and by), cnt: exact counts, partial in the map tasks."""
     return seed_rows.groupBy(*(by or []), "kmer").agg(F.count("*").alias("cnt"))
@@ -135,7 +198,7 @@ def build_index(records: DataFrame, seed: SpacedSeed | int = 18, sample: int = 1
     pattern = SpacedSeed.contiguous(seed) if isinstance(seed, int) else seed
     if not 11 <= pattern.weight <= MOST_BASES:
         raise ValueError("weight must be 11 to 31")
-    return count_seeds(seeds(records, pattern, sample=sample)).where(F.col("cnt") >= min_count)
+    return seed_counts(records, pattern, sample).where(F.col("cnt") >= min_count)
 
 
 def histogram(counts: DataFrame) -> DataFrame:

@@ -16,16 +16,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import SpacedSeed
+from helixframe.operators.chunks import chunk_records
 from helixframe.operators.graph import connected_components
-from helixframe.operators.intervals import link_gaps, set_runs
-from helixframe.operators.kmers import CODE, codes_of, count_seeds, in_batches, neighbours, packed_seeds, seeds
+from helixframe.operators.intervals import link_gaps, set_runs, with_halo
+from helixframe.operators.kmers import CODE, codes_of, count_seeds, in_batches, look_up, neighbours, packed_seeds, seed_counts, seeds
 from helixframe.operators.tiles import SEQUENCE, union_intervals
+from helixframe.runtime import checkpoint
 
 RUN_SCHEMA = "rec_id long, start_pos long, end_pos long"
 
 
 #: Records up to this length are counted, and their tandem runs found, where they are read; longer ones by shuffles.
 WHOLE = 1 << 22
+#: Letters that a kernel handles at once, and of the pieces in which records are masked and compared.
+PIECE, CHUNK = 1 << 18, 1 << 16
 
 
 def _frequent_in_record(records: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -43,20 +47,23 @@ def _frequent_in_record(records: DataFrame, k: int, threshold: int) -> DataFrame
     return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, kmer long, cnt long")
 
 
-def by_length(records: DataFrame, short, long) -> DataFrame:
-    """short(records up to WHOLE) and long(longer records) in one table; rows with a null sequence are left out."""
-    return short(records.where(F.length("seq") <= WHOLE)).unionByName(long(records.where(F.length("seq") > WHOLE)))
+def by_length(records: DataFrame, short, long, whole: int) -> DataFrame:
+    """short(records up to `whole` letters) and long(longer records) in one table; rows with a null sequence are left out."""
+    return short(records.where(F.length("seq") <= whole)).unionByName(long(records.where(F.length("seq") > whole)))
 
 
-def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: bool = False, scope: str = "record") -> DataFrame:
+def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: bool = False, scope: str = "record", whole: int = WHOLE) -> DataFrame:
     """rec_id, pos, kmer, cnt of the windows whose canonical k-mer occurs at least threshold times.
 
     scope: counts within the record or in all records ('genome'). mismatch: windows one substitution from such a k-mer
     count too (cnt is then null where the k-mer itself is rarer). The set of frequent k-mers is expanded once, not
-    every window, since being near is mutual.
+    every window, since being near is mutual. whole: longest record that is counted where it is read.
     """
     if scope == "record" and not mismatch:
-        return by_length(records, lambda r: _frequent_in_record(r, k, threshold), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]))
+        return by_length(records, lambda r: _frequent_in_record(r, k, threshold), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]), whole)
+    if scope != "record" and not mismatch:
+        # counted first, so that only frequent positions leave the tasks that read the records
+        return look_up(records, k, checkpoint(seed_counts(records, k).where(F.col("cnt") >= threshold)))
     return _frequent_by_join(records, k, threshold, mismatch, ["rec_id"] if scope == "record" else [])
 
 
@@ -70,10 +77,10 @@ def _frequent_by_join(records: DataFrame, k: int, threshold: int, mismatch: bool
     return rows.join(wide, [*by, "kmer"], "left_semi").join(high, [*by, "kmer"], "left")
 
 
-def mask_graph(records: DataFrame, k: int = 21, threshold: int = 3, gap: int = 100, min_len: int = 30, mismatch: bool = False, scope: str = "record", inclusive_end: bool = False) -> DataFrame:
+def mask_graph(records: DataFrame, k: int = 21, threshold: int = 3, gap: int = 100, min_len: int = 30, mismatch: bool = False, scope: str = "record", inclusive_end: bool = False, whole: int = WHOLE) -> DataFrame:
     """Chains of frequent k-mers that start no further than gap apart. The last base of the last k-mer stays outside
     unless inclusive_end is set."""
-    chains = link_gaps(frequent_positions(records, k, threshold, mismatch, scope), ["rec_id"], "pos", gap)
+    chains = link_gaps(frequent_positions(records, k, threshold, mismatch, scope, whole), ["rec_id"], "pos", gap)
     out = chains.select("rec_id", F.col("first").alias("start_pos"), (F.col("last") + k - (0 if inclusive_end else 1)).alias("end_pos"))
     return out.where(F.col("end_pos") - F.col("start_pos") >= min_len)
 
@@ -90,8 +97,8 @@ def mask_windows(records: DataFrame, k: int = 21, threshold: int = 3, window: in
     least = math.ceil(starts * density)
     high = frequent_positions(records, k, threshold, mismatch).select("rec_id", "pos").distinct()
     # in order of position: the least-th frequent start from one on lies within the window's starts
-    w = W.partitionBy("rec_id").orderBy("pos")
-    far = high.withColumn("_to", F.lead("pos", least - 1).over(w)).where(F.col("_to") - F.col("pos") < starts)
+    w = W.partitionBy("rec_id", "_tile").orderBy("pos")
+    far = with_halo(high, "pos", starts).withColumn("_to", F.lead("pos", least - 1).over(w)).where(F.col("_own") & (F.col("_to") - F.col("pos") < starts))
     size = records.select("rec_id", (F.length("seq") - window).alias("_most"))
     spans = far.join(size, "rec_id").where("_most >= 0").select("rec_id", F.greatest(F.lit(0), F.col("_to") - starts + 1).alias("start_pos"), F.least(F.col("pos"), F.col("_most")).alias("_last")).where("_last >= start_pos")
     regions = union_intervals(spans.withColumn("end_pos", F.col("_last") + window), ["rec_id"], limit=SEQUENCE)
@@ -115,8 +122,8 @@ def mask_components(records: DataFrame, k: int = 21, threshold: int = 3, least:
     """
     least = least or max(20, 5 * threshold)
     high = frequent_positions(records, k, threshold).withColumn("node", F.xxhash64("rec_id", "kmer"))
-    w = W.partitionBy("rec_id").orderBy("pos")
-    edges = high.withColumns({"_p": F.lead("pos").over(w), "_n": F.lead("node").over(w)}).select(F.col("node").alias("src"), F.when(F.col("_p") == F.col("pos") + 1, F.col("_n")).otherwise(F.col("node")).alias("dst")).distinct()
+    w = W.partitionBy("rec_id", "_tile").orderBy("pos")
+    edges = with_halo(high, "pos", 1).withColumns({"_p": F.lead("pos").over(w), "_n": F.lead("node").over(w)}).where("_own").select(F.col("node").alias("src"), F.when(F.col("_p") == F.col("pos") + 1, F.col("_n")).otherwise(F.col("node")).alias("dst")).distinct()
     comp = connected_components(edges)
     size = high.select("node", "cnt").distinct().join(comp, "node").groupBy("component").agg(F.sum("cnt").alias("total")).where(F.col("total") >= least)
     kept = high.join(comp.join(size, "component", "left_semi"), "node").select("rec_id", F.col("pos").alias("start_pos"), (F.col("pos") + k).alias("end_pos"))
@@ -134,6 +141,19 @@ def index_hits(seed_rows: DataFrame, index: DataFrame, span: int, low: int, high
     return seed_rows.join(index.where(F.col("cnt") >= low), "kmer").select("rec_id", "pos", (F.col("pos") + span).alias("stop"), (F.col("cnt") >= high).alias("strong"))
 
 
+def mask_indexed(records: DataFrame, index: DataFrame, seed: SpacedSeed | int, sample: int = 1, low: int = 3, high: int = 3) -> DataFrame:
+    """The hits (see index_hits) of records in an index (kmer, cnt) of seeds of which one in `sample` was kept.
+
+    Only seeds that the sample would have kept are looked up; of a sampled index, an absent seed among them is rare, and one
+    that isn't among them says nothing.
+    """
+    high = max(1, high)
+    low = min(max(1, low), high)
+    span = seed if isinstance(seed, int) else seed.span
+    found = look_up(records, seed, checkpoint(index.where(F.col("cnt") >= low)), sample)
+    return found.select("rec_id", "pos", (F.col("pos") + span).alias("stop"), (F.col("cnt") >= high).alias("strong"))
+
+
 def link_hits(hits: DataFrame, gap: int = 150, min_len: int = 30, min_hits: int = 1, min_density: float = 0.0) -> DataFrame:
     """Hysteresis: chains of hits whose starts are no further than gap apart, with at least one strong hit, min_hits hits
     and min_density hits a base. Chains aren't merged after, so they may overlap if the gap is below the span."""
@@ -173,8 +193,12 @@ def tandem_links(records: DataFrame, k: int = 5, max_period: int = 500) -> DataF
     return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, period long")
 
 
-def _runs_in_record(records: DataFrame, k: int, max_period: int, min_len: int, density: float) -> DataFrame:
-    """tandem_runs of records of bounded length, linked where they are."""
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
+def _runs_in_record(records: DataFrame, k: int, max_period: int, min_len: int, density: float, identity: float) -> DataFrame:
+    """tandem_runs of records of bounded length, linked and tested where they are."""
     out = pa.schema([(c, pa.int64()) for c in ("rec_id", "period", "start_pos", "end_pos", "matches")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -190,13 +214,18 @@ def _runs_in_record(records: DataFrame, k: int, max_period: int, min_len: int, d
                 d, start, end = period[at], pos[at] - period[at], pos[at + n - 1] + k
                 size = end - start
                 keep = (size >= min_len) & (size >= 2 * d) & (n >= density * np.maximum(1, size - d))
+                if identity > 0:
+                    data = _UPPER[np.frombuffer(seq.as_buffer(), np.uint8)]
+                    for i in np.flatnonzero(keep):
+                        keep[i] = periodic_identity(data[start[i] : end[i]], int(d[i])) >= identity
                 yield rec, d[keep], start[keep], end[keep], n[keep]
 
     return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, period long, start_pos long, end_pos long, matches long")
 
 
-def tandem_runs(records: DataFrame, k: int = 5, max_period: int = 500, min_len: int = 20, density: float = 0.25) -> DataFrame:
-    """rec_id, period, start_pos, end_pos, matches: runs of one period, before their identity is tested.
+def tandem_runs(records: DataFrame, k: int = 5, max_period: int = 500, min_len: int = 20, density: float = 0.25, identity: float = 0.0, whole: int = WHOLE) -> DataFrame:
+    """rec_id, period, start_pos, end_pos, matches: runs of one period, of which a share `identity` of the bases after the first
+    period is equal to the one a period before (0: not tested).
 
     A run goes on while the next link of its period is at most period + k further; it covers at least min_len bases and two
     periods, and links on a share `density` of its bases after the first period.
@@ -207,9 +236,31 @@ def tandem_runs(records: DataFrame, k: int = 5, max_period: int = 500, min_len:
         far = F.coalesce(F.col("pos") > F.lag("pos").over(w) + F.col("period") + k, F.lit(True))
         runs = tandem_links(long, k, max_period).withColumn("_r", F.sum(far.cast("long")).over(w)).groupBy("rec_id", "period", "_r").agg((F.min("pos") - F.first("period")).alias("start_pos"), (F.max("pos") + k).alias("end_pos"), F.count("*").alias("matches")).drop("_r")
         length = F.col("end_pos") - F.col("start_pos")
-        return runs.where((length >= min_len) & (length >= 2 * F.col("period")) & (F.col("matches") >= density * F.greatest(F.lit(1), length - F.col("period"))))
+        runs = runs.where((length >= min_len) & (length >= 2 * F.col("period")) & (F.col("matches") >= density * F.greatest(F.lit(1), length - F.col("period"))))
+        return _with_identity(runs, long, max_period, identity) if identity > 0 else runs
+
+    return by_length(records, lambda r: _runs_in_record(r, k, max_period, min_len, density, identity), linked, whole)
 
-    return by_length(records, lambda r: _runs_in_record(r, k, max_period, min_len, density), linked)
+
+def _with_identity(runs: DataFrame, records: DataFrame, max_period: int, identity: float) -> DataFrame:
+    """The runs with enough equal bases, which are counted in pieces of the records."""
+    pieces = chunk_records(records, CHUNK, before=max_period).select("rec_id", "chunk_no", "off", F.upper("s").alias("s"))
+    at = F.explode(F.sequence(F.expr(f"(start_pos + period) DIV {CHUNK}"), F.expr(f"(end_pos - 1) DIV {CHUNK}")))
+
+    @F.pandas_udf("long")
+    def equal(s, off, period, start, end):
+        import pandas as pd
+
+        out = []
+        for text, o, p, a, b in zip(s, off, period, start, end):
+            x = np.frombuffer(text.encode(), np.uint8)
+            out.append(int((x[a - o : b - o] == x[a - o - p : b - o - p]).sum()))
+        return pd.Series(out, dtype="int64")
+
+    cut = runs.where("end_pos > start_pos + period").withColumn("chunk_no", at).join(pieces, ["rec_id", "chunk_no"])
+    n = equal("s", "off", "period", F.greatest(F.col("start_pos") + F.col("period"), F.col("chunk_no") * CHUNK), F.least("end_pos", (F.col("chunk_no") + 1) * CHUNK))
+    key = ["rec_id", "period", "start_pos", "end_pos", "matches"]
+    return cut.withColumn("_n", n).groupBy(*key).agg(F.sum("_n").alias("_n")).where(F.col("_n") / (F.col("end_pos") - F.col("start_pos") - F.col("period")) >= identity).drop("_n")
 
 
 def periodic_identity(codes: np.ndarray, period: int) -> float:
@@ -218,20 +269,10 @@ def periodic_identity(codes: np.ndarray, period: int) -> float:
     return float((codes[period:] == codes[:-period]).mean()) if n > 0 else 0.0
 
 
-def mask_tandem(records: DataFrame, k: int = 5, max_period: int = 500, min_len: int = 20, density: float = 0.25, identity: float = 0.7) -> DataFrame:
+def mask_tandem(records: DataFrame, k: int = 5, max_period: int = 500, min_len: int = 20, density: float = 0.25, identity: float = 0.7, whole: int = WHOLE) -> DataFrame:
     """rec_id, start_pos, end_pos, period, matches of tandem runs whose bases agree with those a period before."""
     k = min(max(k, 4), 8)
-    runs = tandem_runs(records, k, max_period, min_len, density)
-    seqs = records.select(F.col("rec_id").cast("long").alias("rec_id"), "seq")
-    windows = runs.join(seqs, "rec_id").withColumn("_w", F.expr("upper(substring(seq, CAST(start_pos + 1 AS INT), CAST(end_pos - start_pos AS INT)))"))
-
-    @F.pandas_udf("double")
-    def agreement(w, p):
-        import pandas as pd
-
-        return pd.Series([periodic_identity(np.frombuffer(x.encode(), np.uint8), int(y)) for x, y in zip(w, p)])
-
-    return windows.withColumn("_i", agreement("_w", "period")).where(F.col("_i") >= identity).select("rec_id", "start_pos", "end_pos", "period", "matches")
+    return tandem_runs(records, k, max_period, min_len, density, identity, whole).select("rec_id", "start_pos", "end_pos", "period", "matches")
 
 
 def low_complexity_scores(codes: np.ndarray, window: int) -> np.ndarray:
@@ -263,15 +304,18 @@ def dust_windows(records: DataFrame, window: int = 64, threshold: float = 5.0) -
     """
     if window < 4:
         raise ValueError("window must be at least 4")
+    out = pa.schema([("rec_id", pa.int64()), ("start_pos", pa.int64()), ("pairs", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
-                score = low_complexity_scores(codes_of(seq), window)
-                at = np.flatnonzero(score > 2 * threshold * (window - 3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rec)), pa.array(at), pa.array(score[at] // 2)], names=["rec_id", "start_pos", "pairs"])
+                codes = codes_of(seq)
+                for off in range(0, max(1, len(codes) - window + 1), PIECE):
+                    score = low_complexity_scores(codes[off : off + PIECE + window - 1], window)
+                    at = np.flatnonzero(score > 2 * threshold * (window - 3))
+                    yield rec, at + off, score[at] // 2
 
-    return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(run, "rec_id long, start_pos long, pairs long")
+    return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(run(batches), out), "rec_id long, start_pos long, pairs long")
 
 
 def mask_dust(records: DataFrame, window: int = 64, threshold: float = 5.0) -> DataFrame:
@@ -298,21 +342,45 @@ def case_runs(records: DataFrame, kind: str = "lower") -> DataFrame:
     return records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long"), "seq").mapInArrow(run, RUN_SCHEMA)
 
 
-def apply_mask(records: DataFrame, regions: DataFrame, how: str = "soft") -> DataFrame:
+def apply_mask(records: DataFrame, regions: DataFrame, how: str = "soft", chunk: int = CHUNK) -> DataFrame:
     """rec_id, seq with the regions in lower case ('soft') or as N ('hard'); other letters keep their case.
 
-    Regions are merged first, so a record's list is short and sorted; parts beyond the sequence are cut off.
+    Records are masked in pieces, each with the merged regions that lie in it, and put together at the end; parts of
+    regions beyond the sequence are cut off. Each row of records is masked by itself, also where an id is repeated;
+    null sequences stay null.
     """
+    rows = records.select("rec_id", "seq").withColumn("_row", F.monotonically_increasing_id())
+    pieces = chunk_records(rows, chunk, more=["_row"])
     merged = union_intervals(regions, ["rec_id"], limit=SEQUENCE)
-    lists = merged.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("_m"))
-    piece = "lower(substring(seq, CAST(m.start_pos + 1 AS INT), CAST(m.end_pos - m.start_pos AS INT)))" if how == "soft" else "repeat('N', CAST(least(m.end_pos, length(seq)) - m.start_pos AS INT))"
-    folded = F.expr(f"aggregate(_m, struct('' AS s, 0L AS p), (a, m) -> struct(concat(a.s, substring(seq, CAST(a.p + 1 AS INT), CAST(m.start_pos - a.p AS INT)), {piece}) AS s, m.end_pos AS p), a -> concat(a.s, substring(seq, CAST(a.p + 1 AS INT))))")
-    return records.select("rec_id", "seq").join(lists, "rec_id", "left").select("rec_id", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(folded).alias("seq"))
-
+    cut = merged.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"start_pos DIV {chunk}"), F.expr(f"(end_pos - 1) DIV {chunk}"))))
+    inside = F.struct((F.greatest("start_pos", F.col("chunk_no") * chunk) - F.col("chunk_no") * chunk).alias("a"), (F.least("end_pos", (F.col("chunk_no") + 1) * chunk) - F.col("chunk_no") * chunk).alias("b"))
+    # disjoint regions of one piece: at most half its length
+    lists = cut.groupBy("rec_id", "chunk_no").agg(F.collect_list(inside["a"]).alias("_a"), F.collect_list(inside["b"]).alias("_b"))
 
-def compare_masks(reference: DataFrame, predicted: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s, starts, ends in zip(b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                data = np.frombuffer(s.as_buffer(), np.uint8).copy()
+                for x, y in zip(starts or (), ends or ()):
+                    part = data[x:y]
+                    if how == "soft":
+                        part[(part >= 65) & (part <= 90)] += 32
+                    else:
+                        part[:] = 78
+                out.append(data.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary()).cast(pa.string())], names=["rec_id", "_row", "chunk_no", "s"])
+
+    masked = pieces.join(lists, ["rec_id", "chunk_no"], "left").select("rec_id", "_row", "chunk_no", "s", "_a", "_b")
+    keyed = masked.mapInArrow(run, f"rec_id {records.schema['rec_id'].dataType.simpleString()}, _row long, chunk_no long, s string")
+    whole = keyed.groupBy("_row", "rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "s"))), lambda x: x["s"]), "").alias("seq")).select("rec_id", "seq")
+    return whole.unionByName(records.where("seq IS NULL").select("rec_id", "seq"))
+
+
+def compare_masks(reference: DataFrame, predicted: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """rec_id, tp, fp, fn, tn by base: the reference counts everything but upper-case A, C, G, T as masked, the prediction
-    lower-case letters; the shorter length counts. Every predicted record needs a reference record, else an error."""
+    lower-case letters; the shorter length counts. Every predicted record needs a reference record, else an error.
+    Both are compared in pieces. Each table has one row an id; null sequences compare with nothing."""
     missing = predicted.join(reference, "rec_id", "left_anti").limit(1).count()
     if missing:
         raise ValueError("a predicted record has no reference record")
@@ -329,8 +397,10 @@ def compare_masks(reference: DataFrame, predicted: DataFrame) -> DataFrame:
                 out.append((rec, int((m & q).sum()), int((~m & q).sum()), int((m & ~q).sum()), int((~m & ~q).sum())))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names=["rec_id", "tp", "fp", "fn", "tn"])
 
-    both = predicted.select(F.col("rec_id").cast("long"), F.col("seq").alias("p")).join(reference.select(F.col("rec_id").cast("long"), F.col("seq").alias("r")), "rec_id").where("p IS NOT NULL AND r IS NOT NULL")
-    return both.select("rec_id", "r", "p").mapInArrow(run, "rec_id long, tp long, fp long, fn long, tn long")
+    side = lambda df, name: chunk_records(df.select(F.col("rec_id").cast("long").alias("rec_id"), "seq"), chunk).select("rec_id", "chunk_no", F.col("s").alias(name))
+    both = side(predicted, "p").join(side(reference, "r"), ["rec_id", "chunk_no"])
+    counts = both.select("rec_id", "r", "p").mapInArrow(run, "rec_id long, tp long, fp long, fn long, tn long")
+    return counts.groupBy("rec_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
-__all__ = ["apply_mask", "case_runs", "compare_masks", "dust_windows", "frequent_positions", "index_hits", "link_hits", "mask_components", "mask_dust", "mask_graph", "mask_multi_k", "mask_tandem", "mask_windows", "set_runs", "tandem_runs"]
+__all__ = ["apply_mask", "case_runs", "compare_masks", "dust_windows", "frequent_positions", "index_hits", "link_hits", "mask_components", "mask_dust", "mask_graph", "mask_indexed", "mask_multi_k", "mask_tandem", "mask_windows", "set_runs", "tandem_runs"]

@@ -6,7 +6,7 @@ periods and gaps but for the first and the last, leaves the tree there; the firs
 wide, and so on until one tile holds all. No task holds more of a key than one tile's list, which is no longer than half
 the tile's width, or FAN children's first and last.
 
-An interval over many tiles is cut to its two ends and, for the whole tiles between, a few blocks of tiles (powers of RADIX
+An interval over many tiles is cut to its two ends and, for the whole tiles between, a few blocks of tiles (a power of two
 of them), which join the tree at the level they fit in; tiles and blocks inside a block have nothing to add and are
 dropped. So a single interval of any length makes a few rows and changes no width.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Rows that a map task gathers before it merges them into lists.
 BUFFER_ROWS = 200_000
 TILE = 1 << 17
-#: Binary logarithm of how many tiles one of the next level holds, and of how many blocks a block of the next size.
+#: Binary logarithm of how many tiles one of the next level holds, and of how many blocks one of the next size.
 FAN, RADIX = 14, 7
 #: An interval over more whole tiles than this is cut into blocks.
 MOST_TILES = 64
@@ -94,15 +94,15 @@ def _cut(start: np.ndarray, end: np.ndarray, tile: int) -> tuple[np.ndarray, np.
     return row, t, np.maximum(start[row], t * tile), np.minimum(end[row], (t + 1) * tile)
 
 
-def blocks(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, level and number of the blocks that make up each range of tiles: level l holds RADIX**l tiles."""
+def blocks(low: np.ndarray, high: np.ndarray, radix: int = RADIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, level and number of the blocks that make up each range of tiles: level l holds 2**(radix * l) tiles."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     row, level = np.arange(len(low)), 0
     low, high = low.copy(), high.copy()
     while len(row):
-        up_low, up_high = -(-low >> RADIX), high >> RADIX
+        up_low, up_high = -(-low >> radix), high >> radix
         whole = up_low >= up_high  # no larger block fits
-        for a, b in ((low, np.where(whole, high, np.minimum(up_low << RADIX, high))), (np.where(whole, high, up_high << RADIX), high)):
+        for a, b in ((low, np.where(whole, high, np.minimum(up_low << radix, high))), (np.where(whole, high, up_high << radix), high)):
             n = b - a
             which = np.repeat(np.arange(len(row)), n)
             at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -112,12 +112,12 @@ def blocks(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
-def _lists(table: pa.Table, keys: list[str], tile: int, cut_long: bool, out: pa.Schema) -> pa.RecordBatch | None:
+def _lists(table: pa.Table, keys: list[str], tile: int, longest: int, radix: int, out: pa.Schema) -> pa.RecordBatch | None:
     start, end = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_s", "_e"))
     if not len(start):
         return None
     low, high = -(-start // tile), end // tile
-    long = np.flatnonzero(high - low > MOST_TILES) if cut_long else np.empty(0, np.int64)
+    long = np.flatnonzero(high - low > longest)
     short = np.ones(len(start), bool)
     short[long] = False
     whole = np.flatnonzero(short)
@@ -140,8 +140,8 @@ def _lists(table: pa.Table, keys: list[str], tile: int, cut_long: bool, out: pa.
         head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
     else:
         head = np.empty(0, np.int64)
-    of, level, number = blocks(low[long], high[long])
-    width = (1 << (RADIX * level)) * tile
+    of, level, number = blocks(low[long], high[long], radix)
+    width = (1 << (radix * level)) * tile
     ends = np.concatenate((head, len(s) + np.arange(len(of) + 1)))
     ends = pa.array(ends.astype(np.int32))
     cols = [table.column(k).combine_chunks().take(pa.array(np.concatenate((source[head], long[of])))) for k in keys]
@@ -151,7 +151,7 @@ def _lists(table: pa.Table, keys: list[str], tile: int, cut_long: bool, out: pa.
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out)], schema=out)
 
 
-def _partial(keys: list[str], tile: int, cut_long: bool, out: pa.Schema):
+def _partial(keys: list[str], tile: int, longest: int, radix: int, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -159,10 +159,10 @@ def _partial(keys: list[str], tile: int, cut_long: bool, out: pa.Schema):
             held.append(b)
             rows += b.num_rows
             if rows >= BUFFER_ROWS:
-                if (x := _lists(pa.Table.from_batches(held), keys, tile, cut_long, out)) is not None:
+                if (x := _lists(pa.Table.from_batches(held), keys, tile, longest, radix, out)) is not None:
                     yield x
                 held, rows = [], 0
-        if held and (x := _lists(pa.Table.from_batches(held), keys, tile, cut_long, out)) is not None:
+        if held and (x := _lists(pa.Table.from_batches(held), keys, tile, longest, radix, out)) is not None:
             yield x
 
     return run
@@ -276,7 +276,7 @@ def interval_periods(df: DataFrame, keys: list[str], start: str = "start_pos", e
     longs = T.ArrayType(T.LongType(), True)
     partial = T.StructType([*key_fields, T.StructField("_level", T.IntegerType()), T.StructField("_tile", T.LongType()), T.StructField("_ss", longs), T.StructField("_es", longs), T.StructField("_settled", T.BooleanType())])
     final = T.StructType([*key_fields, T.StructField("_tile", T.LongType()), T.StructField("kind", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start_pos", "end_pos", "_s2", "_e2")]])
-    lists = base.mapInArrow(_partial(keys, width, cut_long, to_arrow_schema(partial)), partial)
+    lists = base.mapInArrow(_partial(keys, width, MOST_TILES if cut_long else 1 << 62, RADIX, to_arrow_schema(partial)), partial)
     if cut_long:
         lists = _without_covered(lists, keys, -(-(longest // width).bit_length() // RADIX))
     joining = lists.where("_level >= 0").dropDuplicates([*keys, "_level", "_tile"])

@@ -10,7 +10,8 @@ from helixframe.operators import kmers as K
 from helixframe.operators import masks as M
 from helixframe.operators.intervals import union_named
 from helixframe.operators.tiles import union_intervals
-from helixframe.plans.common import COPIES, G, chains_sql, copies, genome, kmers, placed, rc, spaced, union_sql, windows
+from helixframe.plans.common import COPIES, G, chains_sql, copies, genome, hash_sql, kmers, packed_sql, placed, rc, spaced, union_sql, windows
+from helixframe.runtime import checkpoint
 from helixframe.sources import text
 
 _SP2 = "11011011011011011011"
@@ -23,7 +24,7 @@ def mask_graph_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_graph_genome(spark: SparkSession, d: str) -> DataFrame:
     """Counts over all records."""
-    return M.mask_graph(genome(spark, d), 15, 3, scope="genome")
+    return M.mask_graph(_records(spark, d), 15, 3, scope="genome")
 
 
 def mask_graph_mismatch1(spark: SparkSession, d: str) -> DataFrame:
@@ -42,15 +43,32 @@ def mask_assembly_components(spark: SparkSession, d: str) -> DataFrame:
     return M.mask_components(genome(spark, d), 12, 2, least=20)
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that are read several times, once to count seeds and once to look them up."""
+    return checkpoint(genome(spark, d).select("rec_id", "seq"))
+
+
 def _hits(spark: SparkSession, d: str, low: int, high: int) -> DataFrame:
-    g = genome(spark, d)
-    return M.index_hits(K.seeds(g, 15), K.build_index(g, 15, 1, 2), 15, low, high)
+    g = _records(spark, d)
+    return M.mask_indexed(g, K.build_index(g, 15, 1, 2), 15, low=low, high=high)
 
 
 def mask_indexed(spark: SparkSession, d: str) -> DataFrame:
     return M.link_hits(_hits(spark, d, 3, 3))
 
 
+def mask_indexed_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The usual way: an index of one seed in 16, in which only such seeds are looked up."""
+    g = _records(spark, d)
+    return M.link_hits(M.mask_indexed(g, K.build_index(g, 18, 16, 2), 18, 16, 2, 4), gap=250)
+
+
+def mask_spaced_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a spaced seed."""
+    g, s = _records(spark, d), seq.SpacedSeed(_SP2)
+    return M.link_hits(M.mask_indexed(g, K.build_index(g, s, 16, 2), s, 16, 2, 4), gap=250)
+
+
 def mask_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     return M.link_hits(_hits(spark, d, 2, 5), gap=250)
 
@@ -61,9 +79,19 @@ def mask_density_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_two_index_union(spark: SparkSession, d: str) -> DataFrame:
     """Hits of a contiguous and of a spaced index, linked together."""
-    g, s = genome(spark, d), seq.SpacedSeed(_SP2)
-    spaced_hits = M.index_hits(K.seeds(g, s), K.build_index(g, s, 1, 2), s.span, 3, 3)
-    return M.link_hits(_hits(spark, d, 3, 3).unionByName(spaced_hits), gap=150)
+    g, s = _records(spark, d), seq.SpacedSeed(_SP2)
+    plain = M.mask_indexed(g, K.build_index(g, 15, 1, 2), 15)
+    return M.link_hits(plain.unionByName(M.mask_indexed(g, K.build_index(g, s, 1, 2), s)), gap=150)
+
+
+def mask_graph_long(spark: SparkSession, d: str) -> DataFrame:
+    """As mask_graph_exact, with all records above 1,000 bases counted as long ones."""
+    return M.mask_graph(genome(spark, d), 12, 2, whole=1000)
+
+
+def mask_tandem_long(spark: SparkSession, d: str) -> DataFrame:
+    """As mask_tandem, with all records above 1,000 bases linked and tested as long ones."""
+    return M.mask_tandem(genome(spark, d), whole=1000)
 
 
 def tandem_period_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +178,12 @@ def _link_sql(gap: int, min_hits: int = 1, density: float = 0.0) -> str:
     return f"{chains_sql('ht', 'cc', gap, ', MAX(stop) AS stop, BOOL_OR(strong) AS strong, COUNT(*) AS hits')} SELECT rec_id, first AS start_pos, stop AS end_pos, hits FROM cc WHERE strong AND stop - first >= 30 AND hits >= {min_hits} AND hits >= (stop - first) * {density}"
 
 
+def _sampled_sql(k: int, span: int, low: int, high: int, gap: int) -> str:
+    """Hits of the seeds of CTE km that one in 16 keeps, by counts of their own, linked."""
+    return f"""c AS (SELECT kmer, COUNT(*) AS cnt FROM km GROUP BY kmer HAVING COUNT(*) >= {low}), x AS (SELECT kmer, cnt, {hash_sql('p')} AS h FROM (SELECT kmer, cnt, {packed_sql('kmer', k)} AS p FROM c)),
+     ht AS (SELECT rec_id, pos, pos + {span} AS stop, cnt >= {high} AS strong FROM km JOIN x ON x.kmer = km.kmer WHERE h % 16 = 0), {_link_sql(gap)}"""
+
+
 def graph_sql(k: int, t: int, gap: int = 100, scope: str = "record", name: str = "gr", first: bool = True) -> str:
     """CTEs of graph masking of the k-mers km{k}, which the first use of k makes."""
     by = "rec_id, kmer" if scope == "record" else "kmer"
@@ -166,7 +200,7 @@ _TANDEM_MASK = f"""{_TANDEM}, tb AS (SELECT tn.*, UPPER(substr(seq, CAST(start_p
 _DUST = f"""{windows(3, name='w3')}, tc AS (SELECT rec_id, pos, f FROM w3), tw AS (SELECT rec_id, f, UNNEST(range(GREATEST(0, pos - 61), pos + 1)) AS win FROM tc),
  tg AS (SELECT rec_id, win, f, COUNT(*) AS c FROM tw GROUP BY rec_id, win, f), ds AS (SELECT rec_id, win AS start_pos, CAST(SUM(c * (c - 1) // 2) AS BIGINT) AS pairs FROM tg GROUP BY rec_id, win HAVING SUM(c) = 62 AND SUM(c * (c - 1) // 2) > 2.0 * 61)"""
 
-QUERIES = {f.__name__: f for f in (mask_graph_exact, mask_graph_genome, mask_graph_mismatch1, mask_window_density, mask_multi_k_union, mask_assembly_components, mask_indexed, mask_hysteresis, mask_density_gate, mask_two_index_union, tandem_period_runs, mask_tandem, dust_score, mask_dust, mask_layered_union, merge_named_regions, soft_mask, hard_mask, demask, soft_mask_runs, n_runs, compare_mask_by_record, compare_mask_total, regions_to_bed, regions_to_gtf)}
+QUERIES = {f.__name__: f for f in (mask_graph_exact, mask_graph_genome, mask_graph_mismatch1, mask_window_density, mask_multi_k_union, mask_assembly_components, mask_graph_long, mask_indexed, mask_indexed_sampled, mask_spaced_sampled, mask_hysteresis, mask_density_gate, mask_two_index_union, tandem_period_runs, mask_tandem, mask_tandem_long, dust_score, mask_dust, mask_layered_union, merge_named_regions, soft_mask, hard_mask, demask, soft_mask_runs, n_runs, compare_mask_by_record, compare_mask_total, regions_to_bed, regions_to_gtf)}
 
 _CASE_RUNS = "WITH {g}, ch AS (SELECT rec_id, pos, substr(seq, CAST(pos + 1 AS BIGINT), 1) AS c FROM (SELECT rec_id, seq, UNNEST(range(0, LENGTH(seq))) AS pos FROM g)), p AS (SELECT rec_id, pos FROM ch WHERE {test}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM p) SELECT rec_id, MIN(pos) AS start_pos, MAX(pos) + 1 AS end_pos FROM r GROUP BY rec_id, run"
 _COMPARE = f"{G}, {COPIES}, {_MASKED}, b AS (SELECT ch.rec_id, ch.c NOT IN ('A', 'C', 'G', 'T') AS m, mk.pos IS NOT NULL AND UPPER(ch.c) <> LOWER(ch.c) AS q FROM ch LEFT JOIN mk ON mk.rec_id = ch.rec_id AND mk.pos = ch.pos), s AS (SELECT rec_id, COUNT(CASE WHEN m AND q THEN 1 END) AS tp, COUNT(CASE WHEN NOT m AND q THEN 1 END) AS fp, COUNT(CASE WHEN m AND NOT q THEN 1 END) AS fn, COUNT(CASE WHEN NOT m AND NOT q THEN 1 END) AS tn FROM b GROUP BY rec_id)"
@@ -181,12 +215,16 @@ SQL = {
       sp AS (SELECT rec_id, pos AS start_pos, pos + 40 AS end_pos FROM wn WHERE pos <= n - 40 AND c >= 8), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30""",
     "mask_multi_k_union": f"WITH {G}, {graph_sql(11, 2, name='ga')}, {graph_sql(12, 2, name='gb')}, {graph_sql(15, 2, name='gc')}, al AS (SELECT * FROM ga UNION ALL SELECT * FROM gb UNION ALL SELECT * FROM gc), {union_sql('al', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30",
     "mask_indexed": f"WITH {_hits_sql(3, 3)}, {_link_sql(150)}",
+    "mask_graph_long": f"WITH {G}, {graph_sql(12, 2)} SELECT * FROM gr",
+    "mask_indexed_sampled": f"WITH {G}, {kmers(18)}, {_sampled_sql(18, 18, 2, 4, 250)}",
+    "mask_spaced_sampled": f"WITH {G}, {windows(20)}, km AS (SELECT rec_id, pos, LEAST({spaced(_SP2, 'f')}, {spaced(_SP2, rc('f'))}) AS kmer FROM w), {_sampled_sql(seq.SpacedSeed(_SP2).weight, 20, 2, 4, 250)}",
     "mask_hysteresis": f"WITH {_hits_sql(2, 5)}, {_link_sql(250)}",
     "mask_density_gate": f"WITH {_hits_sql(2, 3)}, {_link_sql(100, 20, 0.3)}",
     "mask_two_index_union": f"""WITH {_HITS}, {windows(20, name='w2')}, k2 AS (SELECT rec_id, pos, LEAST({spaced(_SP2, 'f')}, {spaced(_SP2, rc('f'))}) AS kmer FROM w2), i2 AS (SELECT kmer, COUNT(*) AS cnt FROM k2 GROUP BY kmer HAVING COUNT(*) >= 2),
       ht AS (SELECT rec_id, pos, pos + 15 AS stop, TRUE AS strong FROM km JOIN ix ON ix.kmer = km.kmer WHERE cnt >= 3 UNION ALL SELECT rec_id, pos, pos + 20, TRUE FROM k2 JOIN i2 ON i2.kmer = k2.kmer WHERE cnt >= 3), {_link_sql(150)}""",
     "tandem_period_runs": f"WITH {_TANDEM} SELECT * FROM tn",
     "mask_tandem": f"WITH {_TANDEM_MASK} SELECT rec_id, start_pos, end_pos, period, matches FROM ti",
+    "mask_tandem_long": f"WITH {_TANDEM_MASK} SELECT rec_id, start_pos, end_pos, period, matches FROM ti",
     "dust_score": f"WITH {G}, {_DUST} SELECT * FROM ds",
     "mask_dust": f"WITH {G}, {_DUST}, sp AS (SELECT rec_id, start_pos, start_pos + 64 AS end_pos FROM ds), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u",
     "mask_layered_union": f"WITH {_TANDEM_MASK}, {_DUST}, {COPIES}, {_hits_sql(3, 3).removeprefix(G + ', ').replace('w AS (', 'w15 AS (').replace('FROM w)', 'FROM w15)')}, {_link_sql(150).replace(' SELECT rec_id, first AS start_pos', ', lh AS (SELECT rec_id, first AS start_pos')}), al AS (SELECT rec_id, start_pos, end_pos FROM lh UNION ALL SELECT rec_id, start_pos, end_pos FROM ti UNION ALL SELECT rec_id, start_pos, start_pos + 64 FROM ds UNION ALL SELECT rec_id, start_pos, end_pos FROM cp), {union_sql('al', 'rec_id', 'u')} SELECT * FROM u",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import sequence_id, wrap80
+from helixframe.operators.chunks import chunk_records, fetch_windows  # noqa: F401
 
 CANDIDATE_TSV = "chrom string, start long, end long, consensus string, strand string, score int, score_fwd int, score_bwd int, cons_fwd int, cons_bwd int, cons_len int, gate_left int, gate_right int, gc double"
 SUBSTITUTION_TSV = "chrom string, start long, end long, consensus string, strand string, score int, " + ", ".join(f"{a}{b} int" for a in "ACGT" for b in "ACGT")
@@ -173,19 +174,3 @@ def read_models(lines: list[str]) -> tuple[list[dict], dict[str, tuple[str, floa
         elif not f[0].startswith("#") and len(f) == 2:
             thresholds[f[0]] = int(f[1])
     return groups, members, thresholds
-
-
-def chunk_records(records: DataFrame, chunk: int = 1 << 20, overlap: int = 0, rec_id: str = "rec_id", seq: str = "seq") -> DataFrame:
-    """rec_id, chunk_no, off, s: pieces of each sequence that start every `chunk` letters and overlap the next one."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(seq) / chunk)).cast("long")
-    rows = records.where(F.col(seq).isNotNull()).select(F.col(rec_id).alias("rec_id"), F.col(seq).alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_no"))
-    return rows.select("rec_id", "chunk_no", (F.col("chunk_no") * chunk).alias("off"), F.expr(f"substring(_s, CAST(chunk_no * {chunk} + 1 AS INT), {chunk + overlap})").alias("s"))
-
-
-def fetch_windows(places: DataFrame, chunks: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """places (id, rec_id, start_pos, end_pos) with seq: windows of chunked sequences (without overlap), cut off at the record's end."""
-    wanted = places.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"start_pos DIV {chunk}"), F.expr(f"(end_pos - 1) DIV {chunk}"))))
-    parts = wanted.join(chunks, ["rec_id", "chunk_no"]).withColumn("_p", F.expr("substring(s, CAST(greatest(start_pos - off, 0) + 1 AS INT), CAST(end_pos - greatest(start_pos, off) AS INT))"))
-    joined = parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "_p"))), lambda x: x["_p"]), "").alias("seq"))
-    return places.join(joined, "id", "left")
-
