@@ -161,7 +161,7 @@ def dna(rng, n):
 
 
 @pytest.mark.parametrize("hot_rows", [10_000, 5])
-def test_spans_against_all_windows(spark, hot_rows, monkeypatch):
+def test_spans_against_all_windows(spark, hot_rows):
     rng = np.random.default_rng(4)
     family = dna(rng, 300)
     rows = []
@@ -177,9 +177,6 @@ def test_spans_against_all_windows(spark, hot_rows, monkeypatch):
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "rec_id long, seq string, start_pos int, anchor int").repartition(6)
     if hot_rows == 5:
         assert len(spans.hot_anchors(df.select("rec_id", "seq").where("rec_id IS NOT NULL AND length(seq) >= 64"), 5)) >= 1
-    else:
-        monkeypatch.setattr(spans, "BLOCK_ROWS", 300)
-    monkeypatch.setattr(spans, "PIECE", 700)
     got = [(r.rec_id, r.start_pos, r.end_pos) for r in spans.shared_spans(df, hot_rows=hot_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_shared(rows)
     texts = {}
@@ -194,7 +191,7 @@ def test_spans_against_all_windows(spark, hot_rows, monkeypatch):
     assert share[101] == (63, 0, 0) and share[105] == (0, 0, None) and share[104] == (0, 0, None) and share[107] == (64, 64, 1000)
 
 
-def test_long_records_are_parsed_in_pieces(spark, monkeypatch):
+def test_records_parsed_at_once(spark):
     rng = np.random.default_rng(6)
     shared = dna(rng, 900)
     rows = [(1, dna(rng, 500) + shared), (2, shared + dna(rng, 500))]
@@ -205,6 +202,24 @@ def test_long_records_are_parsed_in_pieces(spark, monkeypatch):
     assert {int(s) + i for s, n in zip(start, windows) for i in range(int(n))} == set(range(len(codes) - 63))
 
 
+def test_scan_and_parse_in_small_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "PIECE", 700)
+    monkeypatch.setattr(spans, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(spans, "BATCH_ROWS", 25)
+    rng = np.random.default_rng(17)
+    fam = dna(rng, 2000)
+    rows = [(i, (dna(rng, 50) + fam[a : a + 400] + "N" + dna(rng, 30)).swapcase() if i % 2 else fam[a : a + 300] + dna(rng, 90)) for i, a in enumerate(rng.integers(0, 1700, 40).tolist())]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in part]), pa.array([q for _, q in part])], names=["rec_id", "seq"]) for part in (rows[:3], rows[3:30], rows[30:])]
+    cut = pa.Table.from_batches(list(spans._stretch_rows(np.empty(0, np.uint64), False)(iter(batches)))).sort_by("bases")
+    bases = set()
+    for b in spans._parse_blocks(iter(cut.to_batches(max_chunksize=7))):
+        for r, s, e, *_ in zip(*(c.to_pylist() for c in b.columns)):
+            bases |= {(r, x) for x in range(s, e)}
+    assert bases == {(r, x) for r, s, e in brute_shared(rows) for x in range(s, e)}
+
+
 def test_factors_are_the_longest_matches():
     rng = np.random.default_rng(16)
     shared = dna(rng, 100)
