@@ -110,18 +110,31 @@ def xdrop_extend(a: np.ndarray, b: np.ndarray, band: int, xdrop: int) -> tuple[i
 
     A row is a letter of a, a cell its distance from the diagonal. Gaps along a row spread by a running maximum.
     """
+    width, n = 2 * band + 1, len(b)
     off = np.arange(-band, band + 1)
-    slope = GAP * np.arange(2 * band + 1)
-    row = np.where((off >= 0) & (off <= len(b)), -GAP * off, LOW)
+    slope = GAP * np.arange(width)
+    row = np.full(width + 1, LOW)  # a last cell for what comes into the band
+    row[:width] = np.where((off >= 0) & (off <= n), -GAP * off, LOW)
     best, best_i, best_j = 0, 0, 0
     padded = np.concatenate((np.full(band + 1, 255, np.uint8), b, np.full(len(a) + band + 1, 255, np.uint8)))
-    for i in range(1, len(a) + 1):
-        j = i + off
-        letters = padded[i : i + 2 * band + 1]  # b[j - 1]
-        here = np.maximum(np.where(j >= 1, row + np.where(letters == a[i - 1], MATCH, MISMATCH), LOW), np.concatenate((row[1:], [LOW])) - GAP)
-        here = np.where((j >= 0) & (j <= len(b)), here, LOW)
-        row = np.maximum.accumulate(here + slope) - slope
-        row = np.where((j >= 0) & (j <= len(b)) & (row > LOW // 2), row, LOW)
+    score: dict[int, np.ndarray] = {}  # of each letter of a against all of b
+    here, up = np.empty(width, np.int64), np.empty(width, np.int64)
+    for i, letter in enumerate(a.tolist(), 1):
+        if (s := score.get(letter)) is None:
+            s = score[letter] = np.where(padded == letter, MATCH, MISMATCH)
+        np.add(row[:width], s[i : i + width], out=here)  # b[j - 1]
+        np.subtract(row[1:], GAP, out=up)
+        if i <= band:
+            here[: band - i + 1] = LOW  # j < 1
+            up[: band - i] = LOW
+        np.maximum(here, up, out=here)
+        if i + band > n:
+            here[max(0, n - i + band + 1) :] = LOW
+        np.add(here, slope, out=here)
+        np.maximum.accumulate(here, out=here)
+        np.subtract(here, slope, out=row[:width])
+        if i + band > n:
+            row[max(0, n - i + band + 1) :] = LOW
         at = int(row.argmax())
         top = int(row[at])
         if top > best:
