@@ -11,13 +11,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.functions.seq import SpacedSeed, complex_enough, revcomp
 from helixframe.operators.chunks import chunk_records, with_window
+from helixframe.operators.intervals import with_halo
 from helixframe.operators.kmers import CODE, packed_seeds, seeds
 
 MAX_LIBRARY_BASES = 64_000_000
@@ -29,7 +32,7 @@ DIAGONAL, NEAR, LEAST_HIT = 3, 64, 30
 CHAINED_GATE = -8
 LOW = -(10**9)
 
-CANDIDATES = "rec_id long, start_pos long, end_pos long, consensus string, strand string, score int, score_fwd int, score_bwd int, cons_fwd int, cons_bwd int, cons_len int, gate_left int, gate_right int, gc double"
+CANDIDATES = "rec_id long, start_pos long, end_pos long, consensus string, strand string, score int, score_fwd int, score_bwd int, cons_fwd int, cons_bwd int, cons_len int, gate_left int, gate_right int, gc double, seed_pos long, seed_cpos long"
 
 
 @dataclass
@@ -65,12 +68,15 @@ def seed_hits(records: DataFrame, lib: DataFrame, pattern: str) -> DataFrame:
 
 
 def diagonal_pairs(hits: DataFrame) -> DataFrame:
-    """hits and prev_pos: those whose latest earlier hit of the same oriented consensus lies on a near diagonal, at most NEAR
-    before. The relational, relaxed form of the chained scan, which keeps two earlier hits and skips masked bases."""
-    w = W.partitionBy("rec_id", "consensus", "reverse").orderBy("pos", "cpos")
+    """hits and prev_pos: those of which one of the two latest earlier hits of the same oriented consensus lies on a near diagonal,
+    at most NEAR before; the later one counts. The relational form of the chained scan's two slots; the scan itself also
+    skips masked bases and forgets what failed."""
+    w = W.partitionBy("rec_id", "consensus", "reverse", "_tile").orderBy("pos", "cpos")
     d = F.col("pos") - F.col("cpos")
-    out = hits.withColumns({"prev_pos": F.lag("pos").over(w), "_d": F.lag(d).over(w)})
-    return out.where((F.col("prev_pos") < F.col("pos")) & (F.col("pos") - F.col("prev_pos") <= NEAR) & (F.abs(d - F.col("_d")) <= DIAGONAL)).drop("_d")
+    out = with_halo(hits, "pos", NEAR, after=False)
+    out = out.withColumns({f"{c}{i}": F.lag(x, i).over(w) for i in (1, 2) for c, x in (("_p", F.col("pos")), ("_d", d))}).where("_own")
+    fits = [(F.col(f"_p{i}") < F.col("pos")) & (F.col("pos") - F.col(f"_p{i}") <= NEAR) & (F.abs(d - F.col(f"_d{i}")) <= DIAGONAL) for i in (1, 2)]
+    return out.withColumn("prev_pos", F.when(fits[0], F.col("_p1")).when(fits[1], F.col("_p2"))).where("prev_pos IS NOT NULL").drop("_p1", "_p2", "_d1", "_d2", "_tile", "_own")
 
 
 def gate_flanks(hits: DataFrame, records: DataFrame, consensi: DataFrame, span: int) -> DataFrame:
@@ -98,6 +104,21 @@ def gate_scores(hits: DataFrame, records: DataFrame, consensi: DataFrame, span:
     return gate_flanks(hits, records, consensi, span).withColumns({"gate_left": agreement("g_left", "c_left"), "gate_right": agreement("g_right", "c_right")}).drop("g_left", "c_left", "g_right", "c_right")
 
 
+def substitution_table(hits: DataFrame, records: DataFrame, consensi: DataFrame, span: int) -> DataFrame:
+    """hits with AA, AC, ... TT: how often each base of the consensus stands against each of the genome in the flanks of the hit."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def counted(c: pd.Series, g: pd.Series) -> pd.Series:
+        row = np.repeat(np.arange(len(c)), c.str.len())
+        a, b = (CODE[np.frombuffer("".join(x).encode(), np.uint8)] for x in (c, g))
+        known = (a < 4) & (b < 4)
+        n = np.bincount(row[known] * 16 + 4 * a[known].astype(np.int64) + b[known], minlength=16 * len(c))
+        return pd.Series(list(n.reshape(-1, 16).astype(np.int32)))
+
+    out = gate_flanks(hits, records, consensi, span).withColumn("_n", counted(F.concat("c_left", "c_right"), F.concat("g_left", "g_right")))
+    return out.select(*hits.columns, *[F.col("_n")[i].alias(f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in "ACGT" for b in "ACGT")])
+
+
 def substitution_counts(hits: DataFrame, records: DataFrame, consensi: DataFrame, span: int) -> DataFrame:
     """cons_base, genome_base, n over the flanks of all hits; letters other than A, C, G, T are left out."""
     flanks = gate_flanks(hits, records, consensi, span)
@@ -248,7 +269,8 @@ def scan(lib: Library, s: Settings, seq: np.ndarray, start: int, stop: int) -> I
 def library_candidates(records: DataFrame, consensi: DataFrame, settings: Settings | None = None, block: int = BLOCK) -> DataFrame:
     """Accepted library hits of every record, with the columns of CANDIDATES.
 
-    consensi: consensus, seq. Rows with a null sequence give nothing. Letter case is ignored. Records longer than a block are
+    consensi: consensus, seq. seed_pos and seed_cpos are where the accepted seed stands in the record and in the oriented
+    consensus. Rows with a null sequence give nothing. Letter case is ignored. Records longer than a block are
     handed out block by block, with as many letters around as an extension may reach.
     """
     s = settings or Settings()
@@ -259,16 +281,16 @@ def library_candidates(records: DataFrame, consensi: DataFrame, settings: Settin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = lib.value
         for b in batches:
-            out: list[list] = [[] for _ in range(14)]
+            out: list[list] = [[] for _ in range(16)]
             for rec, number, off, text in zip(*(c.to_pylist() for c in b.columns)):
                 seq = np.frombuffer(text.encode(), np.uint8)
                 for start in range(number * block - off, min(len(seq), (number + 1) * block - off), block):
-                    for g, oi, _, left, right, f, r, cf, cb, gf, gb in scan(library, s, seq, start, min(start + block, len(seq))):
+                    for g, oi, cpos, left, right, f, r, cf, cb, gf, gb in scan(library, s, seq, start, min(start + block, len(seq))):
                         w = seq[g - gb : g + gf]
-                        row = (rec, off + g - gb, off + g + gf, library.names[oi // 2], "-" if oi % 2 else "+", f + r, f, r, cf, cb, len(library.seqs[oi]), left, right, round(float(((w == 71) | (w == 67)).mean()), 3))
+                        row = (rec, off + g - gb, off + g + gf, library.names[oi // 2], "-" if oi % 2 else "+", f + r, f, r, cf, cb, len(library.seqs[oi]), left, right, round(float(((w == 71) | (w == 67)).mean()), 3), off + g, cpos)
                         for col, v in zip(out, row):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32()] * 8 + [pa.float64()])], names=[x.split()[0] for x in CANDIDATES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int32()] * 8 + [pa.float64()] + [pa.int64()] * 2)], names=[x.split()[0] for x in CANDIDATES.split(", ")])
 
     rows = records.where("seq IS NOT NULL").select(F.col("rec_id").cast("long").alias("rec_id"), F.upper("seq").alias("seq"))
     short = rows.where(F.length("seq") <= block).select("rec_id", F.lit(0).cast("long").alias("chunk_no"), F.lit(0).cast("long").alias("off"), F.col("seq").alias("s"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.functions.seq import kmer_text
+from helixframe.functions.seq import family_of_name, kmer_text
 from helixframe.operators.intervals import point_in_interval
 from helixframe.operators.kmers import SpacedSeed, seeds
+from helixframe.operators.ordering import running_sum
 from helixframe.operators.tiles import SEQUENCE, union_intervals
 
 # Borders of the distance bands of pairs.
@@ -79,9 +80,9 @@ def length_histogram(df: DataFrame, length: str, width: int = 100) -> DataFrame:
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """One row: median, the upper of the two middle values; found by value counts, so no list is gathered."""
     per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(F.lit(0)).orderBy(value)
-    run = per.withColumns({"_upto": F.sum("_c").over(w), "_all": F.sum("_c").over(W.partitionBy(F.lit(0)))})
-    return run.where("_upto > _all DIV 2").agg(F.min(value).alias("median"))
+    run = running_sum(per, [value], F.col("_c"), "_before")
+    total = per.agg(F.sum("_c").alias("_all"))
+    return run.join(F.broadcast(total)).where("_before + _c > _all DIV 2").agg(F.min(value).alias("median"))
 
 
 def wrong_arity(lines: DataFrame, fields: int, sep: str = "\t", line: str = "value") -> DataFrame:
@@ -94,27 +95,13 @@ def random_rows(df: DataFrame, row_id: str, n: int, seed: int = 1) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(n)
 
 
-def variants(seqs: DataFrame, name: str = "consensus", seq: str = "seq", rates: tuple[float, ...] = (0.05, 0.1, 0.2), each: int = 3, seed: int = 1) -> DataFrame:
-    """name, variant, rate, seq: `each` copies of every sequence at every substitution rate, seeded by name and number.
+def records_by_header(records: DataFrame, pattern: str, header: str = "header") -> DataFrame:
+    """records whose header matches a regular expression in any letter case; those without a header match nothing."""
+    return records.where(F.col(header).rlike(f"(?i){pattern}"))
 
-    A mutated base becomes one of the other three; letters other than A, C, G, T stay.
-    """
-    import numpy as np
-    import pandas as pd
-
-    plan = F.explode(F.array(*[F.struct(F.lit(i * each + j).alias("variant"), F.lit(r).alias("rate")) for i, r in enumerate(rates) for j in range(each)]))
-    rows = seqs.where(F.col(seq).isNotNull()).select(F.col(name).alias(name), F.upper(seq).alias("_s"), plan.alias("_v")).select(name, "_s", "_v.*").withColumn("_h", F.xxhash64(F.lit(seed), name, "variant"))
-
-    @F.pandas_udf("string")
-    def mutate(s, rate, h):
-        out = []
-        for text, r, k in zip(s, rate, h):
-            rng, x = np.random.default_rng(int(k) & (2**63 - 1)), np.frombuffer(text.encode(), np.uint8).copy()
-            code = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), x)
-            known = np.isin(x, np.frombuffer(b"ACGT", np.uint8))
-            hit = known & (rng.random(len(x)) < r)
-            x[hit] = np.frombuffer(b"ACGT", np.uint8)[(code[hit] + rng.integers(1, 4, hit.sum())) % 4]
-            out.append(x.tobytes().decode())
-        return pd.Series(out)
-
-    return rows.select(name, "variant", "rate", mutate("_s", "rate", "_h").alias("seq"))
+
+def with_added_labels(labels: DataFrame, added: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
+    """labels (name, family, hits, bases, share) and, after them, a label for each added sequence: the family that its name stands
+    for, no hits, its length and a share of 0. Names in both stand in both."""
+    new = added.select(F.col(name).alias("name"), family_of_name(F.col(name)).alias("family"), F.lit(0).cast("long").alias("hits"), F.coalesce(F.length(seq), F.lit(0)).cast("long").alias("bases"), F.lit(0.0).alias("share"))
+    return labels.select("name", "family", "hits", "bases", "share").unionByName(new)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.functions.hashing import splitmix64_of
 from helixframe.functions.seq import SpacedSeed, kmer_text, revcomp
 from helixframe.operators.align import GAP, LOW, MATCH, MISMATCH
 from helixframe.operators.chunks import with_window
@@ -29,7 +30,7 @@ def top_seeds(index: DataFrame, n: int, min_count: int = 1) -> DataFrame:
 
 
 def occurrences(records: DataFrame, chosen: DataFrame, k: int, per_seed: int, salt: int = 12_648_430) -> DataFrame:
-    """kmer, rec_id, pos, forward: up to per_seed occurrences of each chosen seed, picked by a hash of their place.
+    """kmer, rec_id, pos, forward: up to per_seed occurrences of each chosen seed, picked by a hash (splitmix64) of their place.
 
     A seed with a large share of all occurrences is thinned in two steps, within a salt and then as a whole.
     """
@@ -37,7 +38,8 @@ def occurrences(records: DataFrame, chosen: DataFrame, k: int, per_seed: int, sa
     from helixframe.operators.kmers import packed_revcomp
 
     both = fwd.withColumn("_r", packed_revcomp(F.col("_f"), k)).withColumn("kmer", F.least("_f", "_r"))
-    found = both.join(chosen.select("kmer"), "kmer", "left_semi").select("kmer", "rec_id", "pos", (F.col("_f") <= F.col("_r")).alias("forward"), F.xxhash64(F.lit(salt), "rec_id", "pos").alias("_h"))
+    found = both.join(chosen.select("kmer"), "kmer", "left_semi").select("kmer", "rec_id", "pos", (F.col("_f") <= F.col("_r")).alias("forward"), splitmix64_of(F.col("rec_id").cast("long").bitwiseXOR(F.lit(salt))).alias("_r"))
+    found = found.withColumn("_h", splitmix64_of(F.col("_r").bitwiseXOR(F.col("pos")))).drop("_r")
     part = W.partitionBy("kmer", F.pmod("_h", F.lit(32))).orderBy("_h", "rec_id", "pos")
     whole = W.partitionBy("kmer").orderBy("_h", "rec_id", "pos")
     thin = found.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= per_seed)

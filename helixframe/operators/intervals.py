@@ -17,12 +17,12 @@ from helixframe.operators.tiles import GAP, interval_periods, overlap_pieces, un
 TILE = 1 << 18
 
 
-def link_gaps(df: DataFrame, keys: list[str], pos: str, gap: int, tile: int | None = None, **aggs: tuple[str, Column]) -> DataFrame:
+def link_gaps(df: DataFrame, keys: list[str], pos: str, gap: int | Column, tile: int | None = None, **aggs: tuple[str, Column]) -> DataFrame:
     """keys, first, last and aggs of each chain of positions of which none is further than gap from the one before.
 
     aggs: name=(how, column) with how 'max', 'min' or 'sum', over the rows of a chain. Chains are made inside tiles of
     (keys, position); only those that come within gap of their tile's edge, a few a tile, are linked over tiles. Rows
-    with a null position are left out.
+    with a null position are left out. A gap that differs by key is a column of the keys; then the tile must be given.
     """
     how = {"max": F.max, "min": F.min, "sum": F.sum}
     tile = tile or max(TILE, 16 * gap)
@@ -44,14 +44,15 @@ def set_runs(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return runs.select(*keys, F.col("first").alias("start_pos"), (F.col("last") + 1).alias("end_pos"))
 
 
-def with_halo(df: DataFrame, pos: str, reach: int, tile: int = TILE) -> DataFrame:
+def with_halo(df: DataFrame, pos: str, reach: int, tile: int = TILE, after: bool = True) -> DataFrame:
     """df with _tile and _own: each row in its position's tile, and (not _own) in the tile before if it is within `reach` of it.
 
-    So a window over a tile's rows in order shows each own row all that follow within the reach.
+    So a window over a tile's rows in order shows each own row all that follow within the reach; with after=False all
+    that come before within it.
     """
     own = F.floor(F.col(pos) / tile)
-    near = F.col(pos) - own * tile < reach
-    both = F.when(near, F.array(own, own - 1)).otherwise(F.array(own))
+    near = F.col(pos) - own * tile < reach if after else (own + 1) * tile - F.col(pos) <= reach
+    both = F.when(near, F.array(own, own - 1 if after else own + 1)).otherwise(F.array(own))
     return df.withColumn("_tile", F.explode(both)).withColumn("_own", F.col("_tile") == own)
 
 

@@ -32,7 +32,17 @@ WHOLE = 1 << 22
 PIECE, CHUNK = 1 << 18, 1 << 16
 
 
-def _frequent_in_record(records: DataFrame, k: int, threshold: int) -> DataFrame:
+def _near_in(kmers: np.ndarray, k: int) -> np.ndarray:
+    """The canonical k-mers within one substitution of the given ones, themselves included, in order."""
+    near = np.concatenate([(kmers & ~np.uint64(3 << (2 * i))) | np.uint64(b << (2 * i)) for i in range(k) for b in range(4)] or [kmers])
+    rc, x = np.zeros(len(near), np.uint64), near.copy()
+    for _ in range(k):
+        rc = (rc << np.uint64(2)) | (np.uint64(3) - (x & np.uint64(3)))
+        x >>= np.uint64(2)
+    return np.unique(np.minimum(near, rc))
+
+
+def _frequent_in_record(records: DataFrame, k: int, threshold: int, mismatch: bool = False) -> DataFrame:
     """frequent_positions of records of bounded length, counted where they are: nothing is shuffled."""
     out = pa.schema([("rec_id", pa.int64()), ("pos", pa.int64()), ("kmer", pa.int64()), ("cnt", pa.int64())])
 
@@ -41,10 +51,15 @@ def _frequent_in_record(records: DataFrame, k: int, threshold: int) -> DataFrame
             for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
                 pos, kmer = packed_seeds(codes_of(seq), SpacedSeed.contiguous(k), "canonical")
                 _, back, n = np.unique(kmer, return_inverse=True, return_counts=True)
-                keep = n[back] >= threshold
-                yield rec, pos[keep], kmer[keep].view(np.int64), n[back][keep]
+                count = n[back]
+                keep = count >= threshold
+                if mismatch and keep.any():
+                    near = np.isin(kmer, _near_in(np.unique(kmer[keep]), k))
+                    count, keep = np.where(keep, count, -1), near
+                yield rec, pos[keep], kmer[keep].view(np.int64), count[keep]
 
-    return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, kmer long, cnt long")
+    found = records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, kmer long, cnt long")
+    return found.withColumn("cnt", F.expr("nullif(cnt, -1)")) if mismatch else found
 
 
 def by_length(records: DataFrame, short, long, whole: int) -> DataFrame:
@@ -59,12 +74,12 @@ def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: boo
     count too (cnt is then null where the k-mer itself is rarer). The set of frequent k-mers is expanded once, not
     every window, since being near is mutual. whole: longest record that is counted where it is read.
     """
-    if scope == "record" and not mismatch:
-        return by_length(records, lambda r: _frequent_in_record(r, k, threshold), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]), whole)
-    if scope != "record" and not mismatch:
+    if scope == "record":
+        return by_length(records, lambda r: _frequent_in_record(r, k, threshold, mismatch), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]), whole)
+    if not mismatch:
         # counted first, so that only frequent positions leave the tasks that read the records
         return look_up(records, k, checkpoint(seed_counts(records, k).where(F.col("cnt") >= threshold)))
-    return _frequent_by_join(records, k, threshold, mismatch, ["rec_id"] if scope == "record" else [])
+    return _frequent_by_join(records, k, threshold, mismatch, [])
 
 
 def _frequent_by_join(records: DataFrame, k: int, threshold: int, mismatch: bool, by: list[str]) -> DataFrame:
@@ -74,7 +89,7 @@ def _frequent_by_join(records: DataFrame, k: int, threshold: int, mismatch: bool
         return rows.join(high, [*by, "kmer"]).select("rec_id", "pos", "kmer", "cnt")
     near = neighbours(high, k, 1, itself=True)
     wide = high.select(*by, "kmer").join(near, "kmer").select(*by, F.col("near").alias("kmer")).distinct()
-    return rows.join(wide, [*by, "kmer"], "left_semi").join(high, [*by, "kmer"], "left")
+    return rows.join(wide, [*by, "kmer"], "left_semi").join(high, [*by, "kmer"], "left").select("rec_id", "pos", "kmer", "cnt")
 
 
 def mask_graph(records: DataFrame, k: int = 21, threshold: int = 3, gap: int = 100, min_len: int = 30, mismatch: bool = False, scope: str = "record", inclusive_end: bool = False, whole: int = WHOLE) -> DataFrame:

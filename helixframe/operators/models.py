@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.seq import f1, ratio, sigmoid
 from helixframe.operators.intervals import overlap_bases
+from helixframe.operators.ordering import running_sum
+from helixframe.operators.tiles import overlap_pieces, union_intervals
 from helixframe.runtime import checkpoint
 
 FEATURES = ["f_score", "f_len", "f_per_base", "f_cover", "f_gc", "f_gate", "f_side", "f_cons"]
@@ -36,8 +38,11 @@ def best_cut(rows: DataFrame, by: list[str], score: str, gain: Column) -> DataFr
     Equal scores enter together; of equal gains the highest score counts. Rows of a key are first reduced to one a score.
     """
     per = rows.groupBy(*by, score).agg(F.sum(gain).alias("_g"), F.count("*").alias("_c"))
-    w = W.partitionBy(*by).orderBy(F.desc(score)) if by else W.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    run = per.withColumn("_net", F.sum("_g").over(w))
+    if by:
+        run = per.withColumn("_net", F.sum("_g").over(W.partitionBy(*by).orderBy(F.desc(score))))
+    else:
+        down = running_sum(per.withColumn("_down", -F.col(score)), ["_down"], F.col("_g"), "_before")
+        run = down.withColumn("_net", F.col("_before") + F.col("_g"))
     return run.groupBy(*by).agg(F.max_by(F.col(score), F.struct("_net", score)).alias("threshold"), F.max("_net").alias("net"), F.sum("_c").alias("n"))
 
 
@@ -109,33 +114,78 @@ def sweep(scored: DataFrame, taus: list[float], prob: str = "prob") -> DataFrame
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def evaluate_kept(scored: DataFrame, truth: DataFrame, keys: list[str], taus: list[float], prob: str = "prob") -> DataFrame:
+    """tau, truth_bases, kept_bases, both_bases, precision, recall, f1 of keeping rows with at least each cutoff.
+
+    The kept intervals are merged, so every base counts once, and compared with all annotated bases (keys, start_pos,
+    end_pos), so those without a candidate are missed. The cutoffs are few and fixed: a row goes with each it reaches.
+    """
+    reached = F.filter(F.array(*[F.struct(F.lit(t).alias("tau")) for t in taus]), lambda t: t["tau"] <= F.col(prob))
+    kept = scored.where(F.col(prob).isNotNull()).select(*keys, "start_pos", "end_pos", F.explode(reached).alias("_tau")).withColumn("tau", F.col("_tau.tau")).drop("_tau")
+    merged, t = union_intervals(kept, ["tau", *keys]), union_intervals(truth, keys)
+    size = F.sum(F.col("end_pos") - F.col("start_pos"))
+    both = overlap_pieces(merged, t, keys).groupBy("tau").agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("both_bases"))
+    out = scored.sparkSession.createDataFrame([(t,) for t in sorted(taus)], "tau double").join(merged.groupBy("tau").agg(size.alias("kept_bases")), "tau", "left").join(both, "tau", "left")
+    out = out.join(F.broadcast(t.agg(F.coalesce(size, F.lit(0)).alias("truth_bases")))).na.fill(0, ["kept_bases", "both_bases"])
+    out = out.withColumns({"precision": ratio(F.col("both_bases"), F.col("kept_bases")), "recall": ratio(F.col("both_bases"), F.col("truth_bases"))})
+    return out.withColumn("f1", f1(F.col("precision"), F.col("recall"))).select("tau", "truth_bases", "kept_bases", "both_bases", "precision", "recall", "f1")
+
+
+def rare_families(truth: DataFrame, n: int, row_id: str = "interval_id", family: str = "family") -> DataFrame:
+    """family: the n with the fewest distinct annotations, equal ones by name."""
+    once = truth.where(F.col(family).isNotNull() & F.col(row_id).isNotNull()).dropDuplicates([row_id])
+    return once.groupBy(family).agg(F.count("*").alias("_n")).orderBy("_n", family).limit(n).select(family)
+
+
+def touch_labels(candidates: DataFrame, truth: DataFrame, families: DataFrame, keys: list[str], row_id: str = "cand_id", family: str = "family") -> DataFrame:
+    """candidates with size, target and any (0 or 1): whether they touch an annotation of the families, and one of any family."""
+    usable = candidates.where("end_pos > start_pos").dropDuplicates([row_id]).where(F.col(row_id).isNotNull())
+    named = truth.where(F.col(family).isNotNull())
+    one = overlap_bases(usable, named.join(F.broadcast(families), family, "left_semi"), keys, row_id).withColumnRenamed("overlap", "_t")
+    both = overlap_bases(one, named, keys, row_id)
+    return both.withColumns({"size": F.col("end_pos") - F.col("start_pos"), "target": (F.col("_t") > 0).cast("int"), "any": (F.col("overlap") > 0).cast("int")}).drop("_t", "overlap")
+
+
 def best_tau(swept: DataFrame, least_precision: float = 0.0) -> DataFrame:
     """The row of the best F1 among those with enough precision; the lower cutoff of equal ones."""
     return swept.where(F.col("precision") >= least_precision).orderBy(F.desc("f1"), "tau").limit(1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, decay: float) -> np.ndarray:
-    """Weights and bias of a full-batch logistic fit of standardised features."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, decay: float, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a full-batch logistic fit of standardised features, and an offset for each code (none without).
+
+    Offsets are shrunk ten times as much as weights; the step of each is that of its own rows' mean, so that those of few
+    rows settle as soon as others.
+    """
     w = np.zeros(x.shape[1] + 1)
     x = np.c_[x, np.ones(len(x))]
     weight = weight / weight.sum()
+    n = 0 if code is None else int(code.max()) + 1
+    shift = np.zeros(n)
+    own = np.bincount(code, weight, n) if n else shift
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = x.T @ (weight * (p - y))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + (shift[code] if n else 0), -30, 30)))
+        error = weight * (p - y)
+        step = x.T @ error
         step[:-1] += decay * w[:-1]
         w -= rate * step
-    return w
+        if n:
+            shift -= rate * (np.bincount(code, error, n) / np.maximum(own, 1e-12) + 10 * decay * shift)
+    return w, shift
+
 
+def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: int = 200, rate: float = 0.5, decay: float = 1e-3, least: int = 50, most: int = FIT_ROWS, offset: str | None = None) -> DataFrame:
+    """grp, w, mu, sd, b0, tau, rows, shifts: one logistic model for each group, weighted by size.
 
-def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: int = 200, rate: float = 0.5, decay: float = 1e-3, least: int = 50, most: int = FIT_ROWS) -> DataFrame:
-    """grp, w, mu, sd, b0, tau, rows: one logistic model for each group, weighted by size.
+    shifts (a map) has the offset of each value of the column `offset` among the rows of the fit; without one it is empty.
 
     Only the weights and b0 are fitted on a sample: at most `most` labelled rows of a group, those with the smallest hash of
     their id. Means, deviations and tau are of all rows. Groups with fewer than `least` rows, or with one label only, get no
     model. tau is the cutoff of 0.025, 0.05, ... 0.975 with the best weighted F1, the lower one of equal ones.
     """
     # read three times, and made by joins
-    rows = checkpoint(rows.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(row_id).alias("_id"), "label", "size", *FEATURES))
+    by = F.coalesce(F.col(offset).cast("string"), F.lit("")) if offset else F.lit("")
+    rows = checkpoint(rows.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(row_id).alias("_id"), by.alias("_by"), "label", "size", *FEATURES))
     stats = standardisation(rows, ["grp"], F.count("*").alias("rows"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where((F.col("rows") >= least) & (F.col("_lo") < F.col("_hi")))
     stats = stats.select("grp", "rows", *[F.array(*[f"{x}_{c}" for c in FEATURES]).alias(x) for x in ("mu", "sd")])
     # few of a large group's rows get to the windows: a fifth more than are wanted, by the same hash that orders them
@@ -146,17 +196,18 @@ def train_groups(rows: DataFrame, group: str, row_id: str = "cand_id", epochs: i
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         mu, sd = np.array(pdf["mu"].iloc[0]), np.array(pdf["sd"].iloc[0])
-        w = fit_logistic((pdf[FEATURES].to_numpy(float) - mu) / sd, pdf["label"].to_numpy(float), pdf["size"].to_numpy(float), epochs, rate, decay)
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "w": [w[:-1].tolist()], "mu": [mu.tolist()], "sd": [sd.tolist()], "b0": [float(w[-1])], "rows": [pdf["rows"].iloc[0]]})
+        code, names = pd.factorize(pdf["_by"])
+        w, shift = fit_logistic((pdf[FEATURES].to_numpy(float) - mu) / sd, pdf["label"].to_numpy(float), pdf["size"].to_numpy(float), epochs, rate, decay, code if offset else None)
+        return pd.DataFrame({"shifts": [dict(zip(names.tolist(), shift.tolist()))], "grp": [pdf["grp"].iloc[0]], "w": [w[:-1].tolist()], "mu": [mu.tolist()], "sd": [sd.tolist()], "b0": [float(w[-1])], "rows": [pdf["rows"].iloc[0]]})
 
-    fitted = checkpoint(few.select("grp", "label", "size", *FEATURES, "mu", "sd", "rows").groupBy("grp").applyInPandas(fit, "grp string, w array<double>, mu array<double>, sd array<double>, b0 double, rows long"))
-    return fitted.join(_group_taus(rows, fitted), "grp").select("grp", "w", "mu", "sd", "b0", "tau", "rows")
+    fitted = checkpoint(few.select("grp", "_by", "label", "size", *FEATURES, "mu", "sd", "rows").groupBy("grp").applyInPandas(fit, "shifts map<string,double>, grp string, w array<double>, mu array<double>, sd array<double>, b0 double, rows long"))
+    return fitted.join(_group_taus(rows, fitted), "grp").select("grp", "w", "mu", "sd", "b0", "tau", "rows", "shifts")
 
 
 def _group_taus(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """grp, tau: the best cutoff of each fitted model, swept over all rows of its group, which are reduced to one a cutoff."""
     taus = [t / 40 for t in range(1, 40)]
-    scored = rows.join(fitted.drop("rows"), "grp").withColumn("_p", probability([F.col("w")[i] for i in range(len(FEATURES))], F.col("b0"), [F.col("mu")[i] for i in range(len(FEATURES))], [F.col("sd")[i] for i in range(len(FEATURES))]))
+    scored = rows.join(fitted.drop("rows"), "grp").withColumn("_p", probability([F.col("w")[i] for i in range(len(FEATURES))], F.col("b0") + F.coalesce(F.try_element_at("shifts", "_by"), F.lit(0.0)), [F.col("mu")[i] for i in range(len(FEATURES))], [F.col("sd")[i] for i in range(len(FEATURES))]))
     got = scored.groupBy("grp", sum((F.col("_p") >= t).cast("int") for t in taus).alias("_n")).agg(F.sum("size").alias("_s"), F.sum(F.when(F.col("label") == 1, F.col("size")).otherwise(0)).alias("_t"))
     # at most len(taus) + 1 rows a group
     levels = got.join(fitted.select(F.col("grp"), F.explode(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(t).alias("tau")) for i, t in enumerate(taus)])).alias("l")).select("grp", "l.*"), "grp")
@@ -166,15 +217,31 @@ def _group_taus(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     return sums.groupBy("grp").agg(F.max_by("tau", F.struct(score, -F.col("tau"))).alias("tau"))
 
 
-def train_trees(rows: DataFrame, row_id: str = "cand_id", depth: int = 4, rounds: int = 10):
-    """A gradient-boosted model of Spark's own, on all labelled rows; the fitted model, None without rows of both labels."""
+def tree_features(candidates: DataFrame) -> DataFrame:
+    """candidates with the sixteen numbers of the boosted trees, t_0 to t_15, and the consensus as text, t_cons; see features."""
+    size = F.col("end_pos") - F.col("start_pos")
+    cover = (F.col("cons_fwd") + F.col("cons_bwd")) / F.greatest(F.lit(1), F.col("cons_len"))
+    numbers = [F.col("score"), F.col("score_fwd"), F.col("score_bwd"), F.log(size.cast("double")), size, F.col("score") / size, cover, F.col("cons_fwd"), F.col("cons_bwd"), F.col("gc"), F.col("gate_left"), F.col("gate_right"), F.col("gate_left") + F.col("gate_right"), F.least("gate_left", "gate_right"), F.log(F.col("cons_len").cast("double")), (F.col("strand") == "+").cast("int")]
+    out = features(candidates).where("score_fwd IS NOT NULL AND score_bwd IS NOT NULL AND strand IS NOT NULL")
+    return out.withColumns({f"t_{i}": c.cast("double") for i, c in enumerate(numbers)} | {"t_cons": F.coalesce("consensus", F.lit(""))})
+
+
+def train_trees(rows: DataFrame, row_id: str = "cand_id", depth: int = 4, rounds: int = 10, most_categories: int = 4096):
+    """A gradient-boosted model of Spark's own, on all labelled rows with tree_features; the fitted model, None without rows of both
+    labels. The consensus is a category; more of them than most_categories are an error, as each split looks at all."""
     if rows.select("label").distinct().count() < 2:
         return None
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), GBTClassifier(maxDepth=depth, maxIter=rounds, seed=7)]).fit(rows.select("label", *FEATURES))
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    numbers = [f"t_{i}" for i in range(16)]
+    categories = rows.select("t_cons").distinct().count() + 1
+    if categories > most_categories:
+        raise ValueError(f"more than {most_categories} consensi")
+    index = StringIndexer(inputCol="t_cons", outputCol="t_code", handleInvalid="keep")
+    trees = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=7, maxBins=max(32, categories))
+    return Pipeline(stages=[index, VectorAssembler(inputCols=[*numbers, "t_code"], outputCol="features"), trees]).fit(rows.select("label", "t_cons", *numbers))
 
 
 def substitution_summary(counts: DataFrame) -> DataFrame:

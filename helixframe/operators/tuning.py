@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import ratio
-from helixframe.operators.kmers import seeds
+from helixframe.operators.intervals import TILE, link_gaps
+from helixframe.operators.masks import frequent_positions, mask_windows
 from helixframe.operators.tiles import SEQUENCE, overlap_pieces, union_intervals
+from helixframe.runtime import checkpoint
 
 
 def k_sets(ks: list[int]) -> list[tuple[int, ...]]:
@@ -24,17 +26,13 @@ def graph_grid(records: DataFrame, ks: list[int], thresholds: list[int], gaps: l
     """
     out = None
     grid = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(g).alias("gap")) for t in thresholds for g in gaps]))
-    from pyspark.sql import Window as W
-
     for k in ks:
-        counted = seeds(records, k).withColumn("_c", F.count("*").over(W.partitionBy("rec_id", "kmer"))).where(F.col("_c") >= min(thresholds))
+        counted = frequent_positions(records, k, min(thresholds)).withColumnRenamed("cnt", "_c")
         rows = counted.select("rec_id", "pos", "_c", grid.alias("_g")).select("rec_id", "pos", "_c", "_g.*").where(F.col("_c") >= F.col("threshold")).withColumn("k", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
     key = ["k", "threshold", "gap", "rec_id"]
-    w = W.partitionBy(*key).orderBy("pos")
-    far = F.coalesce(F.col("pos") > F.lag("pos").over(w) + F.col("gap"), F.lit(True)).cast("long")
-    chains = out.withColumn("_chain", F.sum(far).over(w)).groupBy(*key, "_chain").agg(F.min("pos").alias("start_pos"), (F.max("pos") + F.first("k") - 1).alias("end_pos"))
-    return chains.where(F.col("end_pos") - F.col("start_pos") >= min_len).drop("_chain")
+    chains = link_gaps(out, key, "pos", F.col("gap"), max(TILE, 16 * max(gaps))).select(*key, F.col("first").alias("start_pos"), (F.col("last") + F.col("k") - 1).alias("end_pos"))
+    return chains.where(F.col("end_pos") - F.col("start_pos") >= min_len)
 
 
 def tune_graph(records: DataFrame, truth: DataFrame, ks: list[int], thresholds: list[int], gaps: list[int], top: int = 10) -> DataFrame:
@@ -48,3 +46,47 @@ def tune_graph(records: DataFrame, truth: DataFrame, ks: list[int], thresholds:
     out = settings.join(p.groupBy(*key).agg(length.alias("pred_bases")), key, "left").join(both, key, "left").join(F.broadcast(t.agg(F.coalesce(length, F.lit(0)).alias("truth_bases")))).na.fill(0, ["pred_bases", "both_bases"])
     out = out.withColumn("f1", ratio(2 * F.col("both_bases"), F.col("pred_bases") + F.col("truth_bases")))
     return out.orderBy(F.desc("f1"), *key).limit(top)
+
+
+def mask_grid(records: DataFrame, ks: list[int], thresholds: list[int], gaps: list[int], mismatches: list[bool], window: int = 40, density: float = 0.25, min_len: int = 30) -> DataFrame:
+    """ks, threshold, gap, mismatch, rec_id, start_pos, end_pos: the regions of every setting. ks is one k or several joined by commas
+    (see k_sets), whose regions are united. A gap of 0 stands for masking by the density of windows."""
+    frequent, windows = None, None
+    for k in ks:
+        for m in mismatches:
+            # the near k-mers follow from the threshold, so with mismatches each has positions of its own
+            for t in thresholds if m else [min(thresholds)]:
+                rows = frequent_positions(records, k, t, m).select("rec_id", "pos", F.explode(F.array(*map(F.lit, [t] if m else thresholds))).alias("threshold"), "cnt", F.lit(k).alias("k"), F.lit(m).alias("mismatch"))
+                rows = rows if m else rows.where(F.col("cnt") >= F.col("threshold"))
+                frequent = rows if frequent is None else frequent.unionByName(rows)
+            if 0 in gaps:
+                for t in thresholds:
+                    w = mask_windows(records, k, t, window, density, min_len, m).select(F.lit(k).alias("k"), F.lit(t).alias("threshold"), F.lit(0).alias("gap"), F.lit(m).alias("mismatch"), "rec_id", "start_pos", "end_pos")
+                    windows = w if windows is None else windows.unionByName(w)
+    linked = [g for g in gaps if g]
+    key = ["k", "threshold", "gap", "mismatch", "rec_id"]
+    single = windows
+    if linked:
+        rows = frequent.withColumn("gap", F.explode(F.array(*map(F.lit, linked))))
+        chains = link_gaps(rows, key, "pos", F.col("gap"), max(TILE, 16 * max(linked))).select(*key, F.col("first").alias("start_pos"), (F.col("last") + F.col("k") - 1).alias("end_pos"))
+        chains = chains.where(F.col("end_pos") - F.col("start_pos") >= min_len)
+        single = chains if single is None else single.unionByName(chains)
+    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(",".join(map(str, s))).alias("ks")) for s in k_sets(ks) for k in s])).alias("s")
+    members = records.sparkSession.range(1).select(sets).select("s.*")
+    named = single.join(F.broadcast(members), "k").drop("k")
+    return union_intervals(named, ["ks", "threshold", "gap", "mismatch", "rec_id"], limit=SEQUENCE).where(F.col("end_pos") - F.col("start_pos") >= min_len)
+
+
+def tune_masks(records: DataFrame, truth: DataFrame, ks: list[int], thresholds: list[int], gaps: list[int], mismatches: list[bool] | None = None, top: int = 10, **window: float) -> DataFrame:
+    """ks, threshold, gap, mismatch, truth_bases, pred_bases, both_bases, precision, recall, f1: the `top` settings by F1 against the true
+    intervals (rec_id, start_pos, end_pos); equal ones in the order of the settings."""
+    mismatches = mismatches or [False]
+    key = ["ks", "threshold", "gap", "mismatch"]
+    length = F.sum(F.col("end_pos") - F.col("start_pos"))
+    t = union_intervals(truth, ["rec_id"], limit=SEQUENCE)
+    p = checkpoint(mask_grid(records, ks, thresholds, gaps, mismatches, **window))  # read for its bases and for what it shares
+    both = overlap_pieces(p, t, ["rec_id"]).groupBy(*key).agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("both_bases"))
+    settings = records.sparkSession.createDataFrame([(",".join(map(str, s)), th, g, m) for s in k_sets(ks) for th in thresholds for g in gaps for m in mismatches], "ks string, threshold int, gap int, mismatch boolean")
+    out = settings.join(p.groupBy(*key).agg(length.alias("pred_bases")), key, "left").join(both, key, "left").join(F.broadcast(t.agg(F.coalesce(length, F.lit(0)).alias("truth_bases")))).na.fill(0, ["pred_bases", "both_bases"])
+    out = out.withColumns({"precision": ratio(F.col("both_bases"), F.col("pred_bases")), "recall": ratio(F.col("both_bases"), F.col("truth_bases")), "f1": ratio(2 * F.col("both_bases"), F.col("pred_bases") + F.col("truth_bases"))})
+    return out.orderBy(F.desc("f1"), *key).limit(top)

@@ -10,7 +10,7 @@ from helixframe.operators import align as A
 from helixframe.operators import consensus as C
 from helixframe.operators import kmers as K
 from helixframe.operators.models import substitution_summary
-from helixframe.plans.common import LIBRARY, copies, genome, library, rc, spaced, windows
+from helixframe.plans.common import COPIES, G, LIBRARY, copies, genome, library, rc, spaced, windows
 
 PATTERN = "111010010100110111"
 SPAN, WEIGHT = len(PATTERN), PATTERN.count("1")
@@ -43,6 +43,17 @@ def gate_scores(spark: SparkSession, d: str) -> DataFrame:
     return A.gate_scores(_hits(spark, d), genome(spark, d), library(spark, d), SPAN).groupBy("gate_left", "gate_right").agg(F.count("*").alias("hits"))
 
 
+def subst_table(spark: SparkSession, d: str) -> DataFrame:
+    """The 16 counts of every seed hit."""
+    return A.substitution_table(_hits(spark, d), genome(spark, d), library(spark, d), SPAN)
+
+
+def candidate_substitutions(spark: SparkSession, d: str) -> DataFrame:
+    """The 16 counts of every accepted hit, with its place and score."""
+    c = mask_library_chained(spark, d).select("rec_id", "start_pos", "end_pos", "consensus", "strand", "score", F.col("seed_pos").alias("pos"), F.col("seed_cpos").alias("cpos"), (F.col("strand") == "-").alias("reverse"))
+    return A.substitution_table(c, genome(spark, d), library(spark, d), SPAN).drop("pos", "cpos", "reverse")
+
+
 def subst_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.substitution_counts(_hits(spark, d), genome(spark, d), library(spark, d), SPAN)
 
@@ -100,14 +111,20 @@ def _agree(a: str, b: str) -> str:
     return f"CAST(COALESCE(list_sum(list_transform(range(1, LENGTH({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, i, 1) THEN 1 ELSE -1 END)), 0) AS INTEGER)"
 
 
-QUERIES = {f.__name__: f for f in (library_seed_table, seed_complexity_filter, library_seed_hits, diag_chain_pairs, gate_scores, subst_counts, ti_tv_ratio, mask_library_chained, mask_library_single_hit, mask_library_fragments, mask_library_regions, consensus_build, consensus_two_pass, majority_vote_consensus)}
+QUERIES = {f.__name__: f for f in (library_seed_table, seed_complexity_filter, library_seed_hits, diag_chain_pairs, gate_scores, subst_table, candidate_substitutions, subst_counts, ti_tv_ratio, mask_library_chained, mask_library_single_hit, mask_library_fragments, mask_library_regions, consensus_build, consensus_two_pass, majority_vote_consensus)}
 
 SQL = {
+    "majority_vote_consensus": f"""WITH {G}, {COPIES}, c AS (SELECT family, copy_id, UPPER(substr(g.seq, start_pos + 1, end_pos - start_pos)) AS s FROM cp JOIN g ON g.rec_id = cp.rec_id WHERE family IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY LENGTH(s) DESC, copy_id) AS n FROM c WHERE LENGTH(s) >= 100 AND LENGTH(s) - LENGTH(replace(s, 'N', '')) <= 0.3 * LENGTH(s)),
+      t AS (SELECT t.family, t.n, t.s, b.s AS b FROM o t JOIN o b ON b.family = t.family AND b.n = 1 WHERE t.n <= 30), d AS (SELECT *, UNNEST(range(-20, 21)) AS d FROM t), l AS (SELECT *, GREATEST(0, d) AS lo, LEAST(LENGTH(b), LENGTH(s) + d) AS hi FROM d),
+      e AS (SELECT *, CASE WHEN hi > lo THEN list_sum(list_transform(range(lo, hi), lambda i: CASE WHEN substr(b, i + 1, 1) = substr(s, i - d + 1, 1) THEN 1 ELSE 0 END)) ELSE -1 END AS same FROM l), q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, n ORDER BY same DESC, d) AS r FROM e) WHERE r = 1),
+      v AS (SELECT family, n, d, s, UNNEST(range(lo, hi)) AS i FROM q), w AS (SELECT family, i, substr(s, i - d + 1, 1) AS x, COUNT(*) AS votes, MIN(n) AS first FROM v GROUP BY ALL), y AS (SELECT family, i, x, row_number() OVER (PARTITION BY family, i ORDER BY votes DESC, first, x) AS r FROM w WHERE x IN ('A', 'C', 'G', 'T')),
+      p AS (SELECT family, UNNEST(range(0, LENGTH(b))) AS i FROM t WHERE n = 1) SELECT p.family, CAST((SELECT COUNT(*) FROM t WHERE t.family = p.family) AS INTEGER) AS copies, string_agg(COALESCE(x, 'A'), '' ORDER BY p.i) AS seq FROM p LEFT JOIN y ON y.family = p.family AND y.i = p.i AND y.r = 1 GROUP BY p.family""",
     "library_seed_table": f"WITH {_LIB_SEEDS} SELECT * FROM lt",
     "seed_complexity_filter": f"WITH {LIBRARY}, {_GEN_SEEDS}, u AS (SELECT DISTINCT seed AS s FROM gs) SELECT {_COMPLEX} AS complex, COUNT(*) AS seeds FROM u GROUP BY 1",
     "library_seed_hits": f"WITH {_HITS} SELECT rec_id, consensus, reverse, COUNT(*) AS hits, MIN(pos) AS first, MAX(pos) AS last FROM ht GROUP BY ALL",
-    "diag_chain_pairs": f"WITH {_HITS}, x AS (SELECT *, LAG(pos) OVER w AS prev_pos, LAG(pos - cpos) OVER w AS dd FROM ht WINDOW w AS (PARTITION BY rec_id, consensus, reverse ORDER BY pos, cpos)) SELECT rec_id, consensus, reverse, pos, cpos, prev_pos FROM x WHERE prev_pos < pos AND pos - prev_pos <= 64 AND abs(pos - cpos - dd) <= 3",
+    "diag_chain_pairs": f"WITH {_HITS}, x AS (SELECT *, LAG(pos) OVER w AS p1, LAG(pos - cpos) OVER w AS d1, LAG(pos, 2) OVER w AS p2, LAG(pos - cpos, 2) OVER w AS d2 FROM ht WINDOW w AS (PARTITION BY rec_id, consensus, reverse ORDER BY pos, cpos)), y AS (SELECT *, CASE WHEN p1 < pos AND pos - p1 <= 64 AND abs(pos - cpos - d1) <= 3 THEN p1 WHEN p2 < pos AND pos - p2 <= 64 AND abs(pos - cpos - d2) <= 3 THEN p2 END AS prev_pos FROM x) SELECT rec_id, consensus, reverse, pos, cpos, prev_pos FROM y WHERE prev_pos IS NOT NULL",
     "gate_scores": f"WITH {_FLANKS} SELECT {_agree('gl', 'cl')} AS gate_left, {_agree('gr', 'cr')} AS gate_right, COUNT(*) AS hits FROM fw GROUP BY ALL",
+    "subst_table": f"WITH {_FLANKS.replace(' FROM fl)', ', fl.rec_id, fl.pos, fl.consensus, fl.reverse, fl.cpos FROM fl)')}, pq AS (SELECT rec_id, pos, consensus, reverse, cpos, list_transform(range(1, LENGTH(cl || cr) + 1), lambda i: substr(cl || cr, i, 1) || substr(gl || gr, i, 1)) AS p FROM fw) SELECT rec_id, pos, consensus, reverse, cpos, {', '.join(f"CAST(len(list_filter(p, lambda x: x = '{a}{b}')) AS INTEGER) AS {a}{b}" for a in 'ACGT' for b in 'ACGT')} FROM pq",
     "subst_counts": f"WITH {_SUBST} SELECT * FROM sc",
     "ti_tv_ratio": f"""WITH {_SUBST}, s AS (SELECT CAST(SUM(CASE WHEN cons_base = genome_base THEN n ELSE 0 END) AS BIGINT) AS matches, CAST(SUM(CASE WHEN cons_base || genome_base IN ('AG', 'GA', 'CT', 'TC') THEN n ELSE 0 END) AS BIGINT) AS transitions, CAST(SUM(CASE WHEN cons_base <> genome_base AND cons_base || genome_base NOT IN ('AG', 'GA', 'CT', 'TC') THEN n ELSE 0 END) AS BIGINT) AS transversions FROM sc),
       r AS (SELECT *, transitions / (transitions + transversions) AS q FROM s) SELECT matches, transitions, transversions, round(transitions / transversions, 6) AS ti_tv, round(-0.75 / (0.75 * (q + (1 - q) * 1.5)), 6) AS transition_score, round(-0.75 / (0.75 * (q + (1 - q) * 1.5)) * 1.5, 6) AS transversion_score FROM r""",

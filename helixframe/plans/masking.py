@@ -214,6 +214,11 @@ SQL = {
       fl AS (SELECT al.rec_id, al.n, al.pos, CASE WHEN hi.pos IS NULL THEN 0 ELSE 1 END AS h FROM al LEFT JOIN hi ON hi.rec_id = al.rec_id AND hi.pos = al.pos), wn AS (SELECT *, SUM(h) OVER (PARTITION BY rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 28 FOLLOWING) AS c FROM fl),
       sp AS (SELECT rec_id, pos AS start_pos, pos + 40 AS end_pos FROM wn WHERE pos <= n - 40 AND c >= 8), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30""",
     "mask_multi_k_union": f"WITH {G}, {graph_sql(11, 2, name='ga')}, {graph_sql(12, 2, name='gb')}, {graph_sql(15, 2, name='gc')}, al AS (SELECT * FROM ga UNION ALL SELECT * FROM gb UNION ALL SELECT * FROM gc), {union_sql('al', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30",
+    "mask_assembly_components": f"""WITH RECURSIVE {G}, {kmers(12)}, hi AS (SELECT rec_id, pos, kmer, cnt FROM (SELECT *, COUNT(*) OVER (PARTITION BY rec_id, kmer) AS cnt FROM km) WHERE cnt >= 2), rn AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM hi),
+      fi AS (SELECT rec_id, kmer, MIN(run) AS b FROM rn GROUP BY rec_id, kmer), ed AS (SELECT DISTINCT rn.rec_id, run AS a, b FROM rn JOIN fi ON fi.rec_id = rn.rec_id AND fi.kmer = rn.kmer UNION SELECT DISTINCT rn.rec_id, b, run FROM rn JOIN fi ON fi.rec_id = rn.rec_id AND fi.kmer = rn.kmer),
+      cl AS (SELECT DISTINCT rec_id, run AS a, run AS b FROM rn UNION SELECT cl.rec_id, cl.a, ed.b FROM cl JOIN ed ON ed.rec_id = cl.rec_id AND ed.a = cl.b), cm AS (SELECT rec_id, a AS run, MIN(b) AS comp FROM cl GROUP BY rec_id, a),
+      sz AS (SELECT rec_id, comp, SUM(cnt) AS total FROM (SELECT DISTINCT rn.rec_id, comp, kmer, cnt FROM rn JOIN cm ON cm.rec_id = rn.rec_id AND cm.run = rn.run) GROUP BY rec_id, comp),
+      sp AS (SELECT rn.rec_id, pos AS start_pos, pos + 12 AS end_pos FROM rn JOIN cm ON cm.rec_id = rn.rec_id AND cm.run = rn.run JOIN sz ON sz.rec_id = cm.rec_id AND sz.comp = cm.comp WHERE total >= 20), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30""",
     "mask_indexed": f"WITH {_hits_sql(3, 3)}, {_link_sql(150)}",
     "mask_graph_long": f"WITH {G}, {graph_sql(12, 2)} SELECT * FROM gr",
     "mask_indexed_sampled": f"WITH {G}, {kmers(18)}, {_sampled_sql(18, 18, 2, 4, 250)}",

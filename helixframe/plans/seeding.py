@@ -147,6 +147,16 @@ def _bloom_sql() -> str:
      e AS (SELECT kmer, cnt, CAST((((h1 + i::UHUGEINT * h2) % {TWO64}) % (SELECT m FROM z)::UHUGEINT) AS BIGINT) AS idx FROM x, (SELECT UNNEST(range(0, 4)) AS i)), s AS (SELECT idx, CAST(LEAST(255, SUM(cnt)) AS INTEGER) AS n FROM e GROUP BY idx)"""
 
 
+def _occurrence_sql(salt: int = 12_648_430, k: int = 18, least: int = 6, most: int = 10) -> str:
+    from helixframe.plans.common import TWO64, splitmix_sql
+
+    unsigned = lambda x: f"(({x})::HUGEINT + CASE WHEN ({x}) < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END)::UHUGEINT"
+    h = splitmix_sql(f"xor({splitmix_sql(unsigned(f'xor(rec_id, {salt})'))}, pos::UHUGEINT)")
+    return f"""WITH {G}, {windows(k)}, o AS (SELECT rec_id, pos, f, {rc('f')} AS r, LEAST(f, {rc('f')}) AS kmer FROM w), c AS (SELECT kmer FROM o GROUP BY kmer HAVING COUNT(*) >= {least}),
+     x AS (SELECT kmer, rec_id, pos, f <= r AS forward, {h} AS h FROM o SEMI JOIN c ON c.kmer = o.kmer), y AS (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616::HUGEINT ELSE h::HUGEINT END, rec_id, pos) AS n FROM x)
+     SELECT {packed_sql('kmer', k)} AS kmer, rec_id, pos, forward FROM y WHERE n <= {most}"""
+
+
 QUERIES = {f.__name__: f for f in (kmer_count_canonical, kmer_spectrum_log2, kmer_count_by_record, kmer_skip_n, revcomp, spaced_seed_count, hamming1_neighbors, set_runs_frequent, gc_by_record, splitmix_of_kmers, index_merge_runs, index_merged_histogram, index_build_sampled, index_histogram_cumulative, index_stats, index_multi_pass_equivalence, cbf_slots, cbf_estimate, seed_topk, occurrence_sample, redundancy_12mer, family_labels)}
 
 SQL = {
@@ -170,6 +180,7 @@ SQL = {
     "index_multi_pass_equivalence": f"WITH {_HASHED} SELECT CAST((h >> 40) % 4 AS INTEGER) AS pass, COUNT(*) AS entries, CAST(SUM(cnt) AS BIGINT) AS total FROM x WHERE cnt >= {IDX_MIN} GROUP BY 1",
     "cbf_slots": f"WITH {_bloom_sql()} SELECT idx, n AS cnt FROM s WHERE n >= 4",
     "cbf_estimate": f"WITH {_bloom_sql()} SELECT e.kmer, e.cnt, MIN(s.n) AS estimate FROM e JOIN s ON s.idx = e.idx WHERE e.cnt >= 4 GROUP BY e.kmer, e.cnt",
+    "occurrence_sample": _occurrence_sql(),
     "seed_topk": f"WITH {G}, {kmers(18)} SELECT kmer, COUNT(*) AS cnt FROM km GROUP BY kmer HAVING COUNT(*) >= 2 ORDER BY cnt DESC, kmer LIMIT 200",
     "redundancy_12mer": f"WITH {LIBRARY}, {windows(12, 'lb', 'copy_id')}, k AS (SELECT DISTINCT copy_id, LEAST(f, {rc('f')}) AS kmer FROM w), m AS (SELECT kmer, MIN(copy_id) AS lo FROM k GROUP BY kmer), s AS (SELECT copy_id AS rec_id, COUNT(*) AS kmers, CAST(SUM(CASE WHEN lo < copy_id THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM k JOIN m ON m.kmer = k.kmer GROUP BY copy_id) SELECT *, shared * 10 >= kmers * 6 AS redundant FROM s",
     "family_labels": "SELECT cid, 'Unknown' AS by_name, 'Other' AS grp FROM consensi",

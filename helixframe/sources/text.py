@@ -154,6 +154,28 @@ def model_lines(models: DataFrame, groups: DataFrame, thresholds: DataFrame) ->
     return head.unionByName(part).unionByName(members).unionByName(rest)
 
 
+def set_tau(lines: DataFrame, tau: float, line: str = "value") -> DataFrame:
+    """The lines of a model text with another cutoff for every group."""
+    parts = F.split(F.col(line), "\t")
+    return lines.withColumn(line, F.when(F.col(line).startswith("#group"), F.array_join(F.concat(F.slice(parts, 1, 2), F.array(F.lit(str(tau)))), "\t")).otherwise(F.col(line)))
+
+
+#: Letters of a model text; it is read by the driver, as a model is small by nature.
+MOST_MODEL = 50_000_000
+
+
+def read_model_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """models (grp, w, mu, sd, b0, tau), groups (consensus, grp, shift) and thresholds (consensus, threshold) of a model text, as
+    apply_models takes them. Texts above MOST_MODEL letters are an error."""
+    size = spark.read.text(path, wholetext=True).agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+    if size > MOST_MODEL:
+        raise ValueError(f"a model of more than {MOST_MODEL} letters")
+    texts = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    groups, members, thresholds = read_models([x for t in texts for x in t.splitlines()])
+    models = spark.createDataFrame([(g["grp"], g["w"], g["mu"], g["sd"], g["b0"], g["tau"]) for g in groups], "grp string, w array<double>, mu array<double>, sd array<double>, b0 double, tau double")
+    return models, spark.createDataFrame([(c, *m) for c, m in members.items()], "consensus string, grp string, shift double"), spark.createDataFrame(list(thresholds.items()), "consensus string, threshold int")
+
+
 def read_models(lines: list[str]) -> tuple[list[dict], dict[str, tuple[str, float]], dict[str, int]]:
     """Groups, members and thresholds of a model text; a text of two columns is thresholds only."""
     groups: list[dict] = []

@@ -9,6 +9,11 @@ from helixframe.operators.kmers import seeds
 from helixframe.operators.masks import index_hits, link_hits
 
 
+def _exactly(path: str) -> str:
+    """A pattern that this path alone matches, as a stream of one file is read by a pattern."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def stream_mask(spark: SparkSession, source: str, index: DataFrame, folder: str, k: int, threshold: int, files: int = 100) -> DataFrame:
     """rec_id, start_pos, end_pos, hits: regions of the records in the Parquet file or folder `source`, micro-batch by micro-batch.
 
@@ -19,7 +24,7 @@ def stream_mask(spark: SparkSession, source: str, index: DataFrame, folder: str,
     index.write.mode("overwrite").parquet(f"{folder}/index")
     fixed = spark.read.parquet(f"{folder}/index")
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{source}*")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_exactly(source))
 
     def mask(batch: DataFrame, number: int) -> None:
         once = batch.where("rec_id IS NOT NULL").dropDuplicates(["rec_id"])
@@ -31,17 +36,21 @@ def stream_mask(spark: SparkSession, source: str, index: DataFrame, folder: str,
 
 
 def stream_windows(spark: SparkSession, source: str, folder: str, window: str = "1 hour", late: str = "400 days") -> DataFrame:
-    """hour, event_type, events: counts of events by window; rows later than the watermark would be left out.
+    """hour, event_type, events: counts of events by window; rows later than the watermark are left out.
 
-    The watermark is wide, since files of a folder come in no order of time. Rows without a time are left out.
+    Each micro-batch writes the windows that it changed, under its number; the last count of a window holds. State of
+    windows older than the watermark is dropped. The watermark is wide, since files of a folder come in no order of
+    time. Rows without a time are left out.
     """
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).parquet(f"{source}*").where("ts IS NOT NULL").withColumn("at", F.col("ts").cast("timestamp"))
+    rows = spark.readStream.schema(schema).parquet(_exactly(source)).where("ts IS NOT NULL").withColumn("at", F.col("ts").cast("timestamp"))
     counts = rows.withWatermark("at", late).groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count("*").alias("events"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
-    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/counts").select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events")
+    rows = spark.read.schema("w struct<start:timestamp,end:timestamp>, event_type string, events long, batch long").parquet(f"{folder}/counts")
+    last = rows.groupBy("w.start", "event_type").agg(F.max_by("events", "batch").alias("events"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "events")

@@ -246,14 +246,12 @@ def test_tables_of_other_tools(spark):
     assert [tuple(r) for r in text.parse_hit_table(hits, min_score=20, max_evalue=1e-3).collect()] == [("chr1", 800, 900, "SINE/MIR", 40.5, 1e-5)]
 
 
-def test_chosen_rows_and_variants(spark):
-    from helixframe.operators.analysis import random_rows, upper_median, variants
+def test_chosen_rows_and_median(spark):
+    from helixframe.operators.analysis import random_rows, upper_median
 
     df = spark.range(100)
     one, two = ([r.id for r in random_rows(x, "id", 7).collect()] for x in (df, df.repartition(5)))
     assert one == two and len(one) == 7
-    v = variants(spark.createDataFrame([("a", "ACGTN" * 100), ("b", None)], "consensus string, seq string"), rates=(0.0, 0.3)).collect()
-    assert len(v) == 6 and all(r.seq == "ACGTN" * 100 for r in v if r.rate == 0) and all(0.15 < np.mean([x != y for x, y in zip(r.seq, "ACGTN" * 100)]) < 0.33 and r.seq[4::5] == "N" * 100 for r in v if r.rate)
     assert upper_median(spark.createDataFrame([(x,) for x in (5, 1, 3, 9)], "n long"), "n").first().median == 5
 
 
