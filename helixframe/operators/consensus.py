@@ -1,8 +1,9 @@
 """Consensus sequences of repeat families, built from their most frequent seeds.
 
-Occurrences of the chosen seeds are found by a join and sampled per seed, their flanks cut out where the records are, and
-each seed is extended in a task of its own. Extensions don't depend on each other; which of them are kept does, so that
-choice is made in the order of the seeds over the extended ones, of which there are as many as the seed pool.
+Occurrences of the chosen seeds are found by a join and sampled per seed, their flanks cut out of pieces of the records,
+and each seed is extended in a task of its own. Extensions don't depend on each other; which of them are kept does. So
+the queue of seeds stays a table that is worked off in rounds: the next few seeds are extended, the driver chooses among
+these few in order, and the seeds near the consensi that it kept leave the table by a join.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from helixframe.functions.hashing import splitmix64_of
 from helixframe.functions.seq import SpacedSeed, kmer_text, revcomp
 from helixframe.operators.align import GAP, LOW, MATCH, MISMATCH
 from helixframe.operators.chunks import with_window
-from helixframe.operators.kmers import CODE, packed_seeds, seeds
+from helixframe.operators.kmers import CODE, packed_revcomp, packed_seeds, seeds
+from helixframe.operators.ordering import numbered
 from helixframe.runtime import checkpoint, shuffle_partitions
 
-#: Most seeds that are extended at once, and most families; both bound what the driver sees.
-MAX_POOL = 200_000
+#: Most seeds of a round, whose extensions the driver sees.
+ROUND = 1000
+#: Substitutions within which a seed is taken to be covered by one of a consensus.
+NEAR = 2
 
 
 def top_seeds(index: DataFrame, n: int, min_count: int = 1) -> DataFrame:
@@ -29,15 +33,14 @@ def top_seeds(index: DataFrame, n: int, min_count: int = 1) -> DataFrame:
     return index.where(F.col("cnt") >= min_count).orderBy(F.desc("cnt"), "kmer").limit(n)
 
 
-def occurrences(records: DataFrame, chosen: DataFrame, k: int, per_seed: int, salt: int = 12_648_430) -> DataFrame:
+def occurrences(records: DataFrame, chosen: DataFrame, k: int | SpacedSeed, per_seed: int, salt: int = 12_648_430) -> DataFrame:
     """kmer, rec_id, pos, forward: up to per_seed occurrences of each chosen seed, picked by a hash (splitmix64) of their place.
 
     A seed with a large share of all occurrences is thinned in two steps, within a salt and then as a whole.
     """
+    weight = k if isinstance(k, int) else k.weight
     fwd = seeds(records, k, strand="forward").withColumnRenamed("kmer", "_f")
-    from helixframe.operators.kmers import packed_revcomp
-
-    both = fwd.withColumn("_r", packed_revcomp(F.col("_f"), k)).withColumn("kmer", F.least("_f", "_r"))
+    both = fwd.withColumn("_r", packed_revcomp(F.col("_f"), weight)).withColumn("kmer", F.least("_f", "_r"))
     found = both.join(chosen.select("kmer"), "kmer", "left_semi").select("kmer", "rec_id", "pos", (F.col("_f") <= F.col("_r")).alias("forward"), splitmix64_of(F.col("rec_id").cast("long").bitwiseXOR(F.lit(salt))).alias("_r"))
     found = found.withColumn("_h", splitmix64_of(F.col("_r").bitwiseXOR(F.col("pos")))).drop("_r")
     part = W.partitionBy("kmer", F.pmod("_h", F.lit(32))).orderBy("_h", "rec_id", "pos")
@@ -110,7 +113,7 @@ def _trimmed(seq: bytes, least: int = 8) -> bytes:
     return seq
 
 
-def extended(flanks: DataFrame, k: int, max_occ: int, flank: int, band: int, lookahead: int, min_support: int) -> DataFrame:
+def extended(flanks: DataFrame, span: int, max_occ: int, flank: int, band: int, lookahead: int, min_support: int) -> DataFrame:
     """kmer, cnt, seq, support, occurrences, tandem of every seed with enough occurrences, each in a group of its own.
 
     flanks: oriented_flanks with cnt; a seed has max_occ rows at most.
@@ -123,7 +126,7 @@ def extended(flanks: DataFrame, k: int, max_occ: int, flank: int, band: int, loo
         right, r = extend([x.encode() for x in pdf["right"]], band, lookahead, flank)
         left, l = extend([x.encode() for x in pdf["left"]], band, lookahead, flank)
         seq = _trimmed(left[::-1] + pdf["seed_seq"].iloc[0].encode() + right)
-        support = int((r + l + k >= 0.25 * len(seq)).sum())
+        support = int((r + l + span >= 0.25 * len(seq)).sum())
         return pd.DataFrame({"kmer": [pdf["kmer"].iloc[0]], "cnt": [pdf["cnt"].iloc[0]], "seq": [seq.decode()], "support": [support], "occurrences": [len(pdf)], "tandem": [is_tandem(seq)]})
 
     # the number of partitions is set: a group costs far more than its few bytes suggest
@@ -131,77 +134,104 @@ def extended(flanks: DataFrame, k: int, max_occ: int, flank: int, band: int, loo
     return spread.groupBy("kmer").applyInPandas(grow, "kmer long, cnt long, seq string, support int, occurrences int, tandem boolean")
 
 
-def _seed_set(seq: str, k: int) -> np.ndarray:
-    return np.unique(packed_seeds(CODE[np.frombuffer(seq.encode(), np.uint8)], SpacedSeed.contiguous(k), "canonical")[1])
+def _seed_set(seq: str, seed: SpacedSeed) -> np.ndarray:
+    return np.unique(packed_seeds(CODE[np.frombuffer(seq.encode(), np.uint8)], seed, "canonical")[1])
 
 
-def _near_covered(kmer: int, covered: np.ndarray, k: int, distance: int = 2) -> bool:
-    """Whether the k-mer or its reverse complement is within so many substitutions of a covered one."""
+def _near_covered(kmer: int, covered: np.ndarray, weight: int) -> bool:
+    """Whether the seed or its reverse complement is within NEAR substitutions of a covered one."""
     rc, x = 0, kmer
-    for _ in range(k):
+    for _ in range(weight):
         rc, x = (rc << 2) | (3 - (x & 3)), x >> 2
     for v in (kmer, rc):
         d = covered ^ np.uint64(v)
-        if len(d) and int(np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).min()) <= distance:
+        if len(d) and int(np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).min()) <= NEAR:
             return True
     return False
 
 
-def build_consensi(records: DataFrame, index: DataFrame, k: int = 18, min_seed_count: int = 20, max_families: int = 2000, seed_pool: int = 0, max_occ: int = 100, flank: int = 3000, band: int = 16, lookahead: int = 100, min_len: int = 50, min_support: int = 10, second_pass: bool = False, second_min_len: int = 80, second_min_support: int = 5, second_max_families: int = 500) -> DataFrame:
+def not_near(queue: DataFrame, covered: DataFrame, weight: int) -> DataFrame:
+    """The rows of queue (kmer, ...) but those whose k-mer or reverse complement is within NEAR substitutions of one of covered (kmer).
+
+    K-mers that near agree in one of NEAR + 1 parts, so they are joined by part and then compared.
+    """
+    cuts = [weight * i // (NEAR + 1) for i in range(NEAR + 2)]
+    part = lambda c, i: F.shiftright(c, 2 * cuts[i]).bitwiseAND(F.lit((1 << (2 * (cuts[i + 1] - cuts[i]))) - 1))
+    keyed = lambda df, c: df.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(F.col(c), i).alias("v")) for i in range(NEAR + 1)])))
+    own = queue.select("kmer", F.explode(F.array(F.col("kmer"), packed_revcomp(F.col("kmer"), weight))).alias("_x"))
+    other = keyed(covered.select(F.col("kmer").alias("_c")), "_c")
+    d = F.col("_x").bitwiseXOR(F.col("_c"))
+    odd = F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    near = keyed(own, "_x").join(other, "_p").where(odd <= NEAR).select("kmer").distinct()
+    return queue.join(near, "kmer", "left_anti")
+
+
+def build_consensi(records: DataFrame, index: DataFrame, k: int | SpacedSeed = 18, min_seed_count: int = 20, max_families: int = 2000, seed_pool: int = 0, max_occ: int = 100, flank: int = 3000, band: int = 16, lookahead: int = 100, min_len: int = 50, min_support: int = 10, second_pass: bool = False, second_min_len: int = 80, second_min_support: int = 5, second_max_families: int = 500, size: int = 0) -> DataFrame:
     """id, consensus, seq, support, occurrences, seed_count, pass of the families found, in the order they were accepted.
 
-    Seeds are taken by falling count. One within two substitutions of an accepted consensus is skipped; an extension is kept
-    if it is long enough, has enough support, is no tandem repeat, and less than 60 % of its 12-mers are in the families so
-    far. A second pass goes over the seeds left with relaxed limits. Seeds are extended in rounds, a few for each partition
-    and only those not yet covered; within a round the choice is made in order, so rounds change nothing but the work. Flanks
-    are cut out for a round's seeds only, as those of a whole pool would be many times the records. The driver holds the
-    pool's seeds, a round's extensions and the families.
+    k: the index' seed, contiguous or spaced. Seeds are taken by falling count. One within two substitutions of an accepted
+    consensus is skipped; an extension is kept if it is long enough, has enough support, is no tandem repeat, and less than
+    60 % of its 12-mers are in the families so far. A second pass goes over the seeds left with relaxed limits. Seeds are
+    extended in rounds (of `size`; 0: a few for each partition, at most ROUND), within which the choice is made in order, so
+    rounds change nothing but the work. The driver holds a round's extensions and the families, which max_families bounds.
     """
-    pool_size = seed_pool or max(100, 20 * max_families)
-    if pool_size > MAX_POOL:
-        raise ValueError(f"seed pool above {MAX_POOL}")
-    pool = checkpoint(top_seeds(index, pool_size, min_seed_count))
+    spark = records.sparkSession
+    seed = SpacedSeed.contiguous(k) if isinstance(k, int) else k
+    pool = checkpoint(top_seeds(index, seed_pool or max(100, 20 * max_families), min_seed_count))
     records = checkpoint(records.select("rec_id", "seq"))
-    found = checkpoint(occurrences(records, pool, k, max_occ).join(pool, "kmer"))
+    found = checkpoint(occurrences(records, pool, seed, max_occ).join(pool, "kmer"))
     support = min(min_support, second_min_support) if second_pass else min_support
     enough = found.groupBy("kmer", "cnt").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    seeds_left = sorted((-r.cnt, r.kmer, r.n) for r in enough.collect())
-    size = 8 * shuffle_partitions(records.sparkSession)
-    covered, covered12, kept, grown = np.empty(0, np.uint64), np.empty(0, np.uint64), [], {}
+    seeds_left = checkpoint(numbered(enough.withColumn("_down", -F.col("cnt")), ["_down", "kmer"], "rank").drop("_down"))
+    size = size or min(ROUND, 8 * shuffle_partitions(spark))
+    twelve = SpacedSeed.contiguous(12)
+    covered, covered12, kept, grown = np.empty(0, np.uint64), np.empty(0, np.uint64), [], None
     for number, (most, least_len, least_support) in enumerate([(max_families, min_len, min_support), (second_max_families, second_min_len, second_min_support)][: 1 + second_pass]):
-        accepted = candidates = at = 0
-        queue = [x for x in seeds_left if x[2] >= least_support]
-        done: set[int] = set()
-        while at < len(queue) and accepted < most and candidates < max(100, 20 * most):
-            batch: list[int] = []
-            stop = at
-            while stop < len(queue) and len(batch) < size:
-                kmer = queue[stop][1]
-                if kmer not in grown and not _near_covered(kmer, covered, k):
-                    batch.append(kmer)
-                stop += 1
-            if batch:
-                wanted = oriented_flanks(records, found.where(F.col("kmer").isin(batch)), k, flank)
-                grown |= {r.kmer: r for r in extended(wanted, k, max_occ, flank, band, lookahead, support).collect()}
-            for _, kmer, _ in queue[at:stop]:
+        accepted = candidates = 0
+        done: list[int] = []
+        queue = seeds_left.where(F.col("n") >= least_support)
+        if len(covered):
+            queue = not_near(queue, _kmers(spark, covered), seed.weight)
+        queue = checkpoint(queue)
+        while accepted < most and candidates < max(100, 20 * most):
+            batch = checkpoint(queue.orderBy("rank").limit(size))
+            rows = sorted((r.rank, r.kmer) for r in batch.select("rank", "kmer").collect())
+            if not rows:
+                break
+            todo = batch.select("kmer") if grown is None else batch.select("kmer").join(grown.select("kmer"), "kmer", "left_anti")
+            wanted = oriented_flanks(records, found.join(F.broadcast(todo), "kmer", "left_semi"), seed.span, flank)
+            fresh = checkpoint(extended(wanted, seed.span, max_occ, flank, band, lookahead, support))
+            grown = fresh if grown is None else grown.unionByName(fresh)
+            known = {r.kmer: r for r in grown.join(F.broadcast(batch.select("kmer")), "kmer", "left_semi").collect()}
+            new = np.empty(0, np.uint64)
+            for _, kmer in rows:
                 if accepted >= most or candidates >= max(100, 20 * most):
                     break
-                if kmer not in grown or _near_covered(kmer, covered, k):
+                if kmer not in known or _near_covered(kmer, new, seed.weight):
                     continue
-                r = grown[kmer]
+                r = known[kmer]
                 candidates += 1
-                k12 = _seed_set(r.seq, 12)
+                k12 = _seed_set(r.seq, twelve)
                 redundant = len(k12) > 0 and int(np.isin(k12, covered12).sum()) * 10 >= len(k12) * 6
                 if len(r.seq) < least_len or r.support < least_support or r.tandem or redundant:
                     continue
-                done.add(kmer)
-                covered = np.union1d(covered, np.union1d(_seed_set(r.seq, k), np.array([kmer], np.uint64)))
+                done.append(kmer)
+                new = np.union1d(new, np.append(_seed_set(r.seq, seed), np.uint64(kmer)))
                 covered12 = np.union1d(covered12, k12)
                 accepted += 1
                 kept.append((len(kept) + 1, f"fam_{len(kept) + 1:05d}", r.seq, r.support, r.occurrences, r.cnt, number + 1))
-            at = stop
-        seeds_left = [x for x in seeds_left if x[1] not in done]
-    return records.sparkSession.createDataFrame(kept, "id int, consensus string, seq string, support int, occurrences int, seed_count long, pass int")
+            queue = queue.where(F.col("rank") > rows[-1][0])
+            if len(new):
+                queue = not_near(queue, _kmers(spark, new), seed.weight)
+                covered = np.union1d(covered, new)
+            queue = checkpoint(queue)
+        if done:
+            seeds_left = checkpoint(seeds_left.join(F.broadcast(_kmers(spark, np.array(done, np.uint64))), "kmer", "left_anti"))
+    return spark.createDataFrame(kept, "id int, consensus string, seq string, support int, occurrences int, seed_count long, pass int")
+
+
+def _kmers(spark, values: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pd.DataFrame({"kmer": values.astype(np.int64)}), "kmer long")
 
 
 def redundancy(seqs: DataFrame, k: int = 12) -> DataFrame:

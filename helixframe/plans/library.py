@@ -86,6 +86,12 @@ def consensus_build(spark: SparkSession, d: str) -> DataFrame:
     return C.build_consensi(g, K.build_index(g, 18, 1, 6), 18, min_seed_count=6, min_support=5)
 
 
+def consensus_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """With a spaced seed, and a pool of a million."""
+    g, p = genome(spark, d), seq.SpacedSeed("11011011011011011011")
+    return C.build_consensi(g, K.build_index(g, p, 1, 6), p, min_seed_count=6, min_support=5, seed_pool=1_000_000)
+
+
 def consensus_two_pass(spark: SparkSession, d: str) -> DataFrame:
     g = genome(spark, d)
     return C.build_consensi(g, K.build_index(g, 18, 1, 4), 18, min_seed_count=4, min_support=6, second_pass=True, second_min_support=3)
@@ -111,7 +117,7 @@ def _agree(a: str, b: str) -> str:
     return f"CAST(COALESCE(list_sum(list_transform(range(1, LENGTH({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, i, 1) THEN 1 ELSE -1 END)), 0) AS INTEGER)"
 
 
-QUERIES = {f.__name__: f for f in (library_seed_table, seed_complexity_filter, library_seed_hits, diag_chain_pairs, gate_scores, subst_table, candidate_substitutions, subst_counts, ti_tv_ratio, mask_library_chained, mask_library_single_hit, mask_library_fragments, mask_library_regions, consensus_build, consensus_two_pass, majority_vote_consensus)}
+QUERIES = {f.__name__: f for f in (library_seed_table, seed_complexity_filter, library_seed_hits, diag_chain_pairs, gate_scores, subst_table, candidate_substitutions, subst_counts, ti_tv_ratio, mask_library_chained, mask_library_single_hit, mask_library_fragments, mask_library_regions, consensus_build, consensus_spaced, consensus_two_pass, majority_vote_consensus)}
 
 SQL = {
     "majority_vote_consensus": f"""WITH {G}, {COPIES}, c AS (SELECT family, copy_id, UPPER(substr(g.seq, start_pos + 1, end_pos - start_pos)) AS s FROM cp JOIN g ON g.rec_id = cp.rec_id WHERE family IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY LENGTH(s) DESC, copy_id) AS n FROM c WHERE LENGTH(s) >= 100 AND LENGTH(s) - LENGTH(replace(s, 'N', '')) <= 0.3 * LENGTH(s)),

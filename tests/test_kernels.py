@@ -163,6 +163,43 @@ def test_build_consensi(spark):
     assert got and 200 <= max(len(r.seq) for r in got) <= 300
 
 
+@pytest.mark.parametrize("k,second,size", [(18, False, 4), (18, True, 7), ("11011011011011011011", True, 5)])
+def test_rounds_change_nothing(spark, k, second, size):
+    """build_consensi against the plain choice in order over all extensions."""
+    p = k if isinstance(k, int) else seq.SpacedSeed(k)
+    span, weight = (k, k) if isinstance(k, int) else (p.span, p.weight)
+    fams = [dna(41, 220), dna(42, 150), dna(43, 90)]
+    s = "".join(dna(500 + i, 120) + mutated(fams[i % 3] if i % 5 else fams[0], 0.06, i) for i in range(60)) + "ACGTTGA" * 30
+    recs = records(spark, s[: len(s) // 2], s[len(s) // 2 :])
+    opts = dict(min_seed_count=3, max_families=3, seed_pool=400, max_occ=20, flank=300, min_support=6)
+    index = K.build_index(recs, p, 1, 3)
+    got = consensus.build_consensi(recs, index, p, second_pass=second, second_min_support=3, size=size, **opts).collect()
+    pool = consensus.top_seeds(index, 400, 3)
+    found = consensus.occurrences(recs, pool, p, 20).join(pool, "kmer")
+    all_grown = {r.kmer: r for r in consensus.extended(consensus.oriented_flanks(recs, found, span, 300), span, 20, 300, 16, 100, 3 if second else 6).collect()}
+    n = {r.kmer: r["count"] for r in found.groupBy("kmer").count().collect()}
+    order = sorted(all_grown.values(), key=lambda r: (-r.cnt, r.kmer))
+    shape = seq.SpacedSeed.contiguous(k) if isinstance(k, int) else p
+    covered, twelve, want, done = np.empty(0, np.uint64), set(), [], set()
+    for turn, (most, length, least) in enumerate([(3, 50, 6), (500, 80, 3)][: 1 + second]):
+        here = tries = 0
+        for r in order:
+            if here >= most or tries >= max(100, 20 * most):
+                break
+            if n[r.kmer] < least or r.kmer in done or consensus._near_covered(r.kmer, covered, weight):
+                continue
+            tries += 1
+            own = set(consensus._seed_set(r.seq, seq.SpacedSeed.contiguous(12)).tolist())
+            if len(r.seq) < length or r.support < least or r.tandem or own and 10 * len(own & twelve) >= 6 * len(own):
+                continue
+            here += 1
+            done.add(r.kmer)
+            covered = np.union1d(covered, np.append(consensus._seed_set(r.seq, shape), np.uint64(r.kmer)))
+            twelve |= own
+            want.append((r.seq, r.support, turn + 1))
+    assert [(r.seq, r.support, r["pass"]) for r in got] == want and len(want) >= 2
+
+
 def test_tandem_and_dust(spark):
     rnd = dna(41, 2000)
     s = rnd[:500] + "CA" * 40 + rnd[500:1000] + "ACGTTGCAAGTCCATGGCATTTCAGGATACCGATTAG" * 12 + rnd[1000:]
