@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.seq import f1, ratio
 from helixframe.operators.tiles import GAP, interval_periods, overlap_pieces, union_intervals
+from helixframe.runtime import checkpoint
 
 
 #: Positions of a key are worked on in tiles of about this width, so that no window holds a key.
@@ -56,14 +57,26 @@ def with_halo(df: DataFrame, pos: str, reach: int, tile: int = TILE, after: bool
     return df.withColumn("_tile", F.explode(both)).withColumn("_own", F.col("_tile") == own)
 
 
-def union_named(df: DataFrame, keys: list[str], name: str = "name", order: str | None = None) -> DataFrame:
-    """keys, start_pos, end_pos, name: touching intervals merged, with the first non-empty name in (start, order)."""
+def union_named(df: DataFrame, keys: list[str], name: str = "name", order: str | None = None, tile: int = TILE) -> DataFrame:
+    """keys, start_pos, end_pos, name: touching intervals merged, with the first non-empty name in (start, order); '' without one.
+
+    The merged intervals are made first; each named row then meets the one that its start lies in, by tile, and the first
+    name is a minimum, so no window holds a key. A null key is a key of its own.
+    """
     by = ["start_pos", *([order] if order else []), "end_pos", name]
-    w = W.partitionBy(*keys).orderBy(*by)
-    prev = F.max("end_pos").over(w.rowsBetween(W.unboundedPreceding, -1))
-    named = F.when(F.coalesce(F.col(name), F.lit("")) != "", F.struct(*by))
-    out = df.where("end_pos > start_pos").withColumn("_named", named).withColumn("_new", F.coalesce(F.col("start_pos") > prev, F.lit(True)).cast("long")).withColumn("_i", F.sum("_new").over(w))
-    return out.groupBy(*keys, "_i").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.coalesce(F.min("_named")[name], F.lit("")).alias(name)).drop("_i")
+    rows = checkpoint(df.where("end_pos > start_pos").select(*keys, *dict.fromkeys(by)))  # read three times
+    whole = union_intervals(rows, keys)
+    cut = F.explode(F.sequence(F.floor(F.col("start_pos") / tile), F.floor((F.col("end_pos") - 1) / tile)))
+    spans = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"), cut.alias("_t"))
+    named = rows.where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_at", F.floor(F.col("start_pos") / tile))
+    inside = (F.col("_at") == F.col("_t")) & (F.col("start_pos") >= F.col("_s")) & (F.col("start_pos") < F.col("_e"))
+    for i, k in enumerate(keys):
+        inside = inside & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    first = named.join(spans, inside).groupBy(*[f"_k{i}" for i in range(len(keys))], "_s").agg(F.min(F.struct(*by)).alias("_first"))
+    own = F.col("start_pos") == F.col("_s")
+    for i, k in enumerate(keys):
+        own = own & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return whole.join(first, own, "left").select(*keys, "start_pos", "end_pos", F.coalesce(F.col("_first")[name], F.lit("")).alias(name))
 
 
 def _tiled(df: DataFrame, tile: int) -> DataFrame:

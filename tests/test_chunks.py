@@ -141,3 +141,21 @@ def test_runs_over_tiles(spark, monkeypatch):
             want.append((start, a + 1))
             start = b
     assert got == want
+
+
+def test_named_union(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = [(k, int(s), int(s + n), str(rng.choice(["", "b", "a", "c"])) if rng.random() < 0.8 else None) for k in ("x", None) for s, n in zip(rng.integers(0, 900, 60), rng.integers(-2, 25, 60))]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "k string, start_pos long, end_pos long, name string, _s int")
+    want = set()
+    for k in ("x", None):
+        runs: list[list] = []
+        for s, e, n in sorted((s, e, n or "") for kk, s, e, n in rows if kk == k and e > s):
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], e)
+                runs[-1][2].append((s, e, n))
+            else:
+                runs.append([s, e, [(s, e, n)]])
+        want |= {(k, s, e, next((n for _, _, n in sorted(x for x in got if x[2])), "")) for s, e, got in runs}
+    for tile in (8, 1 << 18):
+        assert {(r.k, r.start_pos, r.end_pos, r.name) for r in intervals.union_named(df, ["k"], tile=tile).collect()} == want
