@@ -71,30 +71,39 @@ def extend(copies: list[bytes], band: int, lookahead: int, most: int) -> tuple[b
     table = np.full((n, most + width + 1), 255, np.uint8)
     for i, c in enumerate(copies):
         table[i, : min(len(c), table.shape[1])] = np.frombuffer(c, np.uint8)[: table.shape[1]]
-    table = np.pad(table, ((0, 0), (band + 1, 0)), constant_values=255)
-    off, slope = np.arange(width) - band, GAP * np.arange(width)
-    col = np.where((off >= 0) & (off <= sizes[:, None]), -GAP * off, LOW)
+    # copies along the last axis, the band along the first, so that its running maximum goes over all of them at once
+    table = np.ascontiguousarray(np.pad(table, ((0, 0), (band + 1, 0)), constant_values=255).T)
+    off = (np.arange(width) - band)[:, None]
+    slope = (GAP * np.arange(width)).astype(np.int32)[:, None, None]
+    col = np.where((off >= 0) & (off <= sizes), -GAP * off, LOW).astype(np.int32)
     judge = (np.arange(n) % 3 == 2) & (n >= 3)
-    letters = np.frombuffer(b"ACGT", np.uint8)
+    letters = np.frombuffer(b"ACGT", np.uint8)[None, :, None]
     grown, kept, best_total, best_m = bytearray(), np.zeros(n, np.int64), 0, 0
+    shortest = int(sizes.min(initial=0))
     for m in range(1, most + 1):
-        j = m + off
-        inside = (j >= 0) & (j <= sizes[:, None])
-        # table[band + 1 + (j - 1)] is the copy's base at j - 1
-        at = table[:, m : m + width]
-        match = np.where(at[:, None, :] == letters[None, :, None], MATCH, MISMATCH)
-        diag = np.where((j >= 1)[None, None, :], col[:, None, :] + match, LOW)
-        skip = np.concatenate((col[:, 1:], np.full((n, 1), LOW)), 1)[:, None, :] - GAP
-        here = np.where(inside[:, None, :], np.maximum(diag, skip), LOW)
-        here = np.maximum.accumulate(here + slope, axis=2) - slope
-        here = np.where(inside[:, None, :] & (here > LOW // 2), here, LOW)
-        score = here.max(2)
-        chosen = int(np.maximum(score[~judge], 0).sum(0).argmax())
-        judged = int(np.maximum(score[judge, chosen], 0).sum())
-        col = here[:, chosen, :]
-        grown.append(letters[chosen])
+        # table[band + 1 + (j - 1)] is the copies' base at j - 1
+        here = np.multiply(table[m : m + width, None, :] == letters, np.int32(MATCH - MISMATCH), dtype=np.int32)
+        here += (col + np.int32(MISMATCH))[:, None, :]
+        edge = m <= band or m + band > shortest  # of the band, some lies outside of a copy
+        if edge:
+            j = m + off
+            outside = ~((j >= 0) & (j <= sizes))[:, None, :]
+            here[j[:, 0] < 1] = LOW
+        np.maximum(here[:-1], (col[1:] - np.int32(GAP))[:, None, :], out=here[:-1])
+        if edge:
+            np.copyto(here, LOW, where=outside)
+        here += slope
+        np.maximum.accumulate(here, axis=0, out=here)
+        here -= slope
+        if edge:
+            np.copyto(here, LOW, where=outside)
+        score = here.max(0)
+        chosen = int(np.maximum(score[:, ~judge], 0).sum(1).argmax())
+        judged = int(np.maximum(score[chosen, judge], 0).sum())
+        col = np.ascontiguousarray(here[:, chosen, :])
+        grown.append(letters[0, chosen, 0])
         if judged > best_total:
-            best_total, best_m, kept = judged, m, score[:, chosen].copy()
+            best_total, best_m, kept = judged, m, score[chosen].copy()
         elif m - best_m >= lookahead:
             break
     return bytes(grown[:best_m]), kept
@@ -172,7 +181,7 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int | SpacedSeed = 1
     k: the index' seed, contiguous or spaced. Seeds are taken by falling count. One within two substitutions of an accepted
     consensus is skipped; an extension is kept if it is long enough, has enough support, is no tandem repeat, and less than
     60 % of its 12-mers are in the families so far. A second pass goes over the seeds left with relaxed limits. Seeds are
-    extended in rounds (of `size`; 0: a few for each partition, at most ROUND), within which the choice is made in order, so
+    extended in rounds (of `size`; 0: a few for each partition, growing to ROUND), within which the choice is made in order, so
     rounds change nothing but the work. The driver holds a round's extensions and the families, which max_families bounds.
     """
     spark = records.sparkSession
@@ -183,6 +192,7 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int | SpacedSeed = 1
     support = min(min_support, second_min_support) if second_pass else min_support
     enough = found.groupBy("kmer", "cnt").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     seeds_left = checkpoint(numbered(enough.withColumn("_down", -F.col("cnt")), ["_down", "kmer"], "rank").drop("_down"))
+    grow = not size
     size = size or min(ROUND, 8 * shuffle_partitions(spark))
     twelve = SpacedSeed.contiguous(12)
     covered, covered12, kept, grown = np.empty(0, np.uint64), np.empty(0, np.uint64), [], None
@@ -203,7 +213,7 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int | SpacedSeed = 1
             fresh = checkpoint(extended(wanted, seed.span, max_occ, flank, band, lookahead, support))
             grown = fresh if grown is None else grown.unionByName(fresh)
             known = {r.kmer: r for r in grown.join(F.broadcast(batch.select("kmer")), "kmer", "left_semi").collect()}
-            new = np.empty(0, np.uint64)
+            new, before = np.empty(0, np.uint64), accepted
             for _, kmer in rows:
                 if accepted >= most or candidates >= max(100, 20 * most):
                     break
@@ -221,6 +231,8 @@ def build_consensi(records: DataFrame, index: DataFrame, k: int | SpacedSeed = 1
                 accepted += 1
                 kept.append((len(kept) + 1, f"fam_{len(kept) + 1:05d}", r.seq, r.support, r.occurrences, r.cnt, number + 1))
             queue = queue.where(F.col("rank") > rows[-1][0])
+            if 8 * (accepted - before) < len(rows) < ROUND:  # few of them were alike: larger rounds waste little
+                size = min(ROUND, 2 * size) if grow else size
             if len(new):
                 queue = not_near(queue, _kmers(spark, new), seed.weight)
                 covered = np.union1d(covered, new)

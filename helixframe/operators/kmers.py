@@ -161,15 +161,16 @@ def seed_counts(records: DataFrame, seed: SpacedSeed | int, sample: int = 1, seq
 def look_up(records: DataFrame, seed: SpacedSeed | int, index: DataFrame, sample: int = 1, most: int = MOST_LOOKED_UP) -> DataFrame:
     """rec_id, pos, kmer, cnt: the records' canonical seeds that are in an index (kmer, cnt).
 
-    The index should be a checkpoint. If it has at most `most` entries, which is counted first, it is broadcast and only
-    found seeds leave the tasks that read the records; else both sides are joined. sample: see seeds; that of the index.
+    At most `most` entries and one more are fetched. If that is all, they are broadcast and only found seeds leave the tasks
+    that read the records; else both sides are joined. sample: see seeds; that of the index.
     """
-    spark = records.sparkSession
-    if index.limit(most + 1).count() > most:
+    table = index.select("kmer", "cnt").limit(most + 1).toArrow()
+    if table.num_rows > most:
         return seeds(records, seed, sample=sample).join(index, "kmer").select("rec_id", "pos", "kmer", "cnt")
-    table = index.select("kmer", "cnt").toPandas().sort_values("kmer")
     seed = SpacedSeed.contiguous(seed) if isinstance(seed, int) else seed
-    known = spark.sparkContext.broadcast((table["kmer"].to_numpy(np.int64), table["cnt"].to_numpy(np.int64)))
+    keys, counts = (table.column(c).to_numpy().astype(np.int64) for c in ("kmer", "cnt"))
+    order = np.argsort(keys)
+    known = records.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
     kind = records.schema["rec_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -20,8 +20,7 @@ from helixframe.operators.chunks import chunk_records
 from helixframe.operators.graph import connected_components
 from helixframe.operators.intervals import link_gaps, set_runs, with_halo
 from helixframe.operators.kmers import CODE, codes_of, count_seeds, in_batches, look_up, neighbours, packed_seeds, seed_counts, seeds
-from helixframe.operators.tiles import SEQUENCE, union_intervals
-from helixframe.runtime import checkpoint
+from helixframe.operators.tiles import SEQUENCE, merge_runs, union_intervals
 
 RUN_SCHEMA = "rec_id long, start_pos long, end_pos long"
 
@@ -42,6 +41,31 @@ def _near_in(kmers: np.ndarray, k: int) -> np.ndarray:
     return np.unique(np.minimum(near, rc))
 
 
+def _frequent_of(codes: np.ndarray, k: int, threshold: int, mismatch: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, k-mers and counts (-1 for those that are near only) of the frequent windows of a coded sequence, in order."""
+    pos, kmer = packed_seeds(codes, SpacedSeed.contiguous(k), "canonical")
+    _, back, n = np.unique(kmer, return_inverse=True, return_counts=True)
+    count = n[back]
+    keep = count >= threshold
+    if mismatch and keep.any():
+        near = np.isin(kmer, _near_in(np.unique(kmer[keep]), k))
+        count, keep = np.where(keep, count, -1), near
+    return pos[keep], kmer[keep], count[keep]
+
+
+def _regions_in_record(records: DataFrame, k: int, threshold: int, mismatch: bool, regions) -> DataFrame:
+    """regions(places of frequent windows, length) of each record of bounded length: starts and ends of its regions."""
+    out = pa.schema([("rec_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
+                codes = codes_of(seq)
+                yield rec, *regions(_frequent_of(codes, k, threshold, mismatch)[0], len(codes))
+
+    return records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), RUN_SCHEMA)
+
+
 def _frequent_in_record(records: DataFrame, k: int, threshold: int, mismatch: bool = False) -> DataFrame:
     """frequent_positions of records of bounded length, counted where they are: nothing is shuffled."""
     out = pa.schema([("rec_id", pa.int64()), ("pos", pa.int64()), ("kmer", pa.int64()), ("cnt", pa.int64())])
@@ -49,14 +73,8 @@ def _frequent_in_record(records: DataFrame, k: int, threshold: int, mismatch: bo
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for rec, seq in zip(b.column(0).to_pylist(), b.column(1)):
-                pos, kmer = packed_seeds(codes_of(seq), SpacedSeed.contiguous(k), "canonical")
-                _, back, n = np.unique(kmer, return_inverse=True, return_counts=True)
-                count = n[back]
-                keep = count >= threshold
-                if mismatch and keep.any():
-                    near = np.isin(kmer, _near_in(np.unique(kmer[keep]), k))
-                    count, keep = np.where(keep, count, -1), near
-                yield rec, pos[keep], kmer[keep].view(np.int64), count[keep]
+                pos, kmer, count = _frequent_of(codes_of(seq), k, threshold, mismatch)
+                yield rec, pos, kmer.view(np.int64), count
 
     found = records.select(F.col("rec_id").cast("long"), "seq").mapInArrow(lambda batches: in_batches(each(batches), out), "rec_id long, pos long, kmer long, cnt long")
     return found.withColumn("cnt", F.expr("nullif(cnt, -1)")) if mismatch else found
@@ -78,7 +96,7 @@ def frequent_positions(records: DataFrame, k: int, threshold: int, mismatch: boo
         return by_length(records, lambda r: _frequent_in_record(r, k, threshold, mismatch), lambda r: _frequent_by_join(r, k, threshold, mismatch, ["rec_id"]), whole)
     if not mismatch:
         # counted first, so that only frequent positions leave the tasks that read the records
-        return look_up(records, k, checkpoint(seed_counts(records, k).where(F.col("cnt") >= threshold)))
+        return look_up(records, k, seed_counts(records, k).where(F.col("cnt") >= threshold))
     return _frequent_by_join(records, k, threshold, mismatch, [])
 
 
@@ -95,12 +113,25 @@ def _frequent_by_join(records: DataFrame, k: int, threshold: int, mismatch: bool
 def mask_graph(records: DataFrame, k: int = 21, threshold: int = 3, gap: int = 100, min_len: int = 30, mismatch: bool = False, scope: str = "record", inclusive_end: bool = False, whole: int = WHOLE) -> DataFrame:
     """Chains of frequent k-mers that start no further than gap apart. The last base of the last k-mer stays outside
     unless inclusive_end is set."""
-    chains = link_gaps(frequent_positions(records, k, threshold, mismatch, scope, whole), ["rec_id"], "pos", gap)
-    out = chains.select("rec_id", F.col("first").alias("start_pos"), (F.col("last") + k - (0 if inclusive_end else 1)).alias("end_pos"))
-    return out.where(F.col("end_pos") - F.col("start_pos") >= min_len)
+    more = k - (0 if inclusive_end else 1)
+
+    def linked(rows: DataFrame, longest: int) -> DataFrame:
+        chains = link_gaps(frequent_positions(rows, k, threshold, mismatch, scope, longest), ["rec_id"], "pos", gap)
+        out = chains.select("rec_id", F.col("first").alias("start_pos"), (F.col("last") + more).alias("end_pos"))
+        return out.where(F.col("end_pos") - F.col("start_pos") >= min_len)
+
+    def chained(pos: np.ndarray, _: int) -> tuple[np.ndarray, np.ndarray]:
+        new = np.concatenate(([True], pos[1:] > pos[:-1] + gap))[: len(pos)]
+        start, end = pos[new], pos[np.concatenate((new[1:], [True]))[: len(pos)]] + more
+        keep = end - start >= min_len
+        return start[keep], end[keep]
+
+    if scope != "record":
+        return linked(records, whole)
+    return by_length(records, lambda r: _regions_in_record(r, k, threshold, mismatch, chained), lambda r: linked(r, 0), whole)
 
 
-def mask_windows(records: DataFrame, k: int = 21, threshold: int = 3, window: int = 40, density: float = 0.25, min_len: int = 30, mismatch: bool = False) -> DataFrame:
+def mask_windows(records: DataFrame, k: int = 21, threshold: int = 3, window: int = 40, density: float = 0.25, min_len: int = 30, mismatch: bool = False, whole: int = WHOLE) -> DataFrame:
     """Union of the windows in which at least a share `density` of the k-mer starts are frequent.
 
     Windows begin at 0 to length - window; windows without a frequent k-mer never pass, so density must be above 0 and
@@ -110,7 +141,25 @@ def mask_windows(records: DataFrame, k: int = 21, threshold: int = 3, window: in
         raise ValueError("window must be at least k, density above 0 and at most 1")
     starts = window - k + 1
     least = math.ceil(starts * density)
-    high = frequent_positions(records, k, threshold, mismatch).select("rec_id", "pos").distinct()
+
+    def dense(pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        to = pos[least - 1 :]
+        at = pos[: len(to)]
+        close = to - at < starts
+        first, last = np.maximum(0, to[close] - starts + 1), np.minimum(at[close], length - window)
+        first, last = first[last >= first], last[last >= first]
+        if not len(first):
+            return first, last
+        _, start, end = merge_runs(np.zeros(len(first), np.int64), first, last + window)
+        keep = end - start >= min_len
+        return start[keep], end[keep]
+
+    return by_length(records, lambda r: _regions_in_record(r, k, threshold, mismatch, dense), lambda r: _dense_by_tile(r, k, threshold, mismatch, window, starts, least, min_len), whole)
+
+
+def _dense_by_tile(records: DataFrame, k: int, threshold: int, mismatch: bool, window: int, starts: int, least: int, min_len: int) -> DataFrame:
+    """mask_windows of long records, by windows over tiles of their positions."""
+    high = frequent_positions(records, k, threshold, mismatch, whole=0).select("rec_id", "pos").distinct()
     # in order of position: the least-th frequent start from one on lies within the window's starts
     w = W.partitionBy("rec_id", "_tile").orderBy("pos")
     far = with_halo(high, "pos", starts).withColumn("_to", F.lead("pos", least - 1).over(w)).where(F.col("_own") & (F.col("_to") - F.col("pos") < starts))
@@ -165,7 +214,7 @@ def mask_indexed(records: DataFrame, index: DataFrame, seed: SpacedSeed | int, s
     high = max(1, high)
     low = min(max(1, low), high)
     span = seed if isinstance(seed, int) else seed.span
-    found = look_up(records, seed, checkpoint(index.where(F.col("cnt") >= low)), sample)
+    found = look_up(records, seed, index.where(F.col("cnt") >= low), sample)
     return found.select("rec_id", "pos", (F.col("pos") + span).alias("stop"), (F.col("cnt") >= high).alias("strong"))
 
 

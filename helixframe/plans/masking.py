@@ -89,6 +89,11 @@ def mask_graph_long(spark: SparkSession, d: str) -> DataFrame:
     return M.mask_graph(genome(spark, d), 12, 2, whole=1000)
 
 
+def mask_windows_long(spark: SparkSession, d: str) -> DataFrame:
+    """As mask_window_density, with all records above 1,000 bases counted as long ones."""
+    return M.mask_windows(genome(spark, d), 12, 2, whole=1000)
+
+
 def mask_tandem_long(spark: SparkSession, d: str) -> DataFrame:
     """As mask_tandem, with all records above 1,000 bases linked and tested as long ones."""
     return M.mask_tandem(genome(spark, d), whole=1000)
@@ -200,19 +205,22 @@ _TANDEM_MASK = f"""{_TANDEM}, tb AS (SELECT tn.*, UPPER(substr(seq, CAST(start_p
 _DUST = f"""{windows(3, name='w3')}, tc AS (SELECT rec_id, pos, f FROM w3), tw AS (SELECT rec_id, f, UNNEST(range(GREATEST(0, pos - 61), pos + 1)) AS win FROM tc),
  tg AS (SELECT rec_id, win, f, COUNT(*) AS c FROM tw GROUP BY rec_id, win, f), ds AS (SELECT rec_id, win AS start_pos, CAST(SUM(c * (c - 1) // 2) AS BIGINT) AS pairs FROM tg GROUP BY rec_id, win HAVING SUM(c) = 62 AND SUM(c * (c - 1) // 2) > 2.0 * 61)"""
 
-QUERIES = {f.__name__: f for f in (mask_graph_exact, mask_graph_genome, mask_graph_mismatch1, mask_window_density, mask_multi_k_union, mask_assembly_components, mask_graph_long, mask_indexed, mask_indexed_sampled, mask_spaced_sampled, mask_hysteresis, mask_density_gate, mask_two_index_union, tandem_period_runs, mask_tandem, mask_tandem_long, dust_score, mask_dust, mask_layered_union, merge_named_regions, soft_mask, hard_mask, demask, soft_mask_runs, n_runs, compare_mask_by_record, compare_mask_total, regions_to_bed, regions_to_gtf)}
+QUERIES = {f.__name__: f for f in (mask_graph_exact, mask_graph_genome, mask_graph_mismatch1, mask_window_density, mask_multi_k_union, mask_assembly_components, mask_graph_long, mask_windows_long, mask_indexed, mask_indexed_sampled, mask_spaced_sampled, mask_hysteresis, mask_density_gate, mask_two_index_union, tandem_period_runs, mask_tandem, mask_tandem_long, dust_score, mask_dust, mask_layered_union, merge_named_regions, soft_mask, hard_mask, demask, soft_mask_runs, n_runs, compare_mask_by_record, compare_mask_total, regions_to_bed, regions_to_gtf)}
 
 _CASE_RUNS = "WITH {g}, ch AS (SELECT rec_id, pos, substr(seq, CAST(pos + 1 AS BIGINT), 1) AS c FROM (SELECT rec_id, seq, UNNEST(range(0, LENGTH(seq))) AS pos FROM g)), p AS (SELECT rec_id, pos FROM ch WHERE {test}), r AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM p) SELECT rec_id, MIN(pos) AS start_pos, MAX(pos) + 1 AS end_pos FROM r GROUP BY rec_id, run"
 _COMPARE = f"{G}, {COPIES}, {_MASKED}, b AS (SELECT ch.rec_id, ch.c NOT IN ('A', 'C', 'G', 'T') AS m, mk.pos IS NOT NULL AND UPPER(ch.c) <> LOWER(ch.c) AS q FROM ch LEFT JOIN mk ON mk.rec_id = ch.rec_id AND mk.pos = ch.pos), s AS (SELECT rec_id, COUNT(CASE WHEN m AND q THEN 1 END) AS tp, COUNT(CASE WHEN NOT m AND q THEN 1 END) AS fp, COUNT(CASE WHEN m AND NOT q THEN 1 END) AS fn, COUNT(CASE WHEN NOT m AND NOT q THEN 1 END) AS tn FROM b GROUP BY rec_id)"
 
+_DENSE = f"""WITH {G}, {kmers(12)}, hi AS (SELECT rec_id, pos FROM (SELECT *, COUNT(*) OVER (PARTITION BY rec_id, kmer) AS cnt FROM km) WHERE cnt >= 2), al AS (SELECT rec_id, n, UNNEST(range(0, n)) AS pos FROM (SELECT rec_id, LENGTH(seq) AS n FROM g)),
+      fl AS (SELECT al.rec_id, al.n, al.pos, CASE WHEN hi.pos IS NULL THEN 0 ELSE 1 END AS h FROM al LEFT JOIN hi ON hi.rec_id = al.rec_id AND hi.pos = al.pos), wn AS (SELECT *, SUM(h) OVER (PARTITION BY rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 28 FOLLOWING) AS c FROM fl),
+      sp AS (SELECT rec_id, pos AS start_pos, pos + 40 AS end_pos FROM wn WHERE pos <= n - 40 AND c >= 8), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30"""
+
 SQL = {
     "mask_graph_exact": f"WITH {G}, {graph_sql(12, 2)} SELECT * FROM gr",
     "mask_graph_genome": f"WITH {G}, {graph_sql(15, 3, scope='genome')} SELECT * FROM gr",
     "mask_graph_mismatch1": f"""WITH {G}, {kmers(12)}, hi AS (SELECT rec_id, kmer FROM km GROUP BY rec_id, kmer HAVING COUNT(*) >= 2), nb AS (SELECT rec_id, substr(kmer, 1, i) || b || substr(kmer, i + 2) AS x FROM hi, (SELECT UNNEST(range(0, 12)) AS i), (SELECT UNNEST(['A', 'C', 'G', 'T']) AS b)),
       wd AS (SELECT DISTINCT rec_id, LEAST(x, {rc('x')}) AS kmer FROM nb), ht AS (SELECT km.rec_id, pos FROM km JOIN wd ON wd.rec_id = km.rec_id AND wd.kmer = km.kmer), {chains_sql('ht', 'cc', 100)} SELECT rec_id, first AS start_pos, last + 11 AS end_pos FROM cc WHERE last + 11 - first >= 30""",
-    "mask_window_density": f"""WITH {G}, {kmers(12)}, hi AS (SELECT rec_id, pos FROM (SELECT *, COUNT(*) OVER (PARTITION BY rec_id, kmer) AS cnt FROM km) WHERE cnt >= 2), al AS (SELECT rec_id, n, UNNEST(range(0, n)) AS pos FROM (SELECT rec_id, LENGTH(seq) AS n FROM g)),
-      fl AS (SELECT al.rec_id, al.n, al.pos, CASE WHEN hi.pos IS NULL THEN 0 ELSE 1 END AS h FROM al LEFT JOIN hi ON hi.rec_id = al.rec_id AND hi.pos = al.pos), wn AS (SELECT *, SUM(h) OVER (PARTITION BY rec_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 28 FOLLOWING) AS c FROM fl),
-      sp AS (SELECT rec_id, pos AS start_pos, pos + 40 AS end_pos FROM wn WHERE pos <= n - 40 AND c >= 8), {union_sql('sp', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30""",
+    "mask_window_density": _DENSE,
+    "mask_windows_long": _DENSE,
     "mask_multi_k_union": f"WITH {G}, {graph_sql(11, 2, name='ga')}, {graph_sql(12, 2, name='gb')}, {graph_sql(15, 2, name='gc')}, al AS (SELECT * FROM ga UNION ALL SELECT * FROM gb UNION ALL SELECT * FROM gc), {union_sql('al', 'rec_id', 'u')} SELECT * FROM u WHERE end_pos - start_pos >= 30",
     "mask_assembly_components": f"""WITH RECURSIVE {G}, {kmers(12)}, hi AS (SELECT rec_id, pos, kmer, cnt FROM (SELECT *, COUNT(*) OVER (PARTITION BY rec_id, kmer) AS cnt FROM km) WHERE cnt >= 2), rn AS (SELECT *, pos - row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM hi),
       fi AS (SELECT rec_id, kmer, MIN(run) AS b FROM rn GROUP BY rec_id, kmer), ed AS (SELECT DISTINCT rn.rec_id, run AS a, b FROM rn JOIN fi ON fi.rec_id = rn.rec_id AND fi.kmer = rn.kmer UNION SELECT DISTINCT rn.rec_id, b, run FROM rn JOIN fi ON fi.rec_id = rn.rec_id AND fi.kmer = rn.kmer),
