@@ -67,8 +67,9 @@ def p6_per_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack_items(spread(docs.select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("tokens")), "doc_id", "tokens", P7_CAPACITY, packing.shard_count(docs.count()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = checkpoint(spread(docs).select("doc_id", token_count(F.col("text")).alias("tokens")))  # read for packed and for empty texts
+    return packing.pack_items(sizes, "doc_id", "tokens", P7_CAPACITY, packing.shard_count(sizes.count()))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
