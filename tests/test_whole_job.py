@@ -44,3 +44,30 @@ def test_only_the_fit_uses_a_sample(spark):
         weight, true = size[own], y[own] == 1
         f1 = [2 * weight[(p >= t / 40) & true].sum() / (weight[p >= t / 40].sum() + weight[true].sum()) for t in range(1, 40)]
         assert r.tau == (int(np.argmax(f1)) + 1) / 40
+
+
+def test_offsets_tell_consensi_apart(spark):
+    rng = np.random.default_rng(5)
+    cons = rng.choice(["good", "bad"], 1500)
+    y = (rng.random(1500) < np.where(cons == "good", 0.9, 0.1)).astype(int)
+    x = rng.normal(size=(1500, 8))
+    rows = [(i, "all", str(cons[i]), int(y[i]), 100, *map(float, x[i])) for i in range(1500)] + [(3000, "all", None, 1, 100, *[0.0] * 8)]
+    df = spark.createDataFrame(rows, "cand_id long, grp string, consensus string, label int, size long, " + ", ".join(f"{c} double" for c in models.FEATURES))
+    plain, own = models.train_groups(df, "grp").first(), models.train_groups(df, "grp", offset="consensus").first()
+    assert plain.shifts == {"": 0.0} or not plain.shifts
+    assert own.shifts["good"] > 1 and own.shifts["bad"] < -1 and set(own.shifts) == {"good", "bad", ""}
+
+
+def test_model_file_and_cutoff(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from helixframe.sources import text
+
+    model = spark.createDataFrame([(g, [0.5] * 8, [1.0] * 8, [2.0] * 8, -0.25, 0.9) for g in ("a", "b")], "grp string, w array<double>, mu array<double>, sd array<double>, b0 double, tau double")
+    groups = spark.createDataFrame([("c1", "a", 0.5)], "consensus string, grp string, shift double")
+    thresholds = spark.createDataFrame([("c2", 17)], "consensus string, threshold int")
+    lines = text.model_lines(model, groups, thresholds).coalesce(1).sortWithinPartitions("place").select(F.explode(F.split("value", "\n")).alias("value"))
+    text.write_lines(text.set_tau(lines, 0.35), f"{tmp_path}/model")
+    m, g, t = text.read_model_file(spark, f"{tmp_path}/model")
+    assert sorted((r.grp, r.tau, r.b0, tuple(r.mu)) for r in m.collect()) == [(x, 0.35, -0.25, (1.0,) * 8) for x in "ab"]
+    assert [tuple(r) for r in g.collect()] == [("c1", "a", 0.5)] and [tuple(r) for r in t.collect()] == [("c2", 17)]
