@@ -32,12 +32,13 @@ def label(candidates: DataFrame, truth: DataFrame, keys: list[str], row_id: str
     return out.withColumn("label", (2 * F.col("overlap") >= F.col("size")).cast("int"))
 
 
-def best_cut(rows: DataFrame, by: list[str], score: str, gain: Column) -> DataFrame:
+def best_cut(rows: DataFrame, by: list[str], score: str, gain: Column, count: Column | None = None) -> DataFrame:
     """by, threshold, net, n: the score at which the gain of all rows with at least that score is largest.
 
     Equal scores enter together; of equal gains the highest score counts. Rows of a key are first reduced to one a score.
+    count: how many a row stands for (1).
     """
-    per = rows.groupBy(*by, score).agg(F.sum(gain).alias("_g"), F.count("*").alias("_c"))
+    per = rows.groupBy(*by, score).agg(F.sum(gain).alias("_g"), F.sum(F.lit(1) if count is None else count).alias("_c"))
     if by:
         run = per.withColumn("_net", F.sum("_g").over(W.partitionBy(*by).orderBy(F.desc(score))))
     else:
@@ -51,8 +52,10 @@ def base_thresholds(labelled: DataFrame, by: str = "consensus", score: str = "sc
     0 where that gains nothing; keys that gain nothing take NOTHING."""
     gain = 2 * F.col("overlap") - F.col("size")
     rows = labelled.where(F.col(by).isNotNull() & F.col(score).isNotNull())
-    own = best_cut(rows, [by], score, gain)
-    whole = best_cut(rows, [], score, gain).select(F.when(F.col("net") > 0, F.col("threshold")).otherwise(F.lit(0)).alias("_all"))
+    # both cuts are made from the same sums
+    sums = checkpoint(rows.groupBy(by, score).agg(F.sum(gain).alias("_gain"), F.count("*").alias("_rows")))
+    own, whole = (best_cut(sums, keys, score, F.col("_gain"), F.col("_rows")) for keys in ([by], []))
+    whole = whole.select(F.when(F.col("net") > 0, F.col("threshold")).otherwise(F.lit(0)).alias("_all"))
     return own.join(F.broadcast(whole)).select(by, F.when(F.col("n") < few, F.col("_all")).when(F.col("net") > 0, F.col("threshold")).otherwise(F.lit(NOTHING)).cast("int").alias("threshold"))
 
 
