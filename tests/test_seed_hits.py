@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from test_kernels import dna
 
@@ -65,3 +67,10 @@ def test_hits_are_handed_out_in_parts(monkeypatch):
     parts = list(again.hits(data))
     assert again.present is None and len(parts) > 20 and len(whole[0]) > 100
     assert all((x == np.concatenate(y)).all() for x, y in zip(whole, zip(*parts)))
+
+
+def test_substitution_counts(records, consensi):
+    got = A.seed_substitution_counts(records, consensi, PATTERN)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    n = Counter(p for _, sides in plain(records.collect()) for side in sides for p in side)
+    assert {(r.cons_base, r.genome_base): r.n for r in got.collect()} == {p: n[p] for p in A.PAIRS if n[p]}
