@@ -74,3 +74,9 @@ def test_substitution_counts(records, consensi):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     n = Counter(p for _, sides in plain(records.collect()) for side in sides for p in side)
     assert {(r.cons_base, r.genome_base): r.n for r in got.collect()} == {p: n[p] for p in A.PAIRS if n[p]}
+
+
+def test_gates_of_hits(records, consensi):
+    got = A.seed_hit_gates(records, consensi, PATTERN)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*h, *[sum(1 if x == y else -1 for x, y in side) for side in sides]) for h, sides in plain(records.collect()))
