@@ -80,3 +80,10 @@ def test_gates_of_hits(records, consensi):
     got = A.seed_hit_gates(records, consensi, PATTERN)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == sorted((*h, *[sum(1 if x == y else -1 for x, y in side) for side in sides]) for h, sides in plain(records.collect()))
+
+
+def test_substitutions_of_hits(records, consensi):
+    got = A.seed_hit_substitutions(records, consensi, PATTERN)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(*h, *[[x + y for side in sides for x, y in side].count(a + b) for a, b in A.PAIRS]) for h, sides in plain(records.collect())]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
