@@ -87,3 +87,16 @@ def test_substitutions_of_hits(records, consensi):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     want = [(*h, *[[x + y for side in sides for x, y in side].count(a + b) for a, b in A.PAIRS]) for h, sides in plain(records.collect())]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_pairs_on_a_diagonal(records, consensi):
+    got = A.diagonal_pairs(A.seed_hits(records, consensi, PATTERN))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    before: dict[tuple, list] = {}
+    want = []
+    for rec, pos, name, reverse, cpos in sorted((h for h, _ in plain(records.collect())), key=lambda h: (h[0], h[2], h[3], h[1], h[4])):
+        earlier = before.setdefault((rec, name, reverse), [])
+        near = next((p for p, d in earlier[:-3:-1] if p < pos <= p + A.NEAR and abs(pos - cpos - d) <= A.DIAGONAL), None)
+        want += [] if near is None else [(rec, name, reverse, pos, cpos, near)]
+        earlier.append((pos, pos - cpos))
+    assert len(want) > 20 and sorted(tuple(r) for r in got.select("rec_id", "consensus", "reverse", "pos", "cpos", "prev_pos").collect()) == sorted(want)
