@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import seq
 from helixframe.operators import kmers as K
 from helixframe.operators import masks as M
+from helixframe.operators.counted import mask_by_counts
 from helixframe.operators.intervals import union_named
 from helixframe.operators.tiles import union_intervals
 from helixframe.plans.common import COPIES, G, chains_sql, copies, genome, hash_sql, kmers, packed_sql, placed, rc, spaced, union_sql, windows
@@ -70,7 +71,7 @@ def mask_spaced_sampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_hysteresis(spark: SparkSession, d: str) -> DataFrame:
-    return M.link_hits(_hits(spark, d, 2, 5), gap=250)
+    return mask_by_counts(genome(spark, d), 15, 2, 5, gap=250)
 
 
 def mask_density_gate(spark: SparkSession, d: str) -> DataFrame:
