@@ -75,7 +75,7 @@ def mask_hysteresis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_density_gate(spark: SparkSession, d: str) -> DataFrame:
-    return M.link_hits(_hits(spark, d, 2, 3), gap=100, min_hits=20, min_density=0.3)
+    return mask_by_counts(genome(spark, d), 15, 2, 3, gap=100, min_hits=20, min_density=0.3)
 
 
 def mask_two_index_union(spark: SparkSession, d: str) -> DataFrame:

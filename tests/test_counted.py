@@ -39,4 +39,4 @@ def test_seeds_are_not_looked_up_by_the_driver(spark, sf_dir, monkeypatch):
         raise AssertionError("an index on the driver")
 
     monkeypatch.setattr(M, "look_up", fail)
-    assert masking.mask_hysteresis(spark, sf_dir).count() > 0
+    assert masking.mask_hysteresis(spark, sf_dir).count() > 0 and masking.mask_density_gate(spark, sf_dir).count() > 0
