@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import analysis as D
 from helixframe.operators import kmers as K
+from helixframe.operators.counted import seed_index
 from helixframe.operators.tiles import SEQUENCE, union_intervals
 from helixframe.plans.common import COPIES, G, LIBRARY, PLACED, copies, genome, library, packed_sql, placed, rc, union_sql, windows
 from helixframe.plans.masking import SQL as MASKING
@@ -115,7 +116,7 @@ def mask_stream(spark: SparkSession, d: str) -> DataFrame:
     from helixframe.streaming.masking import stream_mask
 
     g = genome(spark, d)
-    return stream_mask(spark, f"{d}/records.parquet", K.build_index(g, 15, 1, 2), shared_folder(spark, "stream"), 15, 3)
+    return stream_mask(spark, f"{d}/records.parquet", seed_index(g, 15), shared_folder(spark, "stream"), 15, 3)
 
 
 def header_filter(spark: SparkSession, d: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.kmers import seeds
-from helixframe.operators.masks import index_hits, link_hits
+from helixframe.operators.counted import mask_by_counts
 
 
 def _exactly(path: str) -> str:
@@ -17,18 +17,20 @@ def _exactly(path: str) -> str:
 def stream_mask(spark: SparkSession, source: str, index: DataFrame, folder: str, k: int, threshold: int, files: int = 100) -> DataFrame:
     """rec_id, start_pos, end_pos, hits: regions of the records in the Parquet file or folder `source`, micro-batch by micro-batch.
 
-    Each batch is joined with the static index and written under its number, so that a batch that is run again replaces
+    Each batch is masked by the static index and written under its number, so that a batch that is run again replaces
     itself; progress is kept in the folder. Ends when all files there are read. A record sent again is masked again, so
     equal regions count once.
     """
-    index.write.mode("overwrite").parquet(f"{folder}/index")
+    index.where(F.col("cnt") >= threshold).write.mode("overwrite").parquet(f"{folder}/index")
     fixed = spark.read.parquet(f"{folder}/index")
     schema = spark.read.parquet(source).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_exactly(source))
 
     def mask(batch: DataFrame, number: int) -> None:
-        once = batch.where("rec_id IS NOT NULL").dropDuplicates(["rec_id"])
-        link_hits(index_hits(seeds(once, k), fixed, k, threshold, threshold)).write.mode("overwrite").parquet(f"{folder}/regions/batch={number}")
+        # the first by sequence, so that reading the batch again gives the same rows
+        first = W.partitionBy("rec_id").orderBy("seq")
+        once = batch.where("rec_id IS NOT NULL").select("rec_id", "seq").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+        mask_by_counts(once, k, threshold, threshold, index=fixed).write.mode("overwrite").parquet(f"{folder}/regions/batch={number}")
 
     q = rows.writeStream.foreachBatch(mask).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -28,6 +28,7 @@ def test_mask_by_counts(spark, seed, opts):
         index = K.seed_counts(recs, seed).where("cnt >= 2")
         want = rows(M.link_hits(M.mask_indexed(recs, index, seed, low=low, high=high), gap=gap, min_len=20, min_hits=hits, min_density=density))
         assert rows(counted.mask_by_counts(recs, seed, low, high, gap, 20, hits, density, **opts)) == want
+        assert rows(counted.mask_by_counts(recs, seed, low, high, gap, 20, hits, density, index, **opts)) == want
         total += len(want)
     assert total > 3
 
@@ -40,3 +41,24 @@ def test_seeds_are_not_looked_up_by_the_driver(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(M, "look_up", fail)
     assert masking.mask_hysteresis(spark, sf_dir).count() > 0 and masking.mask_density_gate(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize(("seed", "buckets"), [(7, 4), (SpacedSeed("110101011"), 0), (31, 2)])
+def test_seed_index(spark, seed, buckets):
+    recs = spark.createDataFrame([(1, dna(1, 300) + "N" + dna(1, 200).lower()), (2, dna(2, 400) * 2), (3, None), (4, "")], "rec_id long, seq string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for least in (1, 2):
+        assert rows(counted.seed_index(recs, seed, least, buckets)) == rows(K.seed_counts(recs, seed).where(f"cnt >= {least}").select("kmer", "cnt")) != []
+
+
+def test_stream_joins_no_seeds(spark, sf_dir, monkeypatch):
+    from helixframe.plans import diagnostics, masking
+
+    def fail(*_, **__):
+        raise AssertionError("a row for each seed")
+
+    want = sorted(tuple(r) for r in masking.mask_indexed(spark, sf_dir).collect())
+    for name in ("seeds", "_seed_rows", "seed_counts"):
+        monkeypatch.setattr(K, name, fail)
+    monkeypatch.setattr("helixframe.streaming.masking.seeds", fail, raising=False)
+    assert sorted(tuple(r) for r in diagnostics.mask_stream(spark, sf_dir).collect()) == want != []
